@@ -22,6 +22,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests, repeated_passages
+
+    return digests(repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -34,11 +40,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan(_table(spark, sf_dir, "documents")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digests, substring_dedup
+
+    return digests(substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import digests, encode_decode
 
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_language_id, op8_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_suffix_dedup, op6_language_id, op8_secrets, op9_substring_dedup, op10_bpe)}
 SQL: dict[str, str] = {}
