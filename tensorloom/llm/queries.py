@@ -34,6 +34,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digests, scan
 
@@ -52,5 +58,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_suffix_dedup, op6_language_id, op8_secrets, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
 SQL: dict[str, str] = {}
