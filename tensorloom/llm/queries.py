@@ -16,12 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op4_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_search import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digests, repeated_passages
 
@@ -58,5 +71,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op4_ball_search, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
 SQL: dict[str, str] = {}
