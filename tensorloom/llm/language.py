@@ -151,11 +151,11 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id")
     return out
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: its id, lang_pred string, score double (the chance of that language among all, all alike before).
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row of docs: its id, the columns in `carry`, lang_pred string, score double (the chance of that language among all, all alike before).
 
     Null texts, texts without a letter and an empty model give 'und' and 0. Equal code lengths go to the first language
-    by name. Repeated rows and null ids are kept; other columns are not read.
+    by name. Repeated rows and null ids are kept; columns that are not carried are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size has the bound of the training sample
     kept: list[Coder] = []
@@ -178,10 +178,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 lang = np.array(coder.langs, object)[best]
             else:
                 lang, score, letters = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(letters, lang, "und"), pa.string()), pa.array(np.where(letters, score, 0.0))], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(letters, lang, "und"), pa.string()), pa.array(np.where(letters, score, 0.0)), *part.columns[2:]], ["id", "lang_pred", "score", *part.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    own = "".join(f", `carried_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    out = rows.mapInArrow(run, f"id long, lang_pred string, score double{own}")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"carried_{c}").alias(c) for c in carry), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:

@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import held_out_scores
+
+    return held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_duplicates
 
@@ -71,5 +77,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op4_ball_search, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_embedding_dedup, op3_packing, op4_ball_search, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
 SQL: dict[str, str] = {}

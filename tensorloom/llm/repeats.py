@@ -38,15 +38,15 @@ SPANS_BROADCAST_BYTES = 48 << 20
 COPY_BITS = 40
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and copy: rows of one id with different texts get different copy numbers, equal rows the same."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, carried columns and copy: rows of one id with different texts get different copy numbers, equal texts the same."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     keyed = rows.select("id", F.xxhash64("text").alias("key")).where("id is not null")
     many = keyed.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("id")
     again = keyed.distinct().join(many, "id").select("id", "key", (F.row_number().over(W.partitionBy("id").orderBy("key")) - 1).alias("copy"))
     if again.isEmpty():
         return rows.withColumn("copy", F.lit(0))
-    return rows.withColumn("key", F.xxhash64("text")).join(again, ["id", "key"], "left").select("id", "text", F.coalesce("copy", F.lit(0)).alias("copy"))
+    return rows.withColumn("key", F.xxhash64("text")).join(again, ["id", "key"], "left").select("id", "text", *carry, F.coalesce("copy", F.lit(0)).alias("copy"))
 
 
 def group_count(rows: DataFrame) -> int:
