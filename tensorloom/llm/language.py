@@ -10,6 +10,7 @@ coded once. A text's code length is the sum over its words; the least one names
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import Words, ranges, slices
+from .worker import held
 
 ORDER = 4
 #: The training sample: at most so many rows a language, texts of at most so many characters, so many languages.
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 500
-KEEP_WORDS, KEEP_GRAMS = 400_000, 1_000_000
+KEEP_WORDS, KEEP_GRAMS = 300_000, 200_000
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ class Coder:
     def __init__(self, model: dict):
         self.langs = sorted(model)
         self.trees = [model[x] for x in self.langs]
-        self.grams: dict[int, list[float]] = {}
+        self.grams: dict[int, tuple[float, ...]] = {}
         self._empty()
 
     def _empty(self) -> None:
@@ -105,7 +107,7 @@ class Coder:
         table = np.empty((len(different), len(self.langs)))
         for i, key in enumerate(different.tolist()):
             if (bits := self.grams.get(key)) is None:
-                bits = self.grams[key] = [code_length(t, key) for t in self.trees]
+                bits = self.grams[key] = tuple(code_length(t, key) for t in self.trees)
             table[i] = bits
         return np.add.reduceat(table[of], np.concatenate(([0], np.cumsum(per)[:-1])), axis=0)
 
@@ -158,12 +160,10 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     by name. Repeated rows and null ids are kept; columns that are not carried are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size has the bound of the training sample
-    kept: list[Coder] = []
+    name = uuid.uuid4().hex
 
     def run(batches):
-        if not kept:
-            kept.append(Coder(sent.value))
-        coder = kept[0]
+        coder = held(("language", name), lambda: Coder(sent.value))
         for part in slices(batches, "text"):
             texts, words = part.column(1), Words(part.column(1), lower=True)
             low = _lowered(words)

@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import slices
-
-_encoders: dict[tuple[str, str], object] = {}
-
+from .worker import held
 
 def encoder(path: str, engine: str = "transducer"):
     """One encoder a Python worker, so that pieces already seen stay known from task to task."""
     from .bpe import Encoder
 
-    if (path, engine) not in _encoders:
-        _encoders[path, engine] = Encoder(path, engine)
-    return _encoders[path, engine]
+    return held((path, engine), lambda: Encoder(path, engine))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
