@@ -27,7 +27,7 @@ from . import blobs
 from .store import written
 from .words import SEQ_BASE, Words, mix, slices
 
-BASE, MIX, RATE = 1.5, 0.5, 1 / 256
+BASE, MIX, RATE = 1.5, 0.5, 1 / 64
 #: No 64-bit count has a higher level.
 LEVELS = 2 + int(math.log(2**63) / math.log(BASE))
 PROBES = round(math.log2(1 / RATE))
@@ -35,7 +35,7 @@ BITS = math.log(1 / RATE) / math.log(2) ** 2
 BROADCAST_BYTES = 64 << 20
 WORD_FILTER_BYTES = 64 << 20
 #: Tokens that a task counts together; text that a bucket stands for, about.
-FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 2_000_000, 8 << 20, 64
+FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 8 << 20, 64
 #: The hash of the end of a text, a token like any word.
 END = np.uint64(0x5DEECE66D1CE4E5B)
 _STEP, _PAIR, _ALL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), (1 << 64) - 1
