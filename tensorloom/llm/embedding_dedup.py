@@ -96,18 +96,14 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
                 yield order_x[u[hit]], order_y[v[hit]]
 
 
-def least_linked(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least row of each row's component under the links."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        for i, j in links:
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Takes the links (i, j), equal i in a row, into labels: each row's is the least row of its component. A row whose links are known costs one comparison."""
+    edges = np.flatnonzero(np.diff(i)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(i)], strict=True):
+        others, own = label[j[a:b]], label[i[a]]
+        if (others != own).any():
+            names = np.unique(np.append(others, own))
+            label[np.isin(label, names)] = names[0]
 
 
 def blocks(vectors: DataFrame, cosine: float) -> DataFrame:
@@ -181,16 +177,12 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str
                 order = np.argsort(ids, kind="stable")  # so that the least row is the least id
                 place = np.empty_like(order)
                 place[order] = np.arange(len(order))
-                ids, counts, found, links = ids[order], counts[order], [], np.zeros(len(ids), np.int64)
+                ids, counts, label, links = ids[order], counts[order], np.arange(len(order)), np.zeros(len(order), np.int64)
                 for i, j in linked_pairs(mx, my, cosine, same):
                     i, j = place[i], place[j + off]
                     links += np.bincount(i, counts[j], len(ids)).astype(np.int64) + np.bincount(j, counts[i], len(ids)).astype(np.int64)
-                    found.append((i.astype(np.int32), j.astype(np.int32)))
-                    if sum(len(f[0]) for f in found) > 1 << 21:
-                        label = least_linked(len(ids), found)
-                        found = [(np.arange(len(ids), dtype=np.int32), label.astype(np.int32))]
+                    merge(label, i, j)
                 some = np.flatnonzero(links)
-                label = least_linked(len(ids), found)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["id", "links", "least"])
 
     partial = written(both.mapInArrow(compare, "id long, links long, least long"), "links")
