@@ -17,6 +17,7 @@ p1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). All three counts come from the filte
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from . import blobs
 from .store import written
 from .words import SEQ_BASE, Words, mix, slices
+from .worker import held
 
 BASE, MIX, RATE = 1.5, 0.5, 1 / 64
 #: No 64-bit count has a higher level.
@@ -58,10 +60,14 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-12).astype(np.int64)
 
 
-def mean_count(levels: np.ndarray) -> np.ndarray:
-    """The mean of the counts of a level; 0 for level 0."""
+def _mean_counts() -> np.ndarray:
+    """The mean of the counts of each level; 0 for level 0."""
+    levels = np.arange(1, LEVELS + 1)
     low, high = np.ceil(BASE ** (levels - 1) - 1e-9), np.ceil(BASE**levels - 1e-9) - 1
-    return np.where(levels > 0, np.maximum((low + np.maximum(high, low)) / 2, 1.0), 0.0)
+    return np.concatenate(([0.0], np.maximum((low + np.maximum(high, low)) / 2, 1.0)))
+
+
+MEAN_COUNTS = _mean_counts()
 
 
 def _places(keys: np.ndarray, lev: int, size: int) -> list[np.ndarray]:
@@ -90,15 +96,43 @@ def levels_of(keys: np.ndarray, bits: np.ndarray, first: np.ndarray, size: np.nd
         at, bits_in = first[left], size[left].astype(np.uint64)
         h = mix(keys[left] + np.uint64(k * int(_STEP) & _ALL))
         a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-        for i in range(PROBES):  # a key leaves at its first missing bit
+        keep = None
+        for i in range(PROBES):
             place = (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits_in) >> np.uint64(32)
-            keep = (bits[at + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            left, at, bits_in, a, b = left[keep], at[keep], bits_in[keep], a[keep], b[keep]
+            found = (bits[at + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            keep = found if keep is None else keep & found
+            if i in (0, 1, PROBES - 1):  # most that are missing leave at the first bits
+                left, at, bits_in, a, b, keep = left[keep], at[keep], bits_in[keep], a[keep], b[keep], None
         out[left] = k
         k += 1
     return out
 
 
+class Known:
+    """Levels of words already met in a worker, at most MOST of them."""
+
+    MOST, STEP = 400_000, 20_000
+
+    def __init__(self):
+        self.words, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.later: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def levels(self, words: np.ndarray, find) -> np.ndarray:
+        """Of sorted words; those not met before by find()."""
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        have = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        out = np.zeros(len(words), np.int64)
+        out[have] = self.found[at[have]]
+        new = words[~have]
+        out[~have] = found = find(new)
+        if len(self.words) < self.MOST:
+            self.later.append((new, found.astype(np.int8)))
+            if sum(len(w) for w, _ in self.later) >= self.STEP:
+                known, first = np.unique(np.concatenate([self.words, *(w for w, _ in self.later)]), return_index=True)
+                self.words, self.found, self.later = known, np.concatenate([self.found, *(f for _, f in self.later)])[first], []
+        return out
+
+
 class Model:
     """A table in the shared folder, a row per bucket: n, words, counts (exact), word_bits, pair_bits; and its totals."""
 
@@ -181,35 +215,38 @@ def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     below = n + 0.5 * (v + 1)
     word_filter = _segments([tuple(r) for r in model.table.select("bucket", "word_bits").collect()], buckets)  # WORD_FILTER_BYTES at most
 
+    name = uuid.uuid4().hex
+
     def scorer(share: int):
         own = model.table.where(F.col("bucket") % shares == share).select("bucket", "words", "counts", "pair_bits").collect()  # broadcast_bytes, about
         words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in own] or [np.zeros(0, np.uint64)])
         counts = np.concatenate([blobs.unpack(r["counts"]) for r in own] or [np.zeros(0, np.int64)])
         order = np.argsort(words)
+        counts = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
         sent = spark.sparkContext.broadcast((words[order], counts[order], _segments([(r["bucket"], r["pair_bits"]) for r in own], buckets), word_filter))
 
         def run(batches):
             words, counts, (bits, first, size), (word_bits, word_first, word_size) = sent.value
+            known_words = held(("words", name), Known)
             for part in slices(batches, "text"):
                 hashes, before, at = tokens(part.column(1))
                 different, where, of = np.unique(hashes, return_index=True, return_inverse=True)
                 bucket = (different % np.uint64(buckets)).astype(np.int64)
-                seen = mean_count(levels_of(different, word_bits, word_first[bucket], word_size[bucket]))
+                seen = MEAN_COUNTS[known_words.levels(different, lambda new: levels_of(new, word_bits, *(x[(new % np.uint64(buckets)).astype(np.int64)] for x in (word_first, word_size))))]
                 p1 = (seen + 0.5) / below
                 here = bucket % shares == share
                 count = np.zeros(len(different), np.int64)
                 if len(words):
                     i = np.minimum(np.searchsorted(words, different), len(words) - 1)
-                    count = np.where(words[i] == different, counts[i], 0)
+                    count = np.where(words[i] == different, counts[i], 0).astype(np.int64)
                 base = np.where(here, np.log10((count + 0.5) / below), 0.0)[of]
                 known = ((count > 0) & here)[of]
                 keys, one, of_pair = np.unique(pair_keys(before, hashes), return_index=True, return_inverse=True)
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
                 mine = bucket % shares == share
                 pair = np.zeros(len(keys))
-                pair[mine] = mean_count(levels_of(keys[mine] >> np.uint64(24), bits, first[bucket[mine]], size[bucket[mine]]))
-                at_before = np.searchsorted(different, before[one])  # the word before occurs here too, as all texts end alike
-                history = seen[at_before]
+                pair[mine] = MEAN_COUNTS[levels_of(keys[mine] >> np.uint64(24), bits, first[bucket[mine]], size[bucket[mine]])]
+                history = seen[of[one - 1]]  # the token before; before the first comes an end, which is also the last
                 mixed = np.where(history > 0, MIX * np.minimum(1.0, pair / np.maximum(history, 1e-300)) + (1 - MIX) * p1[of[one]], p1[of[one]])
                 model_part = np.where(mine, np.log10(mixed), 0.0)[of_pair]
                 sums = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[at]) for x in (known, base, model_part)]
