@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -20,8 +22,8 @@ import regex
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Longest piece (bytes) whose ids are kept, and how many pieces' ids are kept at most.
-KEEP_BYTES, KEEP_PIECES = 64, 500_000
+#: Longest piece (characters) whose ids are kept, and how many pieces a generation keeps.
+KEEP_BYTES, KEEP_PIECES = 64, 250_000
 #: Bytes after which the transducer looks for stable tokens.
 CHUNK = 512
 
@@ -123,19 +125,30 @@ class Bpe:
         return stable, [last[p - base] for p in reversed(path) if base < p <= stable]
 
 
+def _little_endian(ids) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Kept(dict):
-    """Little-endian ids of pieces already seen; bounded, so that memory does not grow with the corpus."""
+    """Little-endian ids of pieces already seen. Two generations bound it: when this one is full it becomes the old one,
+    and pieces that are met again come back from there, so frequent pieces stay and memory does not grow with the corpus."""
 
     def __init__(self, miss):
         super().__init__()
-        self.miss = miss
+        self.miss, self.old = miss, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.miss(piece)
-        if len(piece) <= KEEP_BYTES:
-            if len(self) >= KEEP_PIECES:
-                self.clear()
-            self[piece] = found
+        if (found := self.old.get(piece)) is None:
+            found = self.miss(piece)
+            if len(piece) > KEEP_BYTES:
+                return found
+        if len(self) >= KEEP_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
         return found
 
 
@@ -148,18 +161,18 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._model = Tokenizer.from_file(path).model
-            self._shown = {b: c for c, b in byte_chars().items()}
+            self._shown = str.maketrans({b: c for c, b in byte_chars().items()})
         self.kept = _Kept(self._by_transducer if engine == "transducer" else self._by_library)
         self._find, self._find_ascii = regex.compile(_PATTERN, regex.V0).findall, re.compile(_ASCII).findall
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")") if self.bpe.special else None
         self._markers = tuple(self.bpe.special)
 
     def _by_transducer(self, piece: str) -> bytes:
-        return np.fromiter(self.bpe.transduce(piece.encode()), dtype="<u4").tobytes()
+        return _little_endian(self.bpe.transduce(piece.encode()))
 
     def _by_library(self, piece: str) -> bytes:
-        shown = "".join(self._shown[b] for b in piece.encode())
-        return np.array([t.id for t in self._model.tokenize(shown)], dtype="<u4").tobytes()
+        shown = piece.encode().decode("latin-1").translate(self._shown)
+        return _little_endian([t.id for t in self._model.tokenize(shown)])
 
     def _plain(self, text: str) -> bytes:
         pieces = self._find_ascii(text) if text.isascii() else self._find(text)
