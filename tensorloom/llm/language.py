@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder = held(("language", name), lambda: Coder(sent.value))
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", keep=True):
             texts, words = part.column(1), Words(part.column(1), lower=True)
             low = _lowered(words)
             ascii_letter = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122))))

@@ -228,7 +228,7 @@ def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def run(batches):
             words, counts, (bits, first, size), (word_bits, word_first, word_size) = sent.value
             known_words = held(("words", name), Known)
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", keep=True):
                 hashes, before, at = tokens(part.column(1))
                 different, where, of = np.unique(hashes, return_index=True, return_inverse=True)
                 bucket = (different % np.uint64(buckets)).astype(np.int64)

@@ -120,7 +120,7 @@ def tokenised(docs: DataFrame, tokenizer: str, separator: int, size: int, id_col
         enc = encoder(tokenizer, "library")
         kind = "<u2" if max(len(enc.bpe.table) - 1, separator) < 1 << 16 else "<u4"
         seen, part_id, end, whole = np.zeros(size, np.int64), TaskContext.get().partitionId(), np.array([separator], kind).tobytes(), 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", keep=True):
             ids = [np.frombuffer(enc.encode(t or ""), "<u4").astype(kind).tobytes() + end for t in part.column(1).to_pylist()]
             n = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
             nth = []

@@ -29,7 +29,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
         enc = encoder(tokenizer)
         dec = Decoder(enc.bpe)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", keep=True):
             ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
             texts = ["".join(dec.decode(np.frombuffer(i, "<u4"))) for i in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])

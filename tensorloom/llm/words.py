@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+from .worker import free, trim
+
+SLICE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -61,8 +63,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches again, in slices of at most `most` bytes of text or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of batches again, in slices of at most `most` bytes of text or one row.
+
+    keep: what the worker holds is for this operator; else it goes first. Free memory goes back to the system at the end.
+    """
+    if not keep:
+        free()
     for batch in batches:
         _, at = raw(batch.column(batch.schema.get_field_index(column)))
         row = 0
@@ -70,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
             yield batch.slice(row, end - row)
             row = end
+    trim()
 
 
 class Words:
