@@ -96,11 +96,12 @@ def entries(signed: DataFrame) -> DataFrame:
 
 def neighbours(batches):
     """Candidates (a, b, alike) of one stretch of the orders, kind 0; its first and last two entries again, kind 1."""
-    table = pa.Table.from_batches(list(batches))
-    n = table.num_rows
+    batches = list(batches)
+    n = sum(b.num_rows for b in batches)
     schema = ["kind", "a", "b", "alike", "entry"]
     if not n:
         return
+    table = pa.Table.from_batches(batches)
     keys = [table.column(c).to_numpy() for c in ORDER[:-1]]
     ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
