@@ -124,7 +124,10 @@ def blocks(vectors: DataFrame, cosine: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(p), batch.column("rep").take(take), batch.column("rows").take(take), pa.array(vec, pa.binary())], ["dim", "p", "rep", "rows", "vec"])
 
     def gather(batches):
-        table = pa.Table.from_batches(list(batches))
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
         for s in range(0, table.num_rows, BLOCK):
             part = table.slice(s, BLOCK)
             dims = part.column("dim").to_numpy()
