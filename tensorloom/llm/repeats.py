@@ -105,8 +105,12 @@ def windows_of(words: Words, ids: np.ndarray, copies: np.ndarray, cand_ids: np.n
     return starts, np.searchsorted(words.at, starts, side="right") - 1
 
 
-def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach: int, n: int) -> DataFrame:
-    """Repeated windows as blobs by document group: bucket, ids, places, firsts (least doc_id with that window)."""
+def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach: int, n: int, keyed: bool) -> DataFrame:
+    """Repeated windows as blobs by document group: bucket, kind, ids, places, firsts, keys.
+
+    firsts: a smaller doc_id with that window; the least one in rows of kind 0 (settled where all documents met). Rows of
+    kind 1 were known in a task of their group; keyed: both have the window's hash, so that runs() can look up the least.
+    """
 
     def extend(key, docs: pa.Table, cands: pa.Table) -> pa.Table:
         ids, places = blobs.joined(cands, "ids"), blobs.joined(cands, "places")
@@ -125,15 +129,12 @@ def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach:
             new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             least = doc[new][np.cumsum(new) - 1]
             known = doc > least
-            out.append(tagged(1, doc[known], place[known], least[known]))
+            used, cols = blobs.dealt(hashed_group(doc[known], groups), groups, [doc[known], place[known], least[known], h1[known]])
+            out.append(pa.RecordBatch.from_arrays([pa.array([1] * len(used), pa.int32()), pa.array(used, pa.int32()), *map(blobs.column, cols if keyed else [*cols[:3], [b""] * len(used)])], ["kind", "bucket", "a", "b", "c", "d"]))
             own = ~known
             used, cols = blobs.dealt((h1[own] % np.uint64(groups)).astype(np.int64), groups, [h1[own], h2[own], doc[own], place[own]])
             out.append(pa.RecordBatch.from_arrays([pa.array([0] * len(used), pa.int32()), pa.array(used, pa.int32()), *map(blobs.column, cols)], ["kind", "bucket", "a", "b", "c", "d"]))
 
-        def tagged(kind: int, doc, place, least) -> pa.RecordBatch:
-            used, cols = blobs.dealt(hashed_group(doc, groups), groups, [doc, place, least])
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), *map(blobs.column, cols), pa.nulls(len(used), pa.binary())], ["kind", "bucket", "a", "b", "c", "d"])
-
         total = 0
         for part in slices(docs.to_batches(), "text"):
             doc, copy = part.column("id").to_numpy(zero_copy_only=False), part.column("copy").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -154,11 +155,12 @@ def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach:
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcd")])
         return pa.Table.from_batches(out, schema)
 
+    names = ["bucket", "kind", "ids", "places", "firsts", "keys"]
+
     def settle(table: pa.Table) -> pa.Table:
         by_kind = table.column("kind").to_numpy()
         known, sent = table.filter(pa.array(by_kind == 1)), table.filter(pa.array(by_kind == 0))
-        bucket, a, b, c = (known.column(x) for x in ("bucket", "a", "b", "c"))
-        out = [pa.Table.from_arrays([bucket, a, b, c], ["bucket", "ids", "places", "firsts"])]
+        out = [known.select(["bucket", "kind", "a", "b", "c", "d"]).rename_columns(names)]
         h1, h2 = blobs.joined(sent, "a", np.uint64), blobs.joined(sent, "b", np.uint64)
         doc, place = blobs.joined(sent, "c"), blobs.joined(sent, "d")
         if len(h1):
@@ -167,13 +169,13 @@ def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach:
             new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             least = doc[new][np.cumsum(new) - 1]
             more = doc > least
-            used, cols = blobs.dealt(hashed_group(doc[more], groups), groups, [doc[more], place[more], least[more]])
-            out.append(pa.Table.from_arrays([pa.array(used, pa.int32()), *map(blobs.column, cols)], ["bucket", "ids", "places", "firsts"]))
+            used, cols = blobs.dealt(hashed_group(doc[more], groups), groups, [doc[more], place[more], least[more], h1[more]])
+            out.append(pa.Table.from_arrays([pa.array(used, pa.int32()), pa.array([0] * len(used), pa.int32()), *map(blobs.column, cols if keyed else [*cols[:3], [b""] * len(used)])], names))
         return pa.concat_tables(out)
 
     docs = rows.where("id is not null").withColumn("bucket", group_of(groups))
     found = docs.groupBy("bucket").cogroup(candidates.groupBy("bucket")).applyInArrow(extend, "kind int, bucket int, a binary, b binary, c binary, d binary")
-    return found.groupBy("bucket").applyInArrow(settle, "bucket int, ids binary, places binary, firsts binary")
+    return found.groupBy("bucket").applyInArrow(settle, "bucket int, kind int, ids binary, places binary, firsts binary, keys binary")
 
 
 def runs(windows: DataFrame, n: int, by_first: bool) -> DataFrame:
@@ -184,6 +186,14 @@ def runs(windows: DataFrame, n: int, by_first: bool) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         doc, place, first = blobs.joined(table, "ids"), blobs.joined(table, "places"), blobs.joined(table, "firsts")
+        if by_first:  # windows known in a task have the least document of that task; where all met, a smaller one may be known
+            keys = blobs.joined(table, "keys", np.uint64)
+            settled = table.filter(pa.array(table.column("kind").to_numpy() == 0))
+            names, where = np.unique(blobs.joined(settled, "keys", np.uint64), return_index=True)
+            if len(names):
+                least = blobs.joined(settled, "firsts")[where]
+                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+                first = np.where(names[at] == keys, least[at], first)
         order = np.lexsort((place, doc))
         doc, place, first = doc[order], place[order], first[order]
         new = np.ones(len(doc), bool)
@@ -205,7 +215,7 @@ def runs(windows: DataFrame, n: int, by_first: bool) -> DataFrame:
 def find_repeats(rows: DataFrame, candidates: Candidates, reach: int, n: int = WORDS, by_first: bool = False) -> DataFrame:
     """runs() of numbered() rows as a table in the shared folder. reach: words of a window that may precede its anchor."""
     groups = group_count(rows)
-    return written(runs(repeated_windows(rows, candidates(rows, groups), groups, reach, n), n, by_first), "repeats")
+    return written(runs(repeated_windows(rows, candidates(rows, groups), groups, reach, n, by_first), n, by_first), "repeats")
 
 
 def without_repeats(rows: DataFrame, spans: DataFrame, respaced: bool = True) -> DataFrame:
