@@ -1,0 +1,53 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from tensorloom.llm.queries import tokenizer_path
+
+from .test_near_dup import brute as near_brute
+from .test_repeats import brute as repeat_brute
+
+
+def plain(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def table(docs, texts):
+    return docs([*texts, (8000, "password=hunter22 and words", "en"), (8001, "12345", "en")]).select(cp.COLUMNS)
+
+
+def test_stages(spark, table):
+    rows = plain(table)
+    told = cp.language_id(spark, table, "")
+    assert told.columns == cp.COLUMNS
+    assert plain(told) == [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    rows = plain(told)
+    kept = {(d, k) for d, _, _, k in near_brute(rows)}
+    near = cp.near_dedup(spark, told, "")
+    assert plain(near) == [r for r in rows if (r[0], True) in kept] or {d for d, _ in plain(near)} == {d for d, k in kept if k}
+    rows = plain(near)
+    left = cp.substring_dedup(spark, near, "")
+    want = sorted(((d, (t if not gone else b" ".join(x for i, x in enumerate(w) if i not in gone).decode())) for (d, w, gone, _), (_, t) in zip(repeat_brute(rows), rows, strict=True) if len(gone) < len(w)), key=repr)
+    assert plain(left) == want and left.columns == cp.COLUMNS
+    assert all(r["n_chars"] == len(r["text"]) for r in left.collect())
+    clean = cp.secret_scan(spark, left, "")
+    assert (8000, "[SECRET] and words") in plain(clean) and clean.columns == cp.COLUMNS
+    packed = cp.packing(spark, clean, "").collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path())
+    assert sum(r["length"] for r in packed) == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in plain(clean))
+
+
+def test_run(spark, sf):
+    out = cp.run(spark, sf)
+    assert [n for n, _ in cp.STAGES] == ["language_id", "near_dedup", "substring_dedup", "secret_scan", "packing"]
+    assert out.count() > 0 and np.max([r["length"] for r in out.collect()]) <= 1024
+
+
+def test_empty_table(spark, docs):
+    df = docs([]).select(cp.COLUMNS)
+    for _, stage in cp.STAGES:
+        df = stage(spark, df, "")
+        assert df.count() == 0
