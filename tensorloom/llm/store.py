@@ -2,35 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from ..tables import shared_dir
+from ..tables import shared_table as written
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no shared folder (single-machine tests).
-FALLBACK = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again. Survives lost executors; goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tensorloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/tensorloom/" in f:
-            place = jvm.org.apache.hadoop.fs.Path(f)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["shared_dir", "written"]
