@@ -30,8 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate group; equal rows of it are one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
+    kept = written(near_duplicates(docs).where("kept").select("doc_id"), "kept")
+    once = kept.distinct()
+    out = docs.join(once, docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi").select(COLUMNS)
+    return out.dropDuplicates(["doc_id", "text"]) if kept.groupBy("doc_id").count().where("doc_id is not null and count > 1").count() else out
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
