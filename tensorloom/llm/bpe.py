@@ -22,8 +22,11 @@ import regex
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: The same for texts of Latin-1 characters, whose letters, numbers and white space are these (fixed values).
+_LETTER, _NUMBER, _BLANK = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t-\\r \\x85\\xa0"
+_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Longest piece (characters) whose ids are kept, and how many pieces a generation keeps.
-KEEP_BYTES, KEEP_PIECES = 64, 250_000
+KEEP_BYTES, KEEP_PIECES = 64, 350_000
 #: Bytes after which the transducer looks for stable tokens.
 CHUNK = 512
 
@@ -163,7 +166,7 @@ class Encoder:
             self._model = Tokenizer.from_file(path).model
             self._shown = str.maketrans({b: c for c, b in byte_chars().items()})
         self.kept = _Kept(self._by_transducer if engine == "transducer" else self._by_library)
-        self._find, self._find_ascii = regex.compile(_PATTERN, regex.V0).findall, re.compile(_ASCII).findall
+        self._find, self._find_latin, self._find_ascii = regex.compile(_PATTERN, regex.V0).findall, re.compile(_LATIN).findall, re.compile(_ASCII).findall
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")") if self.bpe.special else None
         self._markers = tuple(self.bpe.special)
 
@@ -175,8 +178,16 @@ class Encoder:
         return _little_endian([t.id for t in self._model.tokenize(shown)])
 
     def _plain(self, text: str) -> bytes:
-        pieces = self._find_ascii(text) if text.isascii() else self._find(text)
-        return b"".join(map(self.kept.__getitem__, pieces))
+        return b"".join(map(self.kept.__getitem__, self._pieces(text)))
+
+    def _pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._find_ascii(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._find(text)
+        return self._find_latin(text)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers. Special tokens' strings become their ids."""

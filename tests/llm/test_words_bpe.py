@@ -64,6 +64,8 @@ HARD = ["", " ", "a" * 3000, "ab" * 700, "=-" * 900, " " * 700 + "x", "\n\n \t x
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 @example("aaaa" * 400)
+@example("".join(map(chr, range(256))) * 2)
+@example(" ".join(map(chr, range(256))))
 def test_ids_are_the_librarys(library, encoders, text):
     want = library.encode(text, add_special_tokens=False).ids
     for e in encoders:
