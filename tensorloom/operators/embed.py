@@ -1,6 +1,7 @@
 """Reductions of a cluster's tensor under a bound on every value, and the choice of the smallest.
 
-A method turns a dense array (samples, vertices, coordinates) into a header and a payload, and back. Each cluster is one
+A method turns a dense array (samples, vertices, coordinates) into a header and a payload, and back; decode() also gives the
+places after what it has read, so clusters can follow one another in files. Each cluster is one
 group of a grouped map, so a covering bounds what a task holds. What a method really loses is measured after decoding;
 only methods within the bound can be chosen, and raw always is.
 """
@@ -132,12 +133,13 @@ class Raw:
         return b"".join(map(pack_varint, x.shape)) + b"\x08", encode_coordinates(x, quality)
 
     @staticmethod
-    def decode(header, payload):
-        shape, at = [], 0
+    def decode(header, payload, h=0, p=0):
+        shape = []
         for _ in range(3):
-            n, at = unpack_varint(header, at)
+            n, h = unpack_varint(header, h)
             shape.append(n)
-        return decode_coordinates(payload, 0, tuple(shape), DOUBLE)[0]
+        x, p = decode_coordinates(payload, p, tuple(shape), DOUBLE)
+        return x, h + 1, p
 
 
 class Static:
@@ -153,11 +155,12 @@ class Static:
         return b"".join(map(pack_varint, x.shape)) + b"\x08" + encode_coordinates(middle, quality), b""
 
     @staticmethod
-    def decode(header, payload):
-        t, at = unpack_varint(header)
-        v, at = unpack_varint(header, at)
-        d, at = unpack_varint(header, at)
-        return np.broadcast_to(decode_coordinates(header, at + 1, (v, d), DOUBLE)[0], (t, v, d))
+    def decode(header, payload, h=0, p=0):
+        t, h = unpack_varint(header, h)
+        v, h = unpack_varint(header, h)
+        d, h = unpack_varint(header, h)
+        middle, h = decode_coordinates(header, h + 1, (v, d), DOUBLE)
+        return np.broadcast_to(middle, (t, v, d)), h, p
 
 
 class Pca:
@@ -176,15 +179,15 @@ class Pca:
         return pack_varint(t) + pack_varint(v * d) + b"\x08" + encode_sparse(b, nb, eps) + pack_varint(d) + centre_bytes, encode_sparse(a, na, eps)
 
     @staticmethod
-    def decode(header, payload):
-        t, at = unpack_varint(header)
-        m, at = unpack_varint(header, at)
-        b, _, at = decode_sparse(header, at + 1, m, DOUBLE)
-        d, at = unpack_varint(header, at)
-        centre, _ = decode_coordinates(header, at, (m // d, d), DOUBLE)
-        a, _, _ = decode_sparse(payload, 0, t, DOUBLE)
+    def decode(header, payload, h=0, p=0):
+        t, h = unpack_varint(header, h)
+        m, h = unpack_varint(header, h)
+        b, _, h = decode_sparse(header, h + 1, m, DOUBLE)
+        d, h = unpack_varint(header, h)
+        centre, h = decode_coordinates(header, h, (m // d, d), DOUBLE)
+        a, _, p = decode_sparse(payload, p, t, DOUBLE)
         k = min(a.shape[1], b.shape[1])
-        return _unconfig(a[:, :k] @ b[:, :k].T, m // d, d) + centre
+        return _unconfig(a[:, :k] @ b[:, :k].T, m // d, d) + centre, h, p
 
 
 class Rotation:
@@ -212,17 +215,17 @@ class Rotation:
         return pack_varint(v) + b"\x08" + centre_bytes + vector_bytes, pack_varint(t) + pack_ints(need, 2) + b"".join(columns)
 
     @staticmethod
-    def decode(header, payload):
-        v, at = unpack_varint(header)
-        centre, at = decode_coordinates(header, at + 1, (v, 3), DOUBLE)
-        vectors, _ = decode_coordinates(header, at, (v, 3), DOUBLE)
-        t, at = unpack_varint(payload)
-        need, at = unpack_ints(payload, v, 2, at)
+    def decode(header, payload, h=0, p=0):
+        v, h = unpack_varint(header, h)
+        centre, h = decode_coordinates(header, h + 1, (v, 3), DOUBLE)
+        vectors, h = decode_coordinates(header, h, (v, 3), DOUBLE)
+        t, p = unpack_varint(payload, p)
+        need, p = unpack_ints(payload, v, 2, p)
         u = np.zeros((v, t, 3))
         for k in range(3):
             pick = np.flatnonzero(need > k)
-            u[pick, :, k], at = decode_coordinates(payload, at, (len(pick), t), DOUBLE)
-        return (u @ rotations(vectors)).transpose(1, 0, 2) + centre
+            u[pick, :, k], p = decode_coordinates(payload, p, (len(pick), t), DOUBLE)
+        return (u @ rotations(vectors)).transpose(1, 0, 2) + centre, h, p
 
 
 #: Methods by name, with their numbers in files; register_method() adds to them.
@@ -263,7 +266,7 @@ def embed(t: DataFrame, covering: DataFrame, quality: float, candidates: tuple[s
         for name, (number, method) in methods.items():
             if method.valid(x, quality):
                 header, payload = method.encode(x, quality)
-                lost = float(np.abs(method.decode(header, payload) - x).max())
+                lost = float(np.abs(method.decode(header, payload)[0] - x).max())
                 rows.append({"series": table.column("series")[0].as_py(), "cluster": table.column("cluster")[0].as_py(), "method": name, "number": number, "header": header, "payload": payload, "nbytes": len(header) + len(payload), "linf": lost})
         return pa.Table.from_pylist(rows, schema)
 
@@ -289,7 +292,7 @@ def reconstruct(chosen: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                x = methods[r["method"]][1].decode(r["header"], r["payload"])
+                x = methods[r["method"]][1].decode(r["header"], r["payload"])[0]
                 t, v, d = x.shape
                 at = np.indices((t, v, d), np.int32).reshape(3, -1)
                 n = x.size

@@ -46,6 +46,43 @@ def covering_files(cover: DataFrame) -> DataFrame:
     return cover.groupBy("series").applyInArrow(run, "series string, covering binary")
 
 
+def embedding_files(encoded: DataFrame, cover: DataFrame) -> DataFrame:
+    """series, header, projection, clusters binary: the three files of each series, clusters one after another in the first two."""
+    from ..functions.bytes import pack_varint
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cluster")
+        head = b"".join(pack_varint(n) + h for n, h in zip(table.column("number").to_pylist(), table.column("header").to_pylist(), strict=True))
+        body = b"".join(table.column("payload").to_pylist())
+        return pa.table({"series": [table.column("series")[0].as_py()], "header": pa.array([head], pa.binary()), "projection": pa.array([body], pa.binary())})
+
+    parts = encoded.select("series", "cluster", "number", "header", "payload").groupBy("series").applyInArrow(run, "series string, header binary, projection binary")
+    return parts.join(covering_files(cover).withColumnRenamed("covering", "clusters"), "series")
+
+
+def read_embedding_files(files: DataFrame) -> DataFrame:
+    """The long tensors of embedding_files()' rows; clusters are found by reading on from one to the next."""
+    from ..functions.bytes import read_covering, unpack_varint
+    from ..operators.embed import METHODS
+
+    methods = {n: m for n, m in METHODS.values()}
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                vertices, sizes, _ = read_covering(r["clusters"])
+                h = p = first = 0
+                for size in sizes.tolist():
+                    number, h = unpack_varint(r["header"], h)
+                    x, h, p = methods[number].decode(r["header"], r["projection"], h, p)
+                    at = np.indices(x.shape, np.int32).reshape(3, -1)
+                    own = vertices[first : first + size].astype(np.int64)
+                    first += size
+                    yield pa.RecordBatch.from_arrays([pa.array([r["series"]] * x.size), pa.array(at[0]), pa.array(own[at[1]]), pa.array(at[2]), pa.array(np.ascontiguousarray(x).ravel())], [*KEY, "value"])
+
+    return files.select("series", "header", "projection", "clusters").mapInArrow(run, "series string, sample int, vertex long, coord int, value double")
+
+
 def compressed_size(encoded: DataFrame, cover: DataFrame) -> DataFrame:
     """series, compressed_size: headers with their method numbers, payloads, and the covering."""
     parts = encoded.groupBy("series").agg(F.sum(F.col("nbytes") + varint_length(F.col("number"))).alias("bytes"))

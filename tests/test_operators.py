@@ -31,8 +31,8 @@ def test_methods_round_trip(name, x, quality):
     if not method.valid(x, quality):
         pytest.skip("not valid here")
     header, payload = method.encode(x, quality)
-    back = method.decode(header, payload)
-    assert back.shape == x.shape
+    back, h, p = method.decode(header, payload)
+    assert back.shape == x.shape and (h, p) == (len(header), len(payload))
     assert np.abs(back - x).max() <= (1.5 if name == "static" else 1.0) * quality * (1 + 1e-5)
 
 
@@ -83,6 +83,17 @@ def test_compress_keeps_bound(spark):
         assert sizes == {r["series"]: r["covering_bytes"] for r in cluster.bytes_size(cover).collect()}
 
 
+def test_files_round_trip(spark):
+    x = moving(30)
+    t = long(spark, x).unionByName(long(spark, SIMPLE, "y"))
+    encoded, cover = pipeline.compress(t, 0.01, "by_index", 20)
+    files = pipeline.embedding_files(encoded, cover)
+    sizes = {r["series"]: len(r["header"]) + len(r["projection"]) + len(r["clusters"]) for r in files.collect()}
+    assert sizes == {r["series"]: r["compressed_size"] for r in pipeline.compressed_size(encoded, cover).collect()}
+    back = pipeline.read_embedding_files(files)
+    assert back.count() == t.count() and all(r["linf"] <= 0.01 * (1 + 1e-6) for r in metric.linf(t, back).collect())
+
+
 def test_by_index_sizes(spark):
     t = long(spark, moving(1000, 1))
     sizes = [r["size"] for r in cluster.counts(cluster.by_index(t, 1e-2, 11)).collect()]

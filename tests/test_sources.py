@@ -85,3 +85,24 @@ def test_stream(spark, tmp_path):
             want[v, i], before = now - before, now
     assert got == want
     assert window_sizes(spark.table("deltas"), "5 minutes").agg(F.sum("n")).first()[0] == 12
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tensorloom.__main__ import main
+
+    a, b, out = tmp_path / "a", tmp_path / "b", tmp_path / "out"
+    a.mkdir()
+    (a / "manifest.json").write_text(json.dumps(DOC))
+    (a / "o-p--.geom-P.bin").write_bytes(b"x" * 72)
+    (a / "o-q--w.bin").write_bytes(b"y" * 24)
+    new = tmp_path / "new.bin"
+    new.write_bytes(b"z" * 24)
+    assert main(["parse", str(a)]) == 0 and capsys.readouterr().out.count("\n") == 3
+    assert main(["separate", str(a), str(out), "-t", "float64_t"]) == 0 and [f.name for f in out.iterdir()] == ["o-q--w.bin"]
+    assert main(["combine", str(a), str(b), "--override", "o/q//w", str(new)]) == 0
+    assert (b / "o-q--w.bin").read_bytes() == b"z" * 24 and (b / "o-p--.geom-P.bin").read_bytes() == b"x" * 72
+    assert main(["compare", str(a), str(a)]) == 0
+    capsys.readouterr()
+    assert main(["compare", str(a), str(b)]) == 1 and capsys.readouterr().out.split() == ["~", "o/q//w"]
+    (a / "o-q--w.bin").write_bytes(b"y")
+    assert main(["separate", str(a), str(out)]) == 1
