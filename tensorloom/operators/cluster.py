@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import int_range_width, line_angle
 from ..tables import shared_table
+from .rank import ranked
 from .tensor import curves
 
 #: Rounds of the greedy cover between two writes of its state.
 ROUNDS_KEPT = 16
+#: Centres that are broadcast.
+CENTRES = 10_000
 
 
 def vertices(t: DataFrame) -> DataFrame:
@@ -24,14 +27,18 @@ def vertices(t: DataFrame) -> DataFrame:
 def covering(labels: DataFrame) -> DataFrame:
     """A covering from series, vertex, label: clusters numbered by label, empty labels left out, ranks by vertex."""
     used = labels.select("series", "label").distinct().withColumn("cluster", (F.row_number().over(Window.partitionBy("series").orderBy("label")) - 1).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("series", "cluster").orderBy("vertex")) - 1
-    return labels.join(used, ["series", "label"]).select("series", "vertex", "cluster", rank.cast("int").alias("rank_in_cluster"))
+    joined = labels.join(used, ["series", "label"]).select("series", "vertex", "cluster")
+    return _placed(joined, ["series", "cluster"])
+
+
+def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """series, vertex, cluster, rank_in_cluster of rows with a cluster."""
+    return ranked(rows, by, ["vertex"], "place").select("series", "vertex", "cluster", F.col("place").cast("int").alias("rank_in_cluster"))
 
 
 def monolithic(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000) -> DataFrame:
     """All vertices in one cluster."""
-    rank = F.row_number().over(Window.partitionBy("series").orderBy("vertex")) - 1
-    return vertices(t).select("series", "vertex", F.lit(0).alias("cluster"), rank.cast("int").alias("rank_in_cluster"))
+    return _placed(vertices(t).withColumn("cluster", F.lit(0)), ["series"])
 
 
 def even_bucket(place: Column, n: Column, size: int) -> tuple[Column, Column]:
@@ -47,10 +54,10 @@ def even_bucket(place: Column, n: Column, size: int) -> tuple[Column, Column]:
 
 def by_index(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000) -> DataFrame:
     """Clusters of at most cluster_size vertices in a row, as even as can be."""
-    ranked = vertices(t).withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("vertex")) - 1)
+    placed = ranked(vertices(t), ["series"], ["vertex"], "place")
     n = vertices(t).groupBy("series").agg(F.count("*").alias("n"))
     bucket, within = even_bucket(F.col("place"), F.col("n"), cluster_size)
-    return ranked.join(F.broadcast(n), "series").select("series", "vertex", bucket.alias("cluster"), within.alias("rank_in_cluster"))
+    return placed.join(n, "series").select("series", "vertex", bucket.alias("cluster"), within.alias("rank_in_cluster"))
 
 
 def static_vertices(t: DataFrame, quality: float, every: bool = True) -> DataFrame:
@@ -67,11 +74,10 @@ def static_first(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000
     """Static vertices as cluster 0, the others by cluster_fn after it; only one of both where the other is empty."""
     still = static_vertices(t, quality, every)
     quiet = still.where("static").select("series", "vertex")
-    rank = (F.row_number().over(Window.partitionBy("series").orderBy("vertex")) - 1).cast("int")
-    first = quiet.select("series", "vertex", F.lit(0).alias("cluster"), rank.alias("rank_in_cluster"))
+    first = _placed(quiet.withColumn("cluster", F.lit(0)), ["series"])
     moving = cluster_fn(t.join(quiet, ["series", "vertex"], "left_anti"), quality, cluster_size)
     some = quiet.select("series").distinct().withColumn("shift", F.lit(1))
-    after = moving.join(F.broadcast(some), "series", "left").select("series", "vertex", (F.col("cluster") + F.coalesce("shift", F.lit(0))).alias("cluster"), "rank_in_cluster")
+    after = moving.join(some, "series", "left").select("series", "vertex", (F.col("cluster") + F.coalesce("shift", F.lit(0))).alias("cluster"), "rank_in_cluster")
     return first.unionByName(after)
 
 
@@ -175,7 +181,7 @@ def axes(t: DataFrame, form: str) -> DataFrame:
                     out.append((vt[0] if form == "first" else vt[-1] if form == "last" else vt.ravel()).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("vertex"), pa.array(out, pa.list_(pa.float64()))], ["series", "vertex", "axis"])
 
-    return curves(t).join(F.broadcast(ndim), "series").mapInArrow(run, "series string, vertex long, axis array<double>")
+    return curves(t).join(ndim, "series").mapInArrow(run, "series string, vertex long, axis array<double>")
 
 
 def pca_kmeans(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000, seed: int = 1) -> DataFrame:
@@ -184,8 +190,12 @@ def pca_kmeans(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000,
 
 
 def distances(points: DataFrame, centres: DataFrame, metric=line_angle) -> DataFrame:
-    """Each point (series, vertex, axis) with each centre (centre, at): distance. centres is a small table."""
-    return points.crossJoin(F.broadcast(centres)).withColumn("distance", metric(F.col("axis"), F.col("at")))
+    """Each point (series, vertex, axis) with each centre (centre, at): distance. All pairs are the result.
+
+    Up to CENTRES centres go to every task; with more, blocks of both sides meet.
+    """
+    few = centres.limit(CENTRES + 1).count() <= CENTRES
+    return points.crossJoin(F.broadcast(centres) if few else centres).withColumn("distance", metric(F.col("axis"), F.col("at")))
 
 
 def nearest(points: DataFrame, centres: DataFrame, metric=line_angle) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import ranked
+
 KEY = ("series", "sample", "vertex", "coord")
 
 
@@ -80,7 +82,7 @@ def flatten_config(t: DataFrame, covering: DataFrame | None = None) -> DataFrame
     """
     rank = covering.select("series", "vertex", "rank_in_cluster") if covering is not None else _ranks(t)
     n = rank.groupBy("series").agg(F.count("*").alias("nverts"))
-    return t.join(rank, ["series", "vertex"]).join(F.broadcast(n), "series").select("series", F.col("sample").alias("row"), (F.col("coord") * F.col("nverts") + F.col("rank_in_cluster")).cast("long").alias("col"), "value")
+    return t.join(rank, ["series", "vertex"]).join(n, "series").select("series", F.col("sample").alias("row"), (F.col("coord") * F.col("nverts") + F.col("rank_in_cluster")).cast("long").alias("col"), "value")
 
 
 def unflatten_config(flat: DataFrame, ndim: int) -> DataFrame:
@@ -88,18 +90,18 @@ def unflatten_config(flat: DataFrame, ndim: int) -> DataFrame:
     n = flat.groupBy("series").agg((F.max("col") + 1).alias("ncols"))
     each = F.expr(f"assert_true(ncols % {ndim} = 0, 'columns are no multiple of the dimension')")
     sized = n.withColumn("ok", each).withColumn("nverts", F.expr(f"ncols div {ndim}"))
-    return flat.join(F.broadcast(sized), "series").where("ok is null").select("series", F.col("row").alias("sample"), F.expr("col % nverts").alias("rank"), F.expr("cast(col div nverts as int)").alias("coord"), "value")
+    return flat.join(sized, "series").where("ok is null").select("series", F.col("row").alias("sample"), F.expr("col % nverts").alias("rank"), F.expr("cast(col div nverts as int)").alias("coord"), "value")
 
 
 def flatten_vertex(t: DataFrame) -> DataFrame:
     """series, vertex, col (sample * ndim + coord), value."""
     n = t.groupBy("series").agg((F.max("coord") + 1).alias("ndim"))
-    return t.join(F.broadcast(n), "series").select("series", "vertex", (F.col("sample") * F.col("ndim") + F.col("coord")).cast("long").alias("col"), "value")
+    return t.join(n, "series").select("series", "vertex", (F.col("sample") * F.col("ndim") + F.col("coord")).cast("long").alias("col"), "value")
 
 
 def _ranks(t: DataFrame) -> DataFrame:
     """The order of vertices within each series, without a window over all values."""
-    return t.select("series", "vertex").distinct().withColumn("rank_in_cluster", (F.row_number().over(Window.partitionBy("series").orderBy("vertex")) - 1).cast("int"))
+    return ranked(t.select("series", "vertex").distinct(), ["series"], ["vertex"], "rank_in_cluster")
 
 
 def sliced(t: DataFrame, covering: DataFrame) -> DataFrame:

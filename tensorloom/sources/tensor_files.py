@@ -23,7 +23,7 @@ def read(spark: SparkSession, folder: str, components: DataFrame) -> DataFrame:
                 at = np.indices(shape, np.int32).reshape(3, -1)
                 yield pa.RecordBatch.from_arrays([pa.array([r["series"]] * x.size), pa.array(at[0]), pa.array(at[1].astype(np.int64)), pa.array(at[2]), pa.array(x)], ["series", "sample", "vertex", "coord", "value"])
 
-    return files.join(F.broadcast(wanted), "bin").mapInArrow(run, "series string, sample int, vertex long, coord int, value double")
+    return files.join(wanted, "bin").mapInArrow(run, "series string, sample int, vertex long, coord int, value double")
 
 
 def contents(t: DataFrame, bits: int = 64) -> DataFrame:

@@ -171,6 +171,17 @@ def test_sizes_foretell_bytes(spark):
     assert sizes == {k: len(encode_stream(np.ascontiguousarray(x[:, :, k].ravel()), 1e-3)) for k in range(3)}
 
 
+def test_ranks_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tensorloom.operators.rank import ranked
+
+    df = spark.range(5000).select((F.col("id") % 3 == 0).cast("string").alias("series"), F.expr("(id * 7919) % 5003").alias("vertex"))
+    a, b = (sorted(map(tuple, ranked(df, ["series"], ["vertex"], "place", n).collect())) for n in (10**6, 0))
+    assert a == b and [r[2] for r in a if r[0] == "true"] == list(range(1667))
+    assert ranked(df.limit(0), ["series"], ["vertex"], "place").count() == 0
+
+
 def test_registry(spark):
     with pytest.raises(ValueError):
         registry.register_method("other", 1, embed.Raw)
