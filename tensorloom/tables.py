@@ -11,7 +11,11 @@ FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
+    """The folder in spark.checkpoint.dir; an error where a cluster names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or FALLBACK).rstrip("/")
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
