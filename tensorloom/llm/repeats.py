@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .store import written
-from .words import SEQ_BASE_2, Words, mix, ranges, sequences, slices
+from .words import SEQ_BASE_2, Words, sequences, slices
 
 WORDS = 50
 #: Records that a task holds before it deals them out.
