@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import cluster, codec, embed, metric, tensor
 from ..sources import manifest
+from ..streaming import deltas
 from . import pipeline, sql
 
 Q_EVT, Q_EMB, Q_LI, Q_STATIC = 1e-2, 1e-2, 7e-3, 0.2
@@ -325,6 +326,15 @@ def codec_report(spark, sf_dir):
     return r.select("series", "original_size", "compressed_size", "original_numvalues", F.round("linf", 9).alias("linf"), F.round("ratio", 6).alias("ratio"))
 
 
+@query(f"select user_id as vertex, event_id as id, quantised, quantised - coalesce(lag(quantised) over (partition by user_id order by ts, event_id), 0) as delta from (select *, {sql.quantised('value', Q_EVT)} as quantised from events)")
+def stream_intify_delta(spark, sf_dir):
+    """Event values quantised and differenced as a stream with state per user, over all that is there now."""
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    values = events.select(F.col("user_id").alias("vertex"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
+    return deltas.run_available(deltas.stream_deltas(values, Q_EVT), "deltas").select("vertex", "id", "quantised", "delta")
+
+
 # clusterings by distance
 
 
