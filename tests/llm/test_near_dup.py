@@ -70,8 +70,12 @@ def test_by_shuffle(docs, texts, monkeypatch):
     test_matches_brute_force(docs, texts)
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
 @pytest.mark.parametrize("n,m", [(1, 0), (50, 30), (300, 280), (200, 1500)])
-def test_components(spark, n, m):
+def test_components(spark, monkeypatch, n, m, limit):
+    from tensorloom.llm import components as c
+
+    monkeypatch.setattr(c, "LINKS_A_TASK", limit)
     rng = np.random.default_rng(n)
     links = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
     if n == 300:
