@@ -3,7 +3,7 @@
 Vectors of length one are projected on PROJECTIONS random directions. In one projection, two vectors collide when each
 is in a window around the other, REACH deviations (of a pair just at the threshold) wide. A pair is verified by its
 cosine when it collides in `needed` projections: the count that a pair just at the threshold reaches with probability
-RECALL, from the binomial distribution. The first projection orders the vectors: range partitions of that order are
+RECALL, from the binomial distribution. The first projection orders the vectors: stretches of that order are
 blocks, a block meets those that its window reaches, and within two blocks the sorted order leaves each vector one
 stretch to count in. Counting stops for a pair once it has missed too often.
 
@@ -123,24 +123,34 @@ def blocks(vectors: DataFrame, cosine: float) -> DataFrame:
                 vec = [r.tobytes() for r in matrix.astype(np.float32 if exact32 else np.float64)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(p), batch.column("rep").take(take), batch.column("rows").take(take), pa.array(vec, pa.binary())], ["dim", "p", "rep", "rows", "vec"])
 
-    def gather(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        for s in range(0, table.num_rows, BLOCK):
-            part = table.slice(s, BLOCK)
-            dims = part.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                own = part.filter(pa.array(dims == dim))
-                p = own.column("p").to_numpy()
-                rows = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in own.column("vec").to_pylist()])
-                small = (rows.astype(np.float32) == rows).all()
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([p.min()]), pa.array([p.max()]), *(pa.array([own.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("rep", "rows")), pa.array([(rows.astype(np.float32) if small else rows).tobytes()], pa.binary())], ["dim", "lo", "hi", "reps", "counts", "matrix"])
+    def place(batches):
+        for batch in batches:
+            dims, p = batch.column("dim").to_numpy(), batch.column("p").to_numpy()
+            block = np.zeros(len(dims), np.int32)
+            for dim in set(dims.tolist()) & set(edges):
+                own = dims == dim
+                block[own] = np.searchsorted(edges[dim], p[own], side="right")
+            yield batch.append_column("block", pa.array(block))
+
+    def gather(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("p", "ascending"), ("rep", "ascending")])
+        dim, out = table.column("dim")[0].as_py(), []
+        for s in range(0, table.num_rows, 2 * BLOCK):  # edges are approximate
+            own = table.slice(s, 2 * BLOCK)
+            p = own.column("p").to_numpy()
+            rows = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in own.column("vec").to_pylist()])
+            small = (rows.astype(np.float32) == rows).all()
+            reps, counts = (own.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rep", "rows"))
+            out.append({"dim": dim, "lo": float(p.min()), "hi": float(p.max()), "reps": reps, "counts": counts, "matrix": (rows.astype(np.float32) if small else rows).tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("dim", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("reps", pa.binary()), ("counts", pa.binary()), ("matrix", pa.binary())]))
 
     flat = written(vectors.mapInArrow(project, projected), "projected")
-    stretches = max(1, -(-flat.count() // BLOCK))
-    return written(flat.repartitionByRange(stretches, "dim", "p", "rep").sortWithinPartitions("dim", "p", "rep").mapInArrow(gather, "dim int, lo double, hi double, reps binary, counts binary, matrix binary"), "blocks")
+    edges = {}  # where blocks begin: one number for each BLOCK vectors
+    for r in flat.groupBy("dim").count().where(F.col("count") > BLOCK).collect():
+        n = -(-r["count"] // BLOCK)
+        edges[r["dim"]] = np.array(flat.where(F.col("dim") == r["dim"]).approxQuantile("p", [k / n for k in range(1, n)], 0.1 / n))
+    dealt = flat.mapInArrow(place, f"{projected}, block int")
+    return written(dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, lo double, hi double, reps binary, counts binary, matrix binary"), "blocks")
 
 
 def matrix_of(blob: bytes, n: int, dim: int) -> np.ndarray:
