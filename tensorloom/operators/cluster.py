@@ -55,7 +55,7 @@ def even_bucket(place: Column, n: Column, size: int) -> tuple[Column, Column]:
 def by_index(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000) -> DataFrame:
     """Clusters of at most cluster_size vertices in a row, as even as can be."""
     placed = ranked(vertices(t), ["series"], ["vertex"], "place")
-    n = vertices(t).groupBy("series").agg(F.count("*").alias("n"))
+    n = placed.groupBy("series").agg(F.count("*").alias("n"))
     bucket, within = even_bucket(F.col("place"), F.col("n"), cluster_size)
     return placed.join(n, "series").select("series", "vertex", bucket.alias("cluster"), within.alias("rank_in_cluster"))
 
@@ -72,7 +72,7 @@ def static_vertices(t: DataFrame, quality: float, every: bool = True) -> DataFra
 
 def static_first(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000, cluster_fn=by_index, every: bool = True) -> DataFrame:
     """Static vertices as cluster 0, the others by cluster_fn after it; only one of both where the other is empty."""
-    still = static_vertices(t, quality, every)
+    still = shared_table(static_vertices(t, quality, every), "static")
     quiet = still.where("static").select("series", "vertex")
     first = _placed(quiet.withColumn("cluster", F.lit(0)), ["series"])
     moving = cluster_fn(t.join(quiet, ["series", "vertex"], "left_anti"), quality, cluster_size)

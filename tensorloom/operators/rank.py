@@ -17,6 +17,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, window_row
     Large tables are sorted over tasks by range; a row's place is its place in its task plus the rows of its group in the
     tasks before, of which there is one number for each group and task.
     """
+    df = shared_table(df, "unranked")  # made once, counted and ranked from there
     if df.count() <= (WINDOW_ROWS if window_rows is None else window_rows):
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     keys = [*by, *order]
