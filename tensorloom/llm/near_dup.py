@@ -28,6 +28,8 @@ TREES, BASE, DEPTH, REGION = 16, 4, 8, 32
 SKETCH, LEAST_ALIKE = 64, 0.53
 #: Documents in candidates that are broadcast by id; beyond it, documents are joined by a shuffle.
 IDS_BROADCAST = 4_000_000
+#: Pairs (two ids each) that are broadcast to the sets of their first ends.
+PAIRS_BROADCAST = 1_000_000
 #: Rows of an order that one task reads, about.
 ORDER_ROWS = 65_536
 
@@ -156,7 +158,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "set"])
 
     full = wanted.select("id", "text").mapInArrow(sets, "id long, set binary")
-    left = pairs.select("a", "b").join(full.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
+    ends_of = pairs.select("a", "b")
+    small = pairs.count() <= PAIRS_BROADCAST  # then the first join moves no sets
+    left = full.withColumnsRenamed({"id": "a", "set": "set_a"}).join(F.broadcast(ends_of) if small else ends_of, "a")
     both = left.join(full.withColumnsRenamed({"id": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
 
     def check(batches):

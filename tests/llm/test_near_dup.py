@@ -66,6 +66,7 @@ def test_empty(docs):
 
 def test_by_shuffle(docs, texts, monkeypatch):
     monkeypatch.setattr(near_dup, "IDS_BROADCAST", 0)
+    monkeypatch.setattr(near_dup, "PAIRS_BROADCAST", 0)
     monkeypatch.setattr(near_dup, "ORDER_ROWS", 64)
     test_matches_brute_force(docs, texts)
 
