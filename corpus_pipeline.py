@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm.language import sample, predict, train
-from tensorloom.llm.near_dup import near_duplicates
+from tensorloom.llm.near_dup import IDS_BROADCAST, near_duplicates
 from tensorloom.llm.packing import pack
 from tensorloom.llm.queries import tokenizer_path
 from tensorloom.llm.repeats import find_repeats, numbered, without_repeats
@@ -32,7 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate group; equal rows of it are one."""
     kept = written(near_duplicates(docs).where("kept").select("doc_id"), "kept")
     once = kept.distinct()
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi").select(COLUMNS)
+    ids = F.broadcast(once) if kept.count() <= IDS_BROADCAST else once  # few ids go to the texts, not the texts to them
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(COLUMNS)
     return out.dropDuplicates(["doc_id", "text"]) if kept.groupBy("doc_id").count().where("doc_id is not null and count > 1").count() else out
 
 
