@@ -26,8 +26,8 @@ SHINGLE, SHARE = 5, 75
 TREES, BASE, DEPTH, REGION = 16, 4, 8, 32
 #: Bytes of a signature kept for a first estimate, and the least share of them that must agree (four deviations below SHARE).
 SKETCH, LEAST_ALIKE = 64, 0.53
-#: Documents in candidates that are broadcast by id; beyond it, documents are joined by a shuffle.
-IDS_BROADCAST = 4_000_000
+#: Documents that are broadcast by id (about 100 bytes each in a task); beyond it, documents are joined by a shuffle.
+IDS_BROADCAST = 1_000_000
 #: Pairs (two ids each) that are broadcast to the sets of their first ends.
 PAIRS_BROADCAST = 1_000_000
 #: Rows of an order that one task reads, about.
