@@ -1,13 +1,16 @@
 """Secrets in whole texts: fixed patterns, and values in a credential context whose guess cost is high.
 
 The guess cost of a value is the least sum, over all ways to cut it into words, dates, repeats, keyboard walks and
-brute-force spans, of the log10 guesses of its segments (a dynamic programme over end positions).
+brute-force spans, of the log10 guesses of its segments (a dynamic programme over end positions). Words are COMMON, then
+the words of four letters or more in the public BPE vocabulary, most frequent first, so prose after "login is" stays cheap.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +23,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that make what follows ": ", "=" or "is" a credential value.
+#: Words that make what follows ": ", "=" or "is" a credential value; after "bearer" a space will do.
 _CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "credential", "login", "bearer", "secret", "token", "private key", "private_key", "access key", "access_key", "api key", "apikey", "api_key")
-_CONTEXT = re.compile(rf"""\b(?:{"|".join(map(re.escape, _CONTEXT_WORDS))})s?["']?\s{{0,3}}(?:\bis\b|[:=]+>?)\s{{0,3}}["']?([^\s"'<>,;]{{8,}})""", re.I | re.A)
+_CONTEXT = re.compile(rf"""(?<![A-Za-z0-9])(?:(?:{"|".join(map(re.escape, _CONTEXT_WORDS))})s?["']?\s{{0,3}}(?:\bis\b|[:=]+>?)\s{{0,3}}|bearer\s{{1,3}}(?!is\b))["']?([^\s"'<>,;]{{8,}})""", re.I | re.A)
 #: Frequent parts of passwords, most frequent first.
 COMMON = """password admin welcome letmein qwerty monkey dragon master login access secret shadow summer winter spring autumn
 sunshine princess football baseball iloveyou trustno hello freedom whatever michael jordan hunter ranger buster soccer
@@ -32,8 +35,8 @@ love money lucky happy angel mustang corvette ferrari mercedes google apple sams
 you with this that from have""".split()
 #: Rows of a keyboard.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+#: Letters of the vocabulary's words.
+WORD_LETTERS = range(4, 21)
 _LEET = str.maketrans("430157@$!", "aeoistasi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d)")
 _BESIDE = {a + b for row in KEYBOARD for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
@@ -43,6 +46,18 @@ DATE_COST, RUN_COST, SEGMENT_COST = math.log10(365 * 120), math.log10(50), math.
 LEAST_COST = 10.0
 
 
+@lru_cache(1)
+def _ranks() -> tuple[dict[str, int], int]:
+    """The rank of each word, and the letters of the longest."""
+    from .queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    tokens = (t.removeprefix("\u0120").lower() for t in sorted(vocabulary, key=vocabulary.get))  # the byte for a space
+    words = dict.fromkeys([*COMMON, *(t for t in tokens if len(t) in WORD_LETTERS and t.isascii() and t.isalpha())])
+    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words))
+
+
 def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
@@ -53,12 +68,13 @@ def guess_cost(value: str) -> float:
     low = value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
+    ranks, longest = _ranks()
     dates = {m.start(): m.end() for m in _DATE.finditer(value)}
     for i in range(n):
         so_far = best[i] + (SEGMENT_COST if i else 0)
         cost = so_far
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):  # a word, as it is or with digits for letters
-            if (rank := _RANK.get(plain[i:j])) is not None:
+        for j in range(i + 1, min(n, i + longest) + 1):  # a word, as it is or with digits for letters
+            if (rank := ranks.get(plain[i:j])) is not None:
                 part = value[i:j]
                 cost = so_far + math.log10(rank + 1) + (part != part.lower()) * math.log10(2) + (plain[i:j] != low[i:j]) * math.log10(4)
                 best[j] = min(best[j], cost)
@@ -77,7 +93,11 @@ def guess_cost(value: str) -> float:
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
-    """(kind, start, end, log10 guesses of a credential value) by start, then in the order of KINDS; code points, end exclusive."""
+    """(kind, start, end, log10 guesses of a credential value) by start, then in the order of KINDS; code points, end exclusive.
+
+    Every value of 8 characters or more in a credential context is scored: it is a guess span from LEAST_COST on, or where
+    it reaches beyond an assign span.
+    """
     if not text:
         return []
     found, low = [], text.lower()
@@ -88,12 +108,17 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
         taken = sorted((s, e) for k, s, e, _ in found if k == "assign")
-        for m in _CONTEXT.finditer(text):
-            value = m[1]
-            if any(c.isdigit() for c in value) and not any(s < m.end(1) and m.start(1) < e for s, e in taken):
-                cost = guess_cost(value[:512])  # the cost only rises with further characters
-                if cost >= LEAST_COST:
-                    found.append(("guess", m.start(1), m.end(1), cost))
+        at = 0
+        while m := _CONTEXT.search(text, at):
+            start, end = m.span(1)
+            at = start  # a value may begin with the context of another
+            over = [(s, e) for s, e in taken if s < end and start < e]
+            if any(s <= start and end <= e for s, e in over):
+                continue
+            cost = guess_cost(m[1][:512])  # the cost only rises with further characters
+            if over or cost >= LEAST_COST:  # the rest of an assigned value is as secret as its start
+                taken.append((start, end))
+                found.append(("guess", start, end, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
