@@ -9,6 +9,11 @@ range partitioning on the whole key with the id, so no group of documents lands
 Links are confirmed in two rounds: first each document with its most similar candidate of smaller id; then every other
 candidate pair whose ends those links leave in different components. A pair inside a component can no longer change
 the components, so no link is lost by leaving it out.
+
+The longer prefix loses pairs, so documents of a region that asks for one are compared once more, exactly: a pair of
+SHARE has a shingle in common among the first ones of both in any one order of all shingles, at places that leave room
+for enough further ones. Rare shingles come first, so documents that share no more than a template do not meet, and
+pairs inside a component are left out.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blobs
 from .components import components
 from .store import written
-from .words import SEQ_BASE_2, Words, mix, powers, ranges, sequences, slices
+from .words import SEQ_BASE_2, Words, mix, powers, ranges, raw, sequences, slices
 
 SHINGLE, SHARE = 5, 75
 TREES, BASE, DEPTH, REGION = 16, 4, 8, 32
@@ -32,6 +38,10 @@ IDS_BROADCAST = 1_000_000
 PAIRS_BROADCAST = 1_000_000
 #: Rows of an order that one task reads, about.
 ORDER_ROWS = 65_536
+#: Cells that count shingles to put rare ones first (results are the same for any number), and those in a row of counts.
+MOST_CELLS, CELLS_A_ROW = 1 << 24, 1 << 16
+#: Shingles that a task deals out together and that a bucket stands for, about; pairs that are looked at together.
+FLUSH, BUCKET_SHINGLES, PAIRS_AT_ONCE = 500_000, 1_000_000, 2_000_000
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +107,10 @@ def entries(signed: DataFrame) -> DataFrame:
 
 
 def neighbours(batches):
-    """Candidates (a, b, alike) of one stretch of the orders, kind 0; its first and last two entries again, kind 1."""
+    """Candidates (a, b, alike) of one stretch of the orders, kind 0; its first and last two entries again, kind 1; as a, the ids of crowded entries, kind 2.
+
+    An entry is crowded where more than BASE minima are asked for, or where the stretch may end inside its run.
+    """
     batches = list(batches)
     n = sum(b.num_rows for b in batches)
     schema = ["kind", "a", "b", "alike", "entry"]
@@ -117,6 +130,9 @@ def neighbours(batches):
     for depth in range(DEPTH, BASE - 1, -1):
         run = np.cumsum(shared < depth) - 1
         asked[np.bincount(run)[run] <= REGION] = depth
+    crowded = np.unique(ids[(asked > BASE) | (run == 0) | (run == run[-1])])  # runs of BASE
+    k = len(crowded)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), pa.array(crowded), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.struct(table.schema))], schema)
     least = np.full(n, DEPTH + 1)
     for o in range(1, min(REGION, n)):
         least = np.minimum(least[:-1], shared[o:])
@@ -135,14 +151,125 @@ def neighbours(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(edge.to_pylist(), pa.struct(table.schema))], schema)
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs a < b of ids, alike: the share of the sketch in common; a table in the shared folder."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of ids, alike: the share of the sketch in common; ids of crowded entries; tables in the shared folder."""
     made = f"kind int, a long, b long, alike double, entry struct<{', '.join(c.strip().replace(' ', ':') for c in _ENTRY.split(','))}>"
     stretches = max(16, -(-signed.count() * TREES // ORDER_ROWS))
     found = written(entries(signed).repartitionByRange(stretches, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(neighbours, made), "stretches")
     edges = found.where("kind = 1").select("entry.*").coalesce(1).sortWithinPartitions(*ORDER).mapInArrow(neighbours, made)  # four entries a stretch
     pairs = found.where("kind = 0").select("a", "b", "alike").unionByName(edges.where("kind = 0").select("a", "b", "alike"))
-    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    crowded = found.where("kind = 2").select(F.col("a").alias("id")).distinct()
+    return written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs"), written(crowded, "crowded")
+
+
+def _sets(batches):
+    """The ids and other columns of rows with a text, and the text's shingles, sorted, without repeats."""
+    for part in slices(batches, "text"):
+        h, at = shingle_sets(Words(part.column("text"), lower=True))
+        rest = part.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], [*rest.schema.names, "set"])
+
+
+def _counts(sets: DataFrame, cells: int) -> np.ndarray:
+    """How many sets have a shingle in each cell, up to 65,535."""
+    schema = pa.schema([("row", pa.int32()), ("counts", pa.binary())])
+
+    def count(batches):
+        for part in slices(batches, "set", 8 << 20):
+            cell, n = np.unique(raw(part.column("set"))[0].view(np.uint64) & np.uint64(cells - 1), return_counts=True)
+            used, (c, n) = blobs.dealt((cell // np.uint64(CELLS_A_ROW)).astype(np.int64), -(-cells // CELLS_A_ROW), [cell.astype(np.int64), n])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), blobs.column(c), blobs.column(n)], ["row", "cell", "n"])
+
+    def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cell, n = blobs.joined(table, "cell"), blobs.joined(table, "n")
+        sums = np.bincount(cell - key[0].as_py() * CELLS_A_ROW, n, min(cells, CELLS_A_ROW))
+        return pa.Table.from_pylist([{"row": key[0].as_py(), "counts": np.minimum(sums, 65_535).astype(np.uint16).tobytes()}], schema)
+
+    out = np.zeros(cells, np.uint16)
+    for r in sets.select("set").mapInArrow(count, "row int, cell binary, n binary").groupBy("row").applyInArrow(add_up, "row int, counts binary").collect():
+        out[r["row"] * CELLS_A_ROW : (r["row"] + 1) * CELLS_A_ROW] = np.frombuffer(r["counts"], np.uint16)
+    return out
+
+
+def meetings(shingle: np.ndarray, ids: np.ndarray, of: np.ndarray, size: np.ndarray, place: np.ndarray):
+    """Pairs (a, b) of ids in different components (of) that meet at a shingle, at places of their orders that leave room for SHARE.
+
+    At the first shingle in common the sets can share as many as the shorter rest from there on has, and no more.
+    """
+    order = np.lexsort((place, size, shingle))
+    shingle, ids, of, size, rest = shingle[order], ids[order], of[order], size[order], (size - place)[order]
+    n = len(ids)
+    _, group = np.unique(shingle, return_inverse=True)
+    own = np.lexsort((of, group))
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(group[own]) != 0) | (np.diff(of[own]) != 0))))
+    each = np.diff(np.concatenate((first, [n])))
+    best = np.full(group[-1] + 1, -1)  # of each group, the largest component's run
+    by = np.argsort(each, kind="stable")
+    best[group[own[first[by]]]] = by
+    run_of = np.empty(n, np.int64)
+    run_of[own] = np.repeat(np.arange(len(first)), each)
+    major = run_of == best[group]
+    most = np.minimum((100 + SHARE) * rest // SHARE - size, 100 * size // SHARE)  # the largest set that this can be enough for
+    key = (size.max(initial=0) + 1) * group
+    for left, right in ((np.flatnonzero(~major), np.arange(n)), (np.flatnonzero(major), np.flatnonzero(~major))):  # never two of the largest
+        begin = np.searchsorted(right, left, side="right")
+        end = np.searchsorted((key + size)[right], key[left] + np.clip(most[left], 0, size.max(initial=0)), side="right")
+        count = np.maximum(end - begin, 0)
+        left, begin, count = left[count > 0], begin[count > 0], count[count > 0]
+        total, at = np.cumsum(count), 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            p, q = np.repeat(left[at:to], count[at:to]), right[ranges(begin[at:to], count[at:to])]
+            ok = (of[p] != of[q]) & (SHARE * (size[p] + size[q]) <= (100 + SHARE) * rest[q])
+            p, q, at = p[ok], q[ok], to
+            if len(p):
+                yield np.unique(np.stack((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]))), axis=1)
+
+
+def crowded_pairs(texts: DataFrame, ids: DataFrame, inside: DataFrame) -> DataFrame:
+    """Candidates (a, b) among texts of ids, of different components: every pair of SHARE is one. A table in the shared folder."""
+    few = ids.count() <= IDS_BROADCAST
+    wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").join(inside, F.col("id") == F.col("node"), "left")
+    sets = written(wanted.select("id", F.coalesce("component", "id").alias("of"), "text").mapInArrow(_sets, "id long, of long, set binary"), "crowd")
+    shingles = (sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0) // 8
+    cells = min(MOST_CELLS, 1 << max(16, (2 * shingles).bit_length()))
+    buckets = max(64, -(-shingles // BUCKET_SHINGLES))
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets, cells))
+
+    def deal(batches):
+        held: list[tuple] = []
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            used, parts = blobs.dealt(((columns[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, columns)
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(blobs.column, parts)], ["bucket", *_MET])
+
+        for part in slices(batches, "set", 4 << 20):
+            data, at = raw(part.column("set"))
+            h, size = data.view(np.uint64), np.diff(at) // 8
+            often, row = counts.value[(h & np.uint64(cells - 1)).astype(np.int64)], np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, often, row))  # row stays as it is
+            h, often, place = h[order], often[order], np.arange(len(h)) - np.repeat(at[:-1] // 8, size)
+            pick = np.flatnonzero((100 * (size[row] - place) >= SHARE * size[row]) & (often > 1))
+            row = row[pick]
+            held.append((h[pick], part.column("id").to_numpy()[row], part.column("of").to_numpy()[row], size[row], place[pick]))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = [blobs.joined(table, "shingle", np.uint64), *(blobs.joined(table, c) for c in _MET[1:])]
+        pairs = [*meetings(*columns)] if len(columns[0]) else []
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": a, "b": b})
+
+    dealt = sets.mapInArrow(deal, f"bucket int, {', '.join(f'{c} binary' for c in _MET)}")
+    return written(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "meetings")
+
+
+_MET = ("shingle", "id", "of", "size", "place")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -152,12 +279,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     few = ends.count() <= IDS_BROADCAST
     wanted = docs.join(F.broadcast(ends) if few else ends, "id", "left_semi")
 
-    def sets(batches):
-        for part in slices(batches, "text"):
-            h, at = shingle_sets(Words(part.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "set"])
-
-    full = wanted.select("id", "text").mapInArrow(sets, "id long, set binary")
+    full = wanted.select("id", "text").mapInArrow(_sets, "id long, set binary")
     ends_of = pairs.select("a", "b")
     small = pairs.count() <= PAIRS_BROADCAST  # then the first join moves no sets
     left = full.withColumnsRenamed({"id": "a", "set": "set_a"}).join(F.broadcast(ends_of) if small else ends_of, "a")
@@ -188,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"))  # copies: one set
     classes = written(classes, "classes")
     own = nodes.join(classes.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["k1", "k2"])
-    pairs = candidates(own)
+    pairs, crowded = candidates(own)
     texts = rows.where("id is not null")
     by_id = nodes.groupBy("id").agg(F.count("*").alias("rows"), F.min("k1").alias("x"), F.max("k1").alias("y")).where("rows > 1")
     if not by_id.isEmpty():  # a link of any of an id's texts is a link of the id
@@ -201,7 +323,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for end in "ab":
         rest = rest.join(inside.withColumnsRenamed({"node": end, "component": f"of_{end}"}), end, "left")
     rest = written(rest.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"), "rest")
-    links = sure if rest.isEmpty() else sure.unionByName(confirmed(texts, rest))
+    links = sure if rest.isEmpty() else written(sure.unionByName(confirmed(texts, rest)), "links")
+    met = crowded_pairs(texts, crowded, inside if links is sure else components(links, "a", "b"))
+    if not met.isEmpty():
+        links = links.unionByName(confirmed(texts, met))
     if several is not None:
         links = links.unionByName(several.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     whole = components(links, "a", "b")

@@ -59,6 +59,39 @@ def test_recall_at_the_threshold(docs):
     assert all(w[2] == g[2] or g[2] == g[0] for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("template", [75, 82])
+def test_dense_region(docs, template, monkeypatch):
+    """Documents that share a template and are no near duplicates by it alone: all pairs that are get found, by brute force."""
+    monkeypatch.setattr(near_dup, "ORDER_ROWS", 1024)  # regions cut by stretches
+    rng = random.Random(template)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, rows = [word() for _ in range(2 * template)], []
+    for i in range(200):
+        w = shared + [word() for _ in range(200 - 2 * template + rng.randrange(8))]
+        rows.append((2 * i, " ".join(w)))
+        other = w[: 200 - 2 - i % 20] + [word() for _ in range(len(w) - 200 + 2 + i % 20)]
+        rows.append((2 * i + 1, " ".join(other)))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert 150 < sum(not w[3] for w in want) <= 200
+    assert found(near_duplicates(docs(rows))) == want
+
+
+def test_meetings():
+    """Every pair of SHARE meets, whatever the order of shingles; none inside a component."""
+    rng = np.random.default_rng(5)
+    core = rng.choice(10_000, 60, replace=False)
+    sets = [np.unique(np.concatenate((rng.permutation(core)[: rng.integers(45, 60)], rng.integers(10_000, 11_000, rng.integers(0, 15))))) for _ in range(150)]
+    of = rng.integers(0, 40, 150)
+    of[:60] = 0
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(150), size)
+    got = {tuple(p) for m in near_dup.meetings(np.concatenate(sets).astype(np.uint64), owner, of[owner], size[owner], np.concatenate([np.arange(k) for k in size])) for p in m.T.tolist()}
+    near = {(a, b) for b in range(150) for a in range(b) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (size[a] + size[b] - c)}
+    assert {p for p in near if of[p[0]] != of[p[1]]} <= got and len(near) > 500
+    assert all(of[a] != of[b] for a, b in got)
+
+
 def test_empty(docs):
     assert near_duplicates(docs([])).count() == 0
     assert found(near_duplicates(docs([(1, None), (2, ""), (2, "")]))) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
