@@ -7,8 +7,9 @@ found. Segments are sized for RATE false positives a probe.
 
 Scoring. The filter's segments and the exact word counts of the same share of buckets are broadcast, BROADCAST_BYTES at a
 time, and the texts are read once for each such share; every token's base part belongs to the share of its word, its
-model part to the share of its pair, so the shares' sums add up. The filter of words alone, which all shares need, is at
-most WORD_FILTER_BYTES: with more words its false positives rise and nothing else changes.
+model part to the share of its pair, so the shares' sums add up. All shares need the levels of all words: up to
+WORD_FILTER_BYTES the filter of words is broadcast with each; a larger one is broadcast in shares of that size first, a
+pass each that adds the levels of its words to a column beside the texts.
 
 Model: p(w | v) = m * min(1, c(vw) / c(v)) + (1 - m) * p1(w) with m = MIX where v was seen, else 0;
 p1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). All three counts come from the filter. The word before the first is the end.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .store import written
-from .words import SEQ_BASE, Words, mix, slices
+from .words import SEQ_BASE, Words, mix, raw, slices
 from .worker import held
 
 BASE, MIX, RATE = 1.5, 0.5, 1 / 64
@@ -138,9 +139,8 @@ class Model:
 
     def __init__(self, table: DataFrame, buckets: int):
         self.table, self.buckets = table, buckets
-        r = table.agg(F.sum("n"), F.sum("distinct"), F.sum(F.octet_length("pair_bits") + 12 * F.col("distinct"))).first()
-        self.tokens, self.distinct, size = int(r[0] or 0), int(r[1] or 0), int(r[2] or 0)
-        self.size = size
+        r = table.agg(F.sum("n"), F.sum("distinct"), F.sum(F.octet_length("pair_bits") + 12 * F.col("distinct")), F.sum(F.octet_length("word_bits"))).first()
+        self.tokens, self.distinct, self.size, self.word_size = (int(x or 0) for x in r)
 
 
 def fit(rows: DataFrame, text_col: str = "text") -> Model:
@@ -183,7 +183,7 @@ def fit(rows: DataFrame, text_col: str = "text") -> Model:
             np.add.at(counts, of, blobs.joined(own, "counts"))
             sums.append((keys, counts))
         (words, counts), (pairs, pair_counts) = sums
-        row = [key[0].as_py(), int(counts.sum()), len(words), words.tobytes(), blobs.pack(counts), fill(words, counts, max(8, WORD_FILTER_BYTES // buckets)).tobytes(), fill(pairs, pair_counts).tobytes()]
+        row = [key[0].as_py(), int(counts.sum()), len(words), words.tobytes(), blobs.pack(counts), fill(words, counts).tobytes(), fill(pairs, pair_counts).tobytes()]
         return pa.Table.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("distinct", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("word_bits", pa.binary()), ("pair_bits", pa.binary())])
@@ -200,6 +200,35 @@ def _segments(parts: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(b for _, b in parts), np.uint8), first, size
 
 
+def _with_levels(rows: DataFrame, model: Model) -> DataFrame:
+    """id, text and seen, a byte a token: the level of its word; a pass for each WORD_FILTER_BYTES of the filter of words."""
+    shares, buckets = -(-model.word_size // WORD_FILTER_BYTES), model.buckets
+
+    def adder(share: int):
+        own = model.table.where(F.col("bucket") % shares == share).select("bucket", "word_bits").collect()  # WORD_FILTER_BYTES, about
+        sent = rows.sparkSession.sparkContext.broadcast(_segments([tuple(r) for r in own], buckets))
+
+        def run(batches):
+            bits, first, size = sent.value
+            for part in slices(batches, "text"):
+                hashes, _, at = tokens(part.column(1))
+                different, of = np.unique(hashes, return_inverse=True)
+                bucket = (different % np.uint64(buckets)).astype(np.int64)
+                found = levels_of(different, bits, first[bucket], size[bucket]).astype(np.int8)[of]  # 0 for words of other shares
+                if share:
+                    found = found + raw(part.column(2))[0].view(np.int8)
+                seen = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), seen], ["id", "text", "seen"])
+
+        return run, sent
+
+    for share in range(shares):
+        run, sent = adder(share)
+        rows = written(rows.mapInArrow(run, "id long, text string, seen binary"), "levels")
+        sent.destroy()
+    return rows
+
+
 SUMS = ("n_tokens", "n_known", "base_score", "score")
 
 
@@ -213,7 +242,10 @@ def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shares = max(1, -(-model.size // broadcast_bytes))
     buckets, n, v = model.buckets, model.tokens, model.distinct
     below = n + 0.5 * (v + 1)
-    word_filter = _segments([tuple(r) for r in model.table.select("bucket", "word_bits").collect()], buckets)  # WORD_FILTER_BYTES at most
+    apart = model.word_size > WORD_FILTER_BYTES
+    if apart:
+        rows = _with_levels(rows, model)
+    word_filter = _segments([] if apart else [tuple(r) for r in model.table.select("bucket", "word_bits").collect()], buckets)
 
     name = uuid.uuid4().hex
 
@@ -229,10 +261,14 @@ def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             words, counts, (bits, first, size), (word_bits, word_first, word_size) = sent.value
             known_words = held(("words", name), Known)
             for part in slices(batches, "text", keep=True):
+                rest = [c for c in part.schema.names if c == "key"]
                 hashes, before, at = tokens(part.column(1))
                 different, where, of = np.unique(hashes, return_index=True, return_inverse=True)
                 bucket = (different % np.uint64(buckets)).astype(np.int64)
-                seen = MEAN_COUNTS[known_words.levels(different, lambda new: levels_of(new, word_bits, *(x[(new % np.uint64(buckets)).astype(np.int64)] for x in (word_first, word_size))))]
+                if apart:
+                    seen = MEAN_COUNTS[raw(part.column("seen"))[0].view(np.int8)[where]]
+                else:
+                    seen = MEAN_COUNTS[known_words.levels(different, lambda new: levels_of(new, word_bits, *(x[(new % np.uint64(buckets)).astype(np.int64)] for x in (word_first, word_size))))]
                 p1 = (seen + 0.5) / below
                 here = bucket % shares == share
                 count = np.zeros(len(different), np.int64)
@@ -250,7 +286,7 @@ def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 mixed = np.where(history > 0, MIX * np.minimum(1.0, pair / np.maximum(history, 1e-300)) + (1 - MIX) * p1[of[one]], p1[of[one]])
                 model_part = np.where(mine, np.log10(mixed), 0.0)[of_pair]
                 sums = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[at]) for x in (known, base, model_part)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *part.columns[2:]], ["id", *SUMS, *part.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *(part.column(c) for c in rest)], ["id", *SUMS, *rest])
 
         return run, sent
 

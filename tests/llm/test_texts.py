@@ -51,6 +51,15 @@ def test_filter_never_misses():
     assert (means / np.arange(1, 2000) < 1.5).all() and (means / np.arange(1, 2000) > 0.66).all()
 
 
+@pytest.mark.parametrize("limit", [lm_score.BROADCAST_BYTES, 20_000])
+def test_lm_many_words(docs, texts, monkeypatch, limit):
+    """A filter of words beyond its broadcast bound goes in shares and gives the same scores."""
+    want = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts)).collect()), key=lambda r: (str(r[0]), r[2:]))
+    monkeypatch.setattr(lm_score, "WORD_FILTER_BYTES", 2000)
+    got = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts), broadcast_bytes=limit).collect()), key=lambda r: (str(r[0]), r[2:]))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
 def test_lm_empty(docs):
     assert lm_score.held_out_scores(docs([])).count() == 0
 
