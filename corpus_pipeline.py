@@ -23,8 +23,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or without a letter go. lang is filled in where it is null."""
-    told = predict(docs.select(COLUMNS), train(sample(docs)), carry=("text", "lang", "source", "n_chars"))
+    """Documents with a language: those without text or without a letter go. lang is filled in where it is null.
+
+    With no labelled text nothing can be told: documents with a letter stay, their lang as it is.
+    """
+    model = train(sample(docs))
+    if not model:
+        return docs.select(COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    told = predict(docs.select(COLUMNS), model, carry=("text", "lang", "source", "n_chars"))
     return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 

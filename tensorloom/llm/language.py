@@ -21,7 +21,7 @@ from .words import Words, ranges, slices
 from .worker import held
 
 ORDER = 4
-#: The training sample: at most so many rows a language, texts of at most so many characters, so many languages.
+#: The training sample: about so many rows a language, of each text a span of so many characters, so many languages.
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 500
 KEEP_WORDS, KEEP_GRAMS = 300_000, 200_000
 
@@ -134,11 +134,12 @@ def has_letter(text: str | None) -> bool:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> dict[str, list[str]]:
-    """About `rows` texts of each lang value, chosen by a hash of the id; at most twice as many come to the driver.
+    """About `rows` texts of each lang value, chosen by a hash of the id; at most twice as many of each come to the driver.
 
-    The bound is SAMPLE_ROWS rows a language, texts of up to SAMPLE_CHARS characters, LANGUAGES languages.
+    Of a text longer than SAMPLE_CHARS characters, a span of that length from a place by a hash of the id, so texts of any
+    length are learned from. A language none of whose rows has a hash low enough gives the rows of the lowest.
     """
-    usable = labelled.where("lang is not null and text is not null and length(text) > 0").where(F.length("text") <= SAMPLE_CHARS)
+    usable = labelled.where("lang is not null and text is not null and length(text) > 0")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -146,10 +147,15 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id")
         return {}
     grain = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(grain, math.ceil(grain * rows / n)))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(grain)) < share[F.col("lang")])
+    chance = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(grain))
+    start = F.pmod(F.xxhash64(F.lit(18), F.col(id_col)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    span = F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
     out: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "text").limit(2 * rows * len(counts)).collect():
+    for r in usable.where(chance < share[F.col("lang")]).select("lang", span).limit(2 * rows * len(counts)).collect():
         out.setdefault(r["lang"], []).append(r["text"])
+    if missed := sorted(set(counts) - set(out)):
+        for r in usable.where(F.col("lang").isin(missed)).select("lang", span, chance.alias("chance")).groupBy("lang").agg(F.min_by("text", "chance").alias("text")).collect():
+            out[r["lang"]] = [r["text"]]
     return out
 
 

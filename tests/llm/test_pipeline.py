@@ -51,3 +51,14 @@ def test_empty_table(spark, docs):
     for _, stage in cp.STAGES:
         df = stage(spark, df, "")
         assert df.count() == 0
+
+
+def test_language_id_without_labels(spark, docs):
+    """Only documents without a letter go where no language can be learned."""
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "12 34 !", None), (3, None, None), (4, "", None), (5, "\u65e5\u672c", None)]
+    left = corpus_pipeline.language_id(spark, docs(rows), "").collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 5] and all(r["lang"] is None for r in left)
+    long = [(1, "words " * 5000, "en"), (2, "other words", None)]
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs(long), "").collect()} == {1: "en", 2: "en"}

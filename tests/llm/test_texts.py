@@ -93,6 +93,16 @@ def test_language_edges(docs, texts):
     assert language.identify(docs([])).count() == 0
 
 
+def test_long_labelled_texts_are_learned(docs):
+    """A language all of whose texts are long, and one without a low hash, have samples."""
+    long = "der hund und die katze " * 1500
+    rows = [(i, "the cat sat on the mat and the dog", "en") for i in range(40)] + [(100 + i, long, "de") for i in range(3)]
+    got = language.sample(docs(rows))
+    assert len(got["de"]) == 3 and all(len(t) == language.SAMPLE_CHARS and t in long for t in got["de"])
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(docs([(1, "die katze und der hund"), (2, "the dog sat")]), language.train(got)).collect()} == {1: "de", 2: "en"}
+    assert set(language.sample(docs([(i % 2, "some words", x) for x in ("aa", "bb") for i in range(3000)]), rows=1)) == {"aa", "bb"}
+
+
 def test_code_lengths_are_of_a_distribution():
     model = language.train({"a": ["the cat sat on the mat", "a cat"], "b": ["der hund und die katze"]})
     tree = model["a"]
