@@ -17,11 +17,14 @@ def from_arrays(df: DataFrame, id_col: str, array_col: str, ndim: int, series: s
     return whole.select(F.lit(series).alias("series"), F.floor(F.col("i") / ndim).cast("int").alias("sample"), "vertex", (F.col("i") % ndim).cast("int").alias("coord"), F.col("value").cast("double").alias("value"))
 
 
-def from_rows(df: DataFrame, vertex: str, order: list[str], coords: list[str], series: str) -> DataFrame:
-    """Rows of each vertex in an order as its samples, cut to the number that the shortest vertex has."""
+def from_rows(df: DataFrame, vertex: str, order: list[str], coords: list[str], series: str, whole: bool = False) -> DataFrame:
+    """Rows of each vertex in an order as its samples, cut to the number that the shortest vertex has.
+
+    whole: all rows, for operators on streams of any length; such a tensor is not dense.
+    """
     ranked = df.withColumn("sample", F.row_number().over(Window.partitionBy(vertex).orderBy(*order)) - 1)
     shortest = df.groupBy(vertex).count().agg(F.min("count").alias("n"))
-    kept = ranked.join(F.broadcast(shortest), F.col("sample") < F.col("n"))  # a single row
+    kept = ranked if whole else ranked.join(F.broadcast(shortest), F.col("sample") < F.col("n"))  # a single row
     values = F.posexplode(F.array(*(F.col(c).cast("double") for c in coords))).alias("coord", "value")
     return kept.select(F.lit(series).alias("series"), F.col("sample").cast("int").alias("sample"), F.col(vertex).cast("long").alias("vertex"), values)
 
@@ -34,16 +37,16 @@ def embeddings4(spark, sf_dir: str) -> DataFrame:
     return from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding", 4, "emb4")
 
 
-def event_values(spark, sf_dir: str) -> DataFrame:
-    return from_rows(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], ["value"], "evt")
+def event_values(spark, sf_dir: str, whole: bool = False) -> DataFrame:
+    return from_rows(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], ["value"], "evt", whole)
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
-def lineitems(spark, sf_dir: str) -> DataFrame:
+def lineitems(spark, sf_dir: str, whole: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", *LINEITEM_ORDER, "l_discount")
-    return from_rows(df, "l_suppkey", LINEITEM_ORDER, ["l_quantity", "l_extendedprice", "l_discount"], "li")
+    return from_rows(df, "l_suppkey", LINEITEM_ORDER, ["l_quantity", "l_extendedprice", "l_discount"], "li", whole)
 
 
 def shape(t: DataFrame) -> DataFrame:

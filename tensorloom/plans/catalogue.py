@@ -93,6 +93,13 @@ def coordinate_streams_size(spark, sf_dir):
     return codec.coordinates_size(tensor.embeddings3(spark, sf_dir), Q_EMB).select("coord", "n", "width", "stream_bytes")
 
 
+@query(f"with e as (select user_id as vertex, row_number() over (partition by user_id order by ts, event_id) as sample, {sql.quantised('value', Q_EVT)} as quantised from events), d as (select *, quantised - coalesce(lag(quantised) over (partition by vertex order by sample), 0) as delta from e), {sql.HEAD} select vertex, n, n * 8 as raw_bytes, {sql.intify('n', 'width')} as intify_bytes, {sql.stream('n', 'width', 8)} as stream_bytes from h")
+def event_stream_sizes(spark, sf_dir):
+    """All events of every user; the queries on event_values() cut users to the shortest."""
+    t = tensor.event_values(spark, sf_dir, whole=True)
+    return codec.stream_sizes(t, ["vertex"], EVT_ORDER, Q_EVT).select("vertex", "n", "raw_bytes", "intify_bytes", "stream_bytes")
+
+
 @query(f"select o_orderkey, {sql.varint('o_orderkey')} as bytes from orders")
 def varint_length(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", X.varint_length(F.col("o_orderkey")).alias("bytes"))

@@ -197,3 +197,13 @@ def test_unflatten_checks_columns(spark):
     assert tensor.unflatten_config(flat, 2).count() == 12
     with pytest.raises(Exception, match="no multiple"):
         tensor.unflatten_config(flat, 3).collect()
+
+
+def test_whole_streams(spark):
+    """No row goes for the sake of a short vertex."""
+    from tensorloom.operators import tensor
+
+    df = spark.createDataFrame([(v, i, float(i)) for v, n in ((1, 1), (2, 50), (3, 7)) for i in range(n)], "v long, i int, x double")
+    assert tensor.from_rows(df, "v", ["i"], ["x"], "s").count() == 3
+    got = tensor.from_rows(df, "v", ["i"], ["x"], "s", whole=True)
+    assert sorted((r["vertex"], r["sample"], r["value"]) for r in got.collect()) == sorted((v, i, x) for v, i, x in map(tuple, df.collect()))
