@@ -229,11 +229,11 @@ def farthest_rounds(points: DataFrame, seed: Column, rounds: int, least: float =
 LEAST_ANGLE = 1e-12
 
 
-def near_values(t: DataFrame, quality: float, form: str, most: int = 10_000, metric=line_angle) -> DataFrame:
+def near_values(t: DataFrame, quality: float, form: str, metric=line_angle) -> DataFrame:
     """Greedy cover by principal axes or rotations: every vertex is within an angle of about quality / 2 of its centre.
 
-    The first centre is the axis of all samples of all vertices together. Ends for any quality: a centre is never chosen
-    twice and distances below LEAST_ANGLE count as none.
+    The first centre is the axis of all samples of all vertices together. Ends for any quality, with no other cap on rounds: a
+    centre is never chosen twice and distances below LEAST_ANGLE count as none.
     """
     points = shared_table(axes(t, form), "axes")
     eps = max((1 - math.cos(quality)) / 2, LEAST_ANGLE)
@@ -241,7 +241,7 @@ def near_values(t: DataFrame, quality: float, form: str, most: int = 10_000, met
     for r in points.groupBy("series").count().collect():  # series are few
         own = points.where(F.col("series") == r["series"])
         seed = _pooled_axis(t.where(F.col("series") == r["series"]), form)
-        state, _ = farthest_rounds(own, F.array(*(F.lit(float(x)) for x in seed)), min(most, r["count"]), eps, metric)
+        state, _ = farthest_rounds(own, F.array(*(F.lit(float(x)) for x in seed)), r["count"], eps, metric)
         part = state.select("series", "vertex", "label")
         done = part if done is None else done.unionByName(part)
     return covering(done if done is not None else points.select("series", "vertex", F.lit(0).alias("label")))

@@ -207,3 +207,23 @@ def test_whole_streams(spark):
     assert tensor.from_rows(df, "v", ["i"], ["x"], "s").count() == 3
     got = tensor.from_rows(df, "v", ["i"], ["x"], "s", whole=True)
     assert sorted((r["vertex"], r["sample"], r["value"]) for r in got.collect()) == sorted((v, i, x) for v, i, x in map(tuple, df.collect()))
+
+
+def test_covers_end_by_distance_only(spark, monkeypatch):
+    """A cover may take as many rounds as there are vertices."""
+    from pyspark.sql import functions as F
+
+    from tensorloom.operators import cluster
+
+    asked = []
+
+    def rounds(points, seed, most, *_):
+        asked.append(most)
+        return points.withColumn("label", F.lit(0)), []
+
+    monkeypatch.setattr(cluster, "farthest_rounds", rounds)
+    corner = F.posexplode(F.array(F.col("id") * 0.0, F.sin("id"), F.col("id") * 0.0, F.cos("id")))
+    t = spark.range(10_050).select(F.lit("s").alias("series"), F.col("id").alias("vertex"), corner.alias("i", "value"))
+    t = t.select("series", F.expr("cast(i % 2 as int)").alias("sample"), "vertex", F.expr("cast(i div 2 as int)").alias("coord"), "value")
+    cluster.first_axis(t)
+    assert asked == [10_050]
