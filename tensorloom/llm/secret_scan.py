@@ -1,8 +1,8 @@
 """Secrets in whole texts: fixed patterns, and values in a credential context whose guess cost is high.
 
 The guess cost of a value is the least sum, over all ways to cut it into words, dates, repeats, keyboard walks and
-brute-force spans, of the log10 guesses of its segments (a dynamic programme over end positions). Words are COMMON, then
-the words of four letters or more in the public BPE vocabulary, most frequent first, so prose after "login is" stays cheap.
+brute-force spans, of the log10 guesses of its segments (a dynamic programme over end positions, the minimum over every
+segmentation, for values of any length). Words are COMMON, then the words of four letters or more in the public BPE vocabulary, most frequent first, so prose after "login is" stays cheap.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that make what follows ": ", "=" or "is" a credential value; after "bearer" a space will do.
+#: A value of 6 characters or fewer never takes 10^LEAST_COST guesses. Words that make what follows ": ", "=" or "is" a credential value; after "bearer" a space will do.
 _CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "credential", "login", "bearer", "secret", "token", "private key", "private_key", "access key", "access_key", "api key", "apikey", "api_key")
-_CONTEXT = re.compile(rf"""(?<![A-Za-z0-9])(?:(?:{"|".join(map(re.escape, _CONTEXT_WORDS))})s?["']?\s{{0,3}}(?:\bis\b|[:=]+>?)\s{{0,3}}|bearer\s{{1,3}}(?!is\b))["']?([^\s"'<>,;]{{8,}})""", re.I | re.A)
+_CONTEXT = re.compile(rf"""(?<![A-Za-z0-9])(?:(?:{"|".join(map(re.escape, _CONTEXT_WORDS))})s?["']?\s{{0,3}}(?:\bis\b|[:=]+>?)\s{{0,3}}|bearer\s{{1,3}}(?!is\b))["']?([^\s"'<>,;]{{7,}})""", re.I | re.A)
 #: Frequent parts of passwords, most frequent first.
 COMMON = """password admin welcome letmein qwerty monkey dragon master login access secret shadow summer winter spring autumn
 sunshine princess football baseball iloveyou trustno hello freedom whatever michael jordan hunter ranger buster soccer
@@ -40,6 +40,8 @@ WORD_LETTERS = range(4, 21)
 _LEET = str.maketrans("430157@$!", "aeoistasi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d)")
 _BESIDE = {a + b for row in KEYBOARD for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
+#: Characters of a date, and of the shortest repeat or walk.
+DATE_LENGTHS, RUN_LEAST = range(4, 11), 3
 #: log10 guesses: of a date, of the start of a repeat or walk, for each further segment.
 DATE_COST, RUN_COST, SEGMENT_COST = math.log10(365 * 120), math.log10(50), math.log10(2)
 #: A value is a secret from so many log10 guesses on.
@@ -62,47 +64,73 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+class _Runs:
+    """Starts within a run (a repeat or a keyboard walk) that can still be the cheapest for a later end.
+
+    The cost to an end grows by the log of the length, so of two starts the later one is cheaper for near ends only and an
+    earlier one that costs as much never is. Starts that nothing can make cheapest any more leave, so long runs stay linear.
+    """
+
+    def __init__(self):
+        self.first, self.open = 0, []
+
+    def least(self, end: int, costs: list[float]) -> float:
+        """The least cost of a segment from a start to the end, of RUN_LEAST characters or more. costs: before each place."""
+        at = end - RUN_LEAST
+        if at >= self.first:
+            own = costs[at]
+            while self.open and costs[self.open[-1]] >= own:
+                self.open.pop()
+            self.open.append(at)
+        cost = lambda i: costs[i] + math.log10(end - i)
+        while len(self.open) > 1 and cost(self.open[-1]) >= cost(self.open[-2]):
+            self.open.pop()
+        return RUN_COST + min(map(cost, self.open)) if self.open else math.inf
+
+    def restart(self, at: int) -> None:
+        self.first, self.open = at, []
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value takes."""
-    n = len(value)
-    low = value.lower()
+    """log10 of the guesses that the cheapest of all segmentations of the value takes; a value of any length."""
+    n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters become two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
+    best, before = [0.0] + [math.inf] * n, [0.0] * (n + 1)  # before: with the cost of one more segment
     ranks, longest = _ranks()
-    dates = {m.start(): m.end() for m in _DATE.finditer(value)}
-    for i in range(n):
-        so_far = best[i] + (SEGMENT_COST if i else 0)
-        cost = so_far
-        for j in range(i + 1, min(n, i + longest) + 1):  # a word, as it is or with digits for letters
+    repeat, walk = _Runs(), _Runs()
+    for i in range(n + 1):
+        if i:  # segments that end here
+            best[i] = min(best[i], best[i - 1] + _brute(value[i - 1]))  # brute force, one more character
+            for runs, goes_on in ((repeat, i > 1 and low[i - 1] == low[i - 2]), (walk, i > 1 and low[i - 2 : i] in _BESIDE)):
+                if not goes_on:
+                    runs.restart(i - 1)
+                best[i] = min(best[i], runs.least(i, before))
+            before[i] = best[i] + SEGMENT_COST
+        for j in range(i + 1, min(n, i + longest) + 1):  # a word from here, as it is or with digits for letters
             if (rank := ranks.get(plain[i:j])) is not None:
                 part = value[i:j]
-                cost = so_far + math.log10(rank + 1) + (part != part.lower()) * math.log10(2) + (plain[i:j] != low[i:j]) * math.log10(4)
+                cost = before[i] + math.log10(rank + 1) + (part != part.lower()) * math.log10(2) + (plain[i:j] != low[i:j]) * math.log10(4)
                 best[j] = min(best[j], cost)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], so_far + DATE_COST)
-        for same in (lambda k: low[k] == low[k - 1], lambda k: low[k - 1 : k + 1] in _BESIDE):  # a repeat; a keyboard walk
-            j = i + 1
-            while j < n and same(j):
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], so_far + RUN_COST + math.log10(j - i))
-                if j - i >= 64:
-                    break  # longer runs are runs of such runs
-        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))  # brute force, one more character
+        if i < n and "0" <= value[i] <= "3":
+            for j in range(i + DATE_LENGTHS[0], min(n, i + DATE_LENGTHS[-1]) + 1):  # every date from here
+                if _DATE.fullmatch(value, i, j):
+                    best[j] = min(best[j], before[i] + DATE_COST)
     return best[n]
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses of a credential value) by start, then in the order of KINDS; code points, end exclusive.
 
-    Every value of 8 characters or more in a credential context is scored: it is a guess span from LEAST_COST on, or where
-    it reaches beyond an assign span.
+    Every value of 7 characters or more in a credential context is scored, whole, however long: it is a guess span from
+    LEAST_COST on, or where it reaches beyond an assign span. Time and memory are linear in the value's length.
     """
     if not text:
         return []
     found, low = [], text.lower()
     if any(w in low for w in _ASSIGN_WORDS):
-        found += [("assign", m.start(), m.end(), guess_cost(m[2]) if len(m[2]) <= 512 else None) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
@@ -115,7 +143,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
             over = [(s, e) for s, e in taken if s < end and start < e]
             if any(s <= start and end <= e for s, e in over):
                 continue
-            cost = guess_cost(m[1][:512])  # the cost only rises with further characters
+            cost = guess_cost(m[1])
             if over or cost >= LEAST_COST:  # the rest of an assigned value is as secret as its start
                 taken.append((start, end))
                 found.append(("guess", start, end, cost))
@@ -125,7 +153,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float | None]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: its id, spans array<struct<kind, start, end, cost>> by start, then kind.
 
-    Null and empty texts have no spans; repeated rows and null ids are kept; other columns are not read.
+    Null and empty texts have no spans; very long texts and values are read whole, a text at a time; repeated rows and
+    null ids are kept; other columns are not read.
     """
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 

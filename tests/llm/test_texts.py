@@ -172,7 +172,37 @@ def test_guess_costs():
     assert cost("password") < 1 and cost("p4ssw0rd") < 2 and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("2024-05-17") < 6
     assert cost("Xk9#qLw7!zRt") > 14 and cost("") == 0
     assert cost("password2024") < cost("pxsswzrd2z2k")
-    assert cost("a" * 500) < 40
+    assert cost("a" * 500) < cost("a" * 300) + 1 < 6 and cost("5" * 200_000) < 8  # long runs are one segment
+    assert cost("191019222012") < 10  # dates that overlap
+
+
+def segment_cost(part):
+    """The log10 guesses of one segment by the plainest reading of the rules; None where it is none."""
+    low, costs = part.lower(), []
+    plain = low.translate(secret_scan._LEET)
+    ranks, _ = secret_scan._ranks()
+    if plain in ranks:
+        costs.append(math.log10(ranks[plain] + 1) + (part != low) * math.log10(2) + (plain != low) * math.log10(4))
+    if re.fullmatch(secret_scan._DATE, part):
+        costs.append(secret_scan.DATE_COST)
+    pairs = [low[k : k + 2] for k in range(len(low) - 1)]
+    if len(part) >= 3 and (len(set(low)) == 1 or all(p in secret_scan._BESIDE for p in pairs)):
+        costs.append(secret_scan.RUN_COST + math.log10(len(part)))
+    return min(costs, default=None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(
+    st.text("0129", max_size=12), st.text("aas12qwe-", max_size=11),
+    st.lists(st.sampled_from(["2019", "12", "0", "aaa", "qwert", "love", "L0ve", "-", "x", "1999-01-02", "ee", "asd"]), max_size=5).map("".join)))
+def test_guess_cost_is_the_minimum(value):
+    best = [0.0] + [math.inf] * len(value)  # over all ways to cut a prefix
+    for j in range(1, len(value) + 1):
+        best[j] = best[j - 1] + secret_scan._brute(value[j - 1])
+        for i in range(j):
+            if (cost := segment_cost(value[i:j])) is not None:
+                best[j] = min(best[j], best[i] + (secret_scan.SEGMENT_COST if i else 0) + cost)
+    assert math.isclose(secret_scan.guess_cost(value), best[-1], abs_tol=1e-9)
 
 
 def test_redacted(docs):
