@@ -1,15 +1,17 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Vectors of length one are projected on PROJECTIONS random directions. In one projection, two vectors collide when each
-is in a window around the other, REACH deviations (of a pair just at the threshold) wide. A pair is verified by its
-cosine when it collides in `needed` projections: the count that a pair just at the threshold reaches with probability
-RECALL, from the binomial distribution. The first projection orders the vectors: stretches of that order are
-blocks, a block meets those that its window reaches, and within two blocks the sorted order leaves each vector one
-stretch to count in. Counting stops for a pair once it has missed too often.
-
-A block pair returns a row a vector (links found, and the least vector of its component there), never pairs. Copies are
-one vector with a count. Cost: the number of pairs in the first window, so it grows with the square of the number of
-distinct vectors, as one-dimensional windows must; the README has figures.
+Vectors of length one are projected on PROJECTIONS random directions, and a block of vectors is sorted along each of
+them. Around each query, the window that is REACH deviations (of a pair just at the threshold) wide is one stretch of each
+sorted order; how many of these stretches hold a vector is its count of collisions with the query. The differences of a
+pair along random directions are independent, so its count is binomial: a pair is verified by its cosine when its count
+is at least `needed`, which a pair just at the threshold reaches with probability RECALL, and a closer pair more often.
+
+Blocks are groups of a cell (cells.py). Two blocks meet only where the windows of one reach the other in `needed`
+projections or more; no pair that could be verified is lost by leaving others out. A block pair returns a row a vector
+(links found, and the least vector of its component there), never pairs. Copies are one vector with a count.
+
+Cost: a window holds a fixed share of a block that it reaches, so where blocks are not apart (directions without any
+structure) work grows with the square of the number of distinct vectors, as it must with one-dimensional windows.
 """
 
 from __future__ import annotations
@@ -21,18 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import fit, grouped, placed
 from .components import components
 from .store import written
-from .vectors import by_length
+from .vectors import blob, by_length, matrix_of, packed, same_keys, unpacked
 
 COSINE = 0.95
-PROJECTIONS, REACH, RECALL = 32, 2.5, 0.9995
-#: Deviations of the window of the ordering projection, which every pair must meet.
-ORDER_REACH = 4.0
-#: Vectors of a block; counts are made for QUERY_ROWS of them at a time.
-BLOCK, QUERY_ROWS = 4096, 256
-#: Cells of a quantised window: projections are bytes, and bytes that wrap can only add candidates.
-CELLS = 20
+PROJECTIONS, REACH, RECALL = 32, 1.0, 0.9999
+#: Vectors of a block; queries whose candidates are verified together.
+BLOCK, QUERY_ROWS = 8192, 64
+#: Pairs of blocks that one task compares, where there are many.
+PAIRS_A_TASK = 8
 
 
 def needed(p: float, m: int = PROJECTIONS, recall: float = RECALL) -> int:
@@ -45,55 +46,60 @@ def needed(p: float, m: int = PROJECTIONS, recall: float = RECALL) -> int:
     return 0
 
 
+#: The count from which on a pair is verified.
+LEAST = needed(math.erf(REACH / math.sqrt(2)))
+
+
 def directions(dim: int) -> np.ndarray:
     return np.random.default_rng(20_24 + dim).standard_normal((dim, PROJECTIONS))
 
 
-def deviation(cosine: float) -> float:
-    """Of the difference of two projections of unit vectors with that cosine: their distance."""
-    return math.sqrt(2 * (1 - cosine))
+def window(cosine: float) -> float:
+    """How far from a query its windows reach: REACH deviations of the difference of a pair with that cosine, with room for rounding."""
+    return REACH * math.sqrt(2 * (1 - cosine)) + 1e-9
+
+
+def projected(x: np.ndarray) -> np.ndarray:
+    """Places of each row along each direction."""
+    return (x / np.linalg.norm(x, axis=1)[:, None]) @ directions(x.shape[1])
+
+
+class Orders:
+    """A block sorted along each projection."""
+
+    def __init__(self, x: np.ndarray):
+        p = projected(x)
+        self.order = [np.argsort(p[:, k], kind="stable") for k in range(PROJECTIONS)]
+        self.place = [p[o, k] for k, o in enumerate(self.order)]
+        self.n = len(x)
+
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The count of each vector with a query whose window in order k is the stretch lo[k]:hi[k]."""
+        return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]), minlength=self.n)
+
+    def stretches(self, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of queries (places p, a row each) in each order."""
+        ends = [np.searchsorted(own, (p[:, k] - reach, p[:, k] + reach)) for k, own in enumerate(self.place)]
+        return np.stack([e[0] for e in ends], 1), np.stack([e[1] for e in ends], 1)
 
 
 def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
-    """Row numbers (i, j) of x and y with cosine or more, in pieces; same: y is x, and i < j."""
-    w = deviation(cosine)
-    least = needed(math.erf(REACH / math.sqrt(2)))
-    spare = PROJECTIONS - 1 - least  # misses allowed among those after the first
-    norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    a = directions(x.shape[1])
-    px, py = (x / norm_x[:, None]) @ a, (y / norm_y[:, None]) @ a
-    order_x, order_y = np.argsort(px[:, 0], kind="stable"), np.argsort(py[:, 0], kind="stable")
-    x, norm_x, px, y, norm_y, py = x[order_x], norm_x[order_x], px[order_x], y[order_y], norm_y[order_y], py[order_y]
-    step = REACH * w / CELLS
-    qx, qy = (np.floor(p / step).astype(np.int64).astype(np.uint8).T.copy() for p in (px, py))
-    for s in range(0, len(x), QUERY_ROWS):
-        e = min(len(x), s + QUERY_ROWS)
-        lo = np.searchsorted(py[:, 0], px[s, 0] - ORDER_REACH * w)
-        hi = np.searchsorted(py[:, 0], px[e - 1, 0] + ORDER_REACH * w, side="right")
-        if same:
-            lo = max(lo, s)
-        if hi <= lo:
-            continue
-        misses = np.zeros((e - s, hi - lo), np.uint8)
-        for k in range(1, 9):
-            misses += (qx[k, s:e, None] + np.uint8(CELLS + 1) - qy[k, None, lo:hi]) > np.uint8(2 * (CELLS + 1))
-        i, j = np.nonzero(misses <= spare)
-        left = misses[i, j].astype(np.int64)
-        i, j = i + s, j + lo
-        for k in range(9, PROJECTIONS):
-            left += (qx[k, i] + np.uint8(CELLS + 1) - qy[k, j]) > np.uint8(2 * (CELLS + 1))
-            if k % 4 == 0:
-                ok = left <= spare
-                i, j, left = i[ok], j[ok], left[ok]
-        ok = left <= spare
-        if same:
-            ok &= i < j
-        i, j = i[ok], j[ok]
+    """Row numbers (i, j) of x and y with cosine or more, in pieces, equal i in a row; same: y is x, and i < j."""
+    orders, norm_x, norm_y = Orders(y), np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    lo, hi = orders.stretches(projected(x), window(cosine))
+    some = np.flatnonzero((hi > lo).sum(axis=1) >= LEAST)  # other queries reach too few projections of this block
+    for s in range(0, len(some), QUERY_ROWS):
+        found = []
+        for i in some[s : s + QUERY_ROWS].tolist():
+            j = np.flatnonzero(orders.collisions(lo[i], hi[i]) >= LEAST)
+            j = j[j > i] if same else j
+            found.append((np.full(len(j), i), j))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
         for c in range(0, len(i), 1 << 16):
             u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
             hit = np.einsum("ij,ij->i", x[u], y[v]) / (norm_x[u] * norm_y[v]) >= cosine
             if hit.any():
-                yield order_x[u[hit]], order_y[v[hit]]
+                yield u[hit], v[hit]
 
 
 def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -106,82 +112,86 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[np.isin(label, names)] = names[0]
 
 
-def blocks(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Classes of equal vectors (rep, rows, vec) as rows of up to about BLOCK: dim, lo, hi (of the ordering projection), reps, counts, matrix."""
-    projected = "dim int, p double, rep long, rows long, vec binary"
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no norm overflows or vanishes; cosines stay exactly as they are."""
+    _, power = np.frexp(np.abs(matrix).max(axis=1, initial=0))
+    return np.ldexp(matrix, -power[:, None])
+
+
+_META = "dim int, cell int, block long, n int, lo array<double>, hi array<double>"
 
-    def project(batches):
+
+def blocks(reps: DataFrame, cosine: float) -> DataFrame:
+    """Classes of equal vectors (rep, rows, vec) as rows of about BLOCK: dim, cell, block, n, lo, hi (of each projection, with half a window), reps, counts, matrix."""
+
+    def prepare(batches):
         for batch in batches:
             for dim, rows, matrix, ok in by_length(batch.column("vec")):
                 rows, matrix = rows[ok], matrix[ok]
-                norm = np.linalg.norm(matrix, axis=1)
-                use = np.isfinite(norm) & (norm > 0)
-                rows, matrix, norm = rows[use], matrix[use], norm[use]
-                take = pa.array(rows)
-                p = (matrix / norm[:, None]) @ directions(dim)[:, 0]
-                exact32 = (matrix.astype(np.float32) == matrix).all()
-                vec = [r.tobytes() for r in matrix.astype(np.float32 if exact32 else np.float64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(p), batch.column("rep").take(take), batch.column("rows").take(take), pa.array(vec, pa.binary())], ["dim", "p", "rep", "rows", "vec"])
-
-    def place(batches):
-        for batch in batches:
-            dims, p = batch.column("dim").to_numpy(), batch.column("p").to_numpy()
-            block = np.zeros(len(dims), np.int32)
-            for dim in set(dims.tolist()) & set(edges):
-                own = dims == dim
-                block[own] = np.searchsorted(edges[dim], p[own], side="right")
-            yield batch.append_column("block", pa.array(block))
-
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("p", "ascending"), ("rep", "ascending")])
-        dim, out = table.column("dim")[0].as_py(), []
-        for s in range(0, table.num_rows, 2 * BLOCK):  # edges are approximate
-            own = table.slice(s, 2 * BLOCK)
-            p = own.column("p").to_numpy()
-            rows = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in own.column("vec").to_pylist()])
-            small = (rows.astype(np.float32) == rows).all()
-            reps, counts = (own.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rep", "rows"))
-            out.append({"dim": dim, "lo": float(p.min()), "hi": float(p.max()), "reps": reps, "counts": counts, "matrix": (rows.astype(np.float32) if small else rows).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("dim", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("reps", pa.binary()), ("counts", pa.binary()), ("matrix", pa.binary())]))
-
-    flat = written(vectors.mapInArrow(project, projected), "projected")
-    edges = {}  # where blocks begin: one number for each BLOCK vectors
-    for r in flat.groupBy("dim").count().where(F.col("count") > BLOCK).collect():
-        n = -(-r["count"] // BLOCK)
-        edges[r["dim"]] = np.array(flat.where(F.col("dim") == r["dim"]).approxQuantile("p", [k / n for k in range(1, n)], 0.1 / n))
-    dealt = flat.mapInArrow(place, f"{projected}, block int")
-    return written(dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, lo double, hi double, reps binary, counts binary, matrix binary"), "blocks")
-
-
-def matrix_of(blob: bytes, n: int, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float32 if len(blob) == 4 * n * dim else np.float64).astype(np.float64).reshape(n, dim)
+                use = (matrix != 0).any(axis=1)
+                take, x = pa.array(rows[use]), scaled(matrix[use])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), batch.column("rep").take(take), batch.column("rows").take(take), pa.array(packed(x), pa.binary())], ["dim", "id", "rows", "x"])
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        dim, cell, sub = (k.as_py() for k in key)
+        x = unpacked(table.column("x").to_pylist(), dim)
+        p, half = projected(x), window(cosine) / 2
+        reps, counts = (table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("id", "rows"))
+        row = [dim, cell, (cell << 32) + sub, len(x), (p.min(axis=0) - half).tolist(), (p.max(axis=0) + half).tolist(), reps, counts, blob(x)]
+        return pa.Table.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+
+    schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.binary()), ("counts", pa.binary()), ("matrix", pa.binary())])
+    flat = written(reps.mapInArrow(prepare, "dim int, id long, rows long, x binary"), "vectors")
+    cells = written(placed(flat, fit(flat, BLOCK)), "cells")
+    return written(grouped(cells, BLOCK).applyInArrow(gather, f"{_META}, reps binary, counts binary, matrix binary"), "blocks")
+
+
+def meeting_cells(made: DataFrame) -> DataFrame:
+    """dim, cell, other (cell <= other) of cells whose boxes overlap in LEAST projections or more; the boxes of at most MOST_CELLS cells a length come to the driver."""
+    box = [f(F.col(c)[k]).alias(f"{c}{k}") for c, f in (("lo", F.min), ("hi", F.max)) for k in range(PROJECTIONS)]
+    several = made.groupBy("dim").agg(F.max("cell").alias("last")).where("last > 0").select("dim")
+    by_dim: dict[int, list] = {}
+    for r in made.join(several, "dim").groupBy("dim", "cell").agg(*box).orderBy("dim", "cell").collect():
+        by_dim.setdefault(r["dim"], []).append(r)
+    spark, out = made.sparkSession, made.select("dim").distinct().join(several, "dim", "left_anti").select("dim", F.lit(0).alias("cell"), F.lit(0).alias("other"))
+    for dim, boxes in by_dim.items():
+        cell, sides = np.array([r["cell"] for r in boxes]), np.array([list(r)[2:] for r in boxes])
+        lo, hi = sides[:, :PROJECTIONS], sides[:, PROJECTIONS:]
+        i, j = np.concatenate([np.stack((np.full(n := len(cell) - a, a), np.arange(a, len(cell))))[:, ((lo[a] <= hi[a:]) & (lo[a:] <= hi[a])).sum(axis=1) >= LEAST] for a in range(len(cell))], axis=1)
+        table = pa.table({"dim": np.full(len(i), dim, np.int32), "cell": cell[i].astype(np.int32), "other": cell[j].astype(np.int32)})
+        out = out.unionByName(spark.createDataFrame(table))
+    return out
+
+
+def block_pairs(made: DataFrame) -> DataFrame:
+    """dim, x, y: the pairs of blocks whose boxes overlap in LEAST projections or more."""
+    side = lambda s, cell: made.select("dim", F.col("cell").alias(cell), F.col("block").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    both = meeting_cells(made).join(side("x", "cell"), ["dim", "cell"]).join(side("y", "other"), ["dim", "other"]).where("cell < other or x <= y")
+    overlap = F.size(F.filter(F.arrays_zip("lo_x", "hi_x", "lo_y", "hi_y"), lambda s: (s["lo_x"] <= s["hi_y"]) & (s["lo_y"] <= s["hi_x"])))
+    return both.where(overlap >= LEAST).select("dim", "x", "y")
 
 
 def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """A row per row of vectors: id, n_links long (other rows linked directly), component_id long, kept boolean (id = component_id).
 
-    Vectors that are null, zero or hold null or non-finite components, and rows of null id, link with nothing. Vectors
-    of different lengths never link. Equal vectors are one class with a count. Other columns are not read.
+    Vectors that are null, zero or hold null or non-finite components, and rows of null id, link with nothing; any other
+    size of component is taken as it is. Vectors of different lengths never link. Equal vectors are one class with a
+    count (by 128 bits). Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     usable = rows.where("id is not null and vec is not null").where("size(vec) > 0")
-    classes = written(usable.groupBy(F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2")).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
-    keyed = usable.select("id", "vec", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
-    reps = keyed.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("rep", "rows", "vec")
-    made = blocks(reps, cosine).withColumn("block", F.xxhash64("reps"))
-    # what pairs of blocks meet: metadata of a few numbers for each BLOCK vectors
-    meta = [tuple(r) for r in made.select("block", "dim", "lo", "hi").orderBy("dim", "lo", "hi", "block").collect()]
-    reach = ORDER_REACH * deviation(cosine)
-    pairs = [(a[0], b[0]) for k, a in enumerate(meta) for b in meta[k:] if a[1] == b[1] and b[2] <= a[3] + reach]
-    spark = vectors.sparkSession
-    met = spark.createDataFrame(pairs, "x long, y long") if pairs else spark.createDataFrame([], "x long, y long")
-    x = made.select(F.col("block").alias("x"), "dim", F.col("reps").alias("reps_x"), F.col("counts").alias("counts_x"), F.col("matrix").alias("matrix_x"))
-    y = made.select(F.col("block").alias("y"), F.col("reps").alias("reps_y"), F.col("counts").alias("counts_y"), F.col("matrix").alias("matrix_y"))
-    both = met.join(x, "x").join(y, "y").repartition(max(1, len(pairs)), "x", "y")
+    classes = written(usable.groupBy(*same_keys("vec")).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    reps = usable.select("id", "vec", *same_keys("vec")).join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("rep", "rows", "vec")
+    made = blocks(reps, cosine)
+    pairs = written(block_pairs(made), "pairs")
+    n = pairs.count()
+    x, y = (made.select("dim", F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "counts", "matrix"))) for s in "xy")
+    both = pairs.join(x, ["dim", "x"]).join(y, ["dim", "y"]).repartition(max(1, min(n, max(256, n // PAIRS_A_TASK))), "dim", "x", "y")
 
     def compare(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 rx, ry, cx, cy = (np.frombuffer(r[c], np.int64) for c in ("reps_x", "reps_y", "counts_x", "counts_y"))
                 same = r["x"] == r["y"]
                 mx, my = matrix_of(r["matrix_x"], len(rx), r["dim"]), matrix_of(r["matrix_y"], len(ry), r["dim"])
@@ -201,9 +211,8 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str
     partial = written(both.mapInArrow(compare, "id long, links long, least long"), "links")
     links = partial.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(partial, "id", "least")
-    per_class = classes.select("k1", "k2", "rep", "rows").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
-    known = rows.select("id", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"), _links_with_something().alias("real"))
-    out = known.join(per_class, ["k1", "k2"], "left")
+    per_class = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
+    out = rows.select("id", *same_keys("vec"), _links_with_something().alias("real")).join(per_class, ["k1", "k2"], "left")
     real = F.col("real") & F.col("rep").isNotNull() & F.col("id").isNotNull()
     component = F.when(real, F.coalesce("component", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.when(real, F.col("rows") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
