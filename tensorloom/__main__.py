@@ -1,22 +1,24 @@
 """Archives that are folders of a manifest.json and raw tensor files.
 
     python -m tensorloom parse FOLDER                            the manifest's components, a JSON document a line
-    python -m tensorloom separate FOLDER OUT [-t TYPE]           numeric components (of one type) as files of OUT
+    python -m tensorloom separate FOLDER OUT [-t TYPE] [-p PATH]...  numeric components (of one type; of these paths) as files of OUT
     python -m tensorloom combine FOLDER OUT [--override KEY FILE]...  a new archive with replaced files; KEY is a path or a file name
-    python -m tensorloom compare A B                             differences by path; exit status 1 if there are any
+    python -m tensorloom compare A B [-q | -v]                   differences by path; exit status 1 if there are any; -q prints
+                                                                 nothing, -v also what each side declares
+
+Files are read and written by Spark's tasks; OUT is a folder that all workers mount.
 """
 
 from __future__ import annotations
 
 import argparse
 import os
-import shutil
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .sources import manifest
+from .sources import manifest, tensor_files
 
 
 def _files(spark: SparkSession, folder: str):
@@ -34,46 +36,58 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("parse").add_argument("folder")
     s = sub.add_parser("separate")
-    s.add_argument("folder"), s.add_argument("out"), s.add_argument("-t", "--type")
+    s.add_argument("folder"), s.add_argument("out"), s.add_argument("-t", "--type"), s.add_argument("-p", "--path", action="append", default=[])
     c = sub.add_parser("combine")
     c.add_argument("folder"), c.add_argument("out"), c.add_argument("--override", nargs=2, action="append", default=[], metavar=("KEY", "FILE"))
     d = sub.add_parser("compare")
     d.add_argument("a"), d.add_argument("b")
+    loud = d.add_mutually_exclusive_group()
+    loud.add_argument("-q", "--quiet", action="store_true"), loud.add_argument("-v", "--verbose", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("tensorloom").getOrCreate()
     if a.command == "compare":
-        found = manifest.difference(_described(spark, a.a), _described(spark, a.b)).orderBy("path").collect()
-        for r in found:
-            print(r["change"], r["path"])
-        return int(bool(found))
+        left, right = _described(spark, a.a), _described(spark, a.b)
+        found = manifest.difference(left, right)
+        if a.quiet:
+            return int(not found.isEmpty())
+        side = lambda rows, name: rows.select("path", F.concat_ws(" ", "kind", F.col("nsamples").cast("string"), "type", "dims", F.substring("hash", 1, 12)).alias(name))
+        shown = found.join(side(left, "left"), "path", "left").join(side(right, "right"), "path", "left") if a.verbose else found
+        some = False
+        for r in shown.orderBy("path").toLocalIterator():
+            some = True
+            print(r["change"], r["path"], *([f"[{r['left'] or ''}] [{r['right'] or ''}]"] if a.verbose else []))
+        return int(some)
     components = manifest.read(spark, f"{a.folder}/manifest.json")
     if a.command == "parse":
-        for r in components.orderBy("ordinal").toJSON().collect():
+        for r in components.orderBy("ordinal").toJSON().toLocalIterator():
             print(r)
         return 0
-    local = a.folder.removeprefix("file://")
-    os.makedirs(a.out, exist_ok=True)
+    own, out = _files(spark, a.folder), os.path.abspath(a.out)
+    os.makedirs(out, exist_ok=True)
     if a.command == "separate":
         wanted = manifest.numeric(components, a.type)
-        sizes = _files(spark, a.folder).select("bin", F.length("content").alias("length"))
-        wrong = [r["path"] for r in manifest.misshapen(wanted, sizes).collect()]
-        for r in wanted.collect():
-            if r["path"] not in wrong:
-                shutil.copyfile(os.path.join(local, r["bin"]), os.path.join(a.out, r["bin"]))
-        for path in wrong:
-            print(f"missing or not of its declared size: {path}", file=sys.stderr)
-        return int(bool(wrong))
-    names = [r["bin"] for r in components.select("bin").collect()]
-    files = spark.createDataFrame([(f,) for f in [*(f for _, f in a.override if os.path.exists(f)), *(n for n in names if os.path.exists(os.path.join(local, n)))]] or [("",)], "file string")
+        wanted = wanted.where(F.col("path").isin(a.path)) if a.path else wanted
+        wrong = manifest.misshapen(wanted, own.select("bin", F.length("content").alias("length"))).select("path")
+        tensor_files.write(wanted.join(wrong, "path", "left_anti").join(own, "bin").select("bin", "content"), out)
+        failed = 0
+        for r in wrong.orderBy("path").toLocalIterator():
+            failed = 1
+            print(f"missing or not of its declared size: {r['path']}", file=sys.stderr)
+        for path in sorted({*a.path} - {r["path"] for r in wanted.select("path").collect()}) if a.path else []:  # those asked for
+            failed = 1
+            print(f"no such component: {path}", file=sys.stderr)
+        return failed
+    given = [f for _, f in a.override if os.path.exists(f)]
+    files = own.select(F.col("bin").alias("file"), "content")
+    if given:  # overrides come from the command line
+        place = spark.createDataFrame([(f, os.path.abspath(f)) for f in given], "file string, place string")
+        there = spark.read.format("binaryFile").load([f"file://{os.path.abspath(f)}" for f in given]).select(F.regexp_replace("path", "^file:/+", "/").alias("place"), "content")
+        files = place.join(there, "place").select("file", "content").unionByName(files.join(place, "file", "left_anti"))
     over = spark.createDataFrame(a.override, "key string, file string") if a.override else spark.createDataFrame([], "key string, file string")
-    plan = {r["path"]: r["source"] for r in manifest.replacement_plan(components, over, files).collect()}
-    for r in components.collect():  # a component without a file to replace it keeps its own
-        own = os.path.join(local, r["bin"])
-        source = plan.get(r["path"], r["bin"])
-        source = source if os.path.exists(source) else own
-        if os.path.exists(source):
-            shutil.copyfile(source, os.path.join(a.out, r["bin"]))
-    shutil.copyfile(os.path.join(local, "manifest.json"), os.path.join(a.out, "manifest.json"))
+    plan = manifest.replacement_plan(components, over, files.select("file"))
+    sources = components.select("path", "bin").join(plan, "path", "left").select("bin", F.coalesce("source", "bin").alias("file"))  # a component without a file to replace it keeps its own
+    tensor_files.write(sources.join(files, "file").select("bin", "content"), out)
+    tensor_files.write(own.where("bin = 'manifest.json'"), out)
     return 0
 
 

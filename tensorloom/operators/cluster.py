@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import int_range_width, line_angle
 from ..tables import shared_table
-from .rank import ranked
+from .rank import before, ranked
 from .tensor import curves
 
 #: Rounds of the greedy cover between two writes of its state.
 ROUNDS_KEPT = 16
-#: Centres that are broadcast.
-CENTRES = 10_000
+#: Bytes of centres that go to every task at once; with more, as many lots of centres as it takes.
+CENTRE_BYTES = 16 << 20
 
 
 def vertices(t: DataFrame) -> DataFrame:
@@ -112,21 +112,20 @@ def identity(cover: DataFrame) -> DataFrame:
 
 def is_sorted(t: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """by, sorted: no value is smaller than the one before it."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return t.withColumn("rises", F.coalesce(F.col(value) >= before, F.lit(True))).groupBy(*by).agg(F.bool_and("rises").alias("sorted"))
+    last = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
+    return t.withColumn("rises", F.coalesce(F.col(value) >= last, F.lit(True))).groupBy(*by).agg(F.bool_and("rises").alias("sorted"))
 
 
 def bytes_size(cover: DataFrame) -> DataFrame:
     """series, covering_bytes: a head, the order unless it is the identity, the inner sizes unless there is one cluster."""
     item = lambda w: F.when(w == 1, 1).when(w == 2, 2).otherwise(4)
-    placed = places(cover)
-    step = F.col("vertex") - F.coalesce(F.lag("vertex").over(Window.partitionBy("series").orderBy("place")), F.lit(0))
-    order = placed.withColumn("step", step).groupBy("series").agg(
+    placed = before(places(cover), ["series"], ["place"], "vertex", "last")
+    order = placed.withColumn("step", F.col("vertex") - F.coalesce("last", F.lit(0))).groupBy("series").agg(
         F.count("*").alias("n"), F.bool_and(F.col("vertex") == F.col("place")).alias("identity"), F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.min("step").alias("c"), F.max("step").alias("d"))
     inner = counts(cover)
-    last = F.max("cluster").over(Window.partitionBy("series"))
-    change = F.col("size") - F.coalesce(F.lag("size").over(Window.partitionBy("series").orderBy("cluster")), F.lit(0))
-    inner = inner.withColumn("last", last).withColumn("change", change).where("cluster < last").groupBy("series").agg(
+    last = inner.groupBy("series").agg(F.max("cluster").alias("last"))
+    changes = before(inner, ["series"], ["cluster"], "size", "size_before")
+    inner = changes.join(last, "series").withColumn("change", F.col("size") - F.coalesce("size_before", F.lit(0))).where("cluster < last").groupBy("series").agg(
         F.count("*").alias("m"), F.min("size").alias("e"), F.max("size").alias("f"), F.min("change").alias("g"), F.max("change").alias("h"))
     width = lambda a, b, c, d: item(F.least(int_range_width(F.col(a), F.col(b)), int_range_width(F.col(c), F.col(d))))
     total = 5 + F.when(F.col("identity"), 0).otherwise(F.col("n") * width("a", "b", "c", "d")) + F.when(F.col("m").isNull(), 0).otherwise(4 + F.col("m") * width("e", "f", "g", "h"))
@@ -189,19 +188,40 @@ def pca_kmeans(t: DataFrame, quality: float = 1e-6, cluster_size: int = 10_000,
     return covering(_kmeans(axes(t, "all").withColumnRenamed("axis", "features"), cluster_size, seed))
 
 
+def _lots(centres: DataFrame) -> DataFrame:
+    """all: centres (centre, at) as arrays, a row for each CENTRE_BYTES of them, which is what is broadcast at a time."""
+    size = centres.agg(F.sum(8 * F.size("at") + 32)).first()[0] or 0
+    lots = max(1, -(-size // CENTRE_BYTES))
+    dealt = centres.withColumn("lot", F.pmod(F.xxhash64("centre"), F.lit(lots)))
+    return shared_table(dealt.groupBy("lot").agg(F.collect_list(F.struct("centre", "at")).alias("all")).select("all"), "centres")
+
+
+def _beside(points: DataFrame, lots: DataFrame, one: bool) -> DataFrame:
+    return points.crossJoin(F.broadcast(lots) if one else lots)  # one: CENTRE_BYTES, about
+
+
 def distances(points: DataFrame, centres: DataFrame, metric=line_angle) -> DataFrame:
-    """Each point (series, vertex, axis) with each centre (centre, at): distance. All pairs are the result.
+    """Each point (series, vertex, axis) with each centre (centre, at): distance. All pairs are the result; nearest() makes none of them.
 
-    Up to CENTRES centres go to every task; with more, blocks of both sides meet.
+    Centres come to the points as arrays; points are never shuffled.
     """
-    few = centres.limit(CENTRES + 1).count() <= CENTRES
-    return points.crossJoin(F.broadcast(centres) if few else centres).withColumn("distance", metric(F.col("axis"), F.col("at")))
+    lots = _lots(centres)
+    each = _beside(points, lots, lots.count() <= 1).withColumn("c", F.explode("all"))
+    return each.select(*points.columns, F.col("c.centre").alias("centre"), F.col("c.at").alias("at")).withColumn("distance", metric(F.col("axis"), F.col("at")))
 
 
 def nearest(points: DataFrame, centres: DataFrame, metric=line_angle) -> DataFrame:
-    """series, vertex, centre, distance of the nearest centre; equals go to the smaller centre."""
-    best = F.min(F.struct("distance", "centre"))
-    return distances(points, centres, metric).groupBy("series", "vertex").agg(best.alias("b")).select("series", "vertex", F.col("b.centre").alias("centre"), F.col("b.distance").alias("distance"))
+    """series, vertex, centre, distance of the nearest centre; equals go to the smaller centre.
+
+    The least is taken over the array of centres within a point's row; a row per point and lot of centres is all that is made.
+    """
+    lots = _lots(centres)
+    one = lots.count() <= 1
+    best = F.array_min(F.transform("all", lambda c: F.struct(metric(F.col("axis"), c["at"]).alias("distance"), c["centre"].alias("centre"))))
+    each = _beside(points, lots, one).select("series", "vertex", best.alias("b"))
+    if not one:
+        each = each.groupBy("series", "vertex").agg(F.min("b").alias("b"))
+    return each.select("series", "vertex", F.col("b.centre").alias("centre"), F.col("b.distance").alias("distance"))
 
 
 def farthest_rounds(points: DataFrame, seed: Column, rounds: int, least: float = -1.0, metric=line_angle):
@@ -229,36 +249,43 @@ def farthest_rounds(points: DataFrame, seed: Column, rounds: int, least: float =
 LEAST_ANGLE = 1e-12
 
 
-def near_values(t: DataFrame, quality: float, form: str, metric=line_angle) -> DataFrame:
-    """Greedy cover by principal axes or rotations: every vertex is within an angle of about quality / 2 of its centre.
+def near_states(t: DataFrame, quality: float, form: str, metric=line_angle) -> DataFrame:
+    """series, vertex, label, best: the greedy cover by principal axes or rotations, and how far each vertex is from its centre.
 
-    The first centre is the axis of all samples of all vertices together. Ends for any quality, with no other cap on rounds: a
-    centre is never chosen twice and distances below LEAST_ANGLE count as none.
+    The first centre is the axis of the curves of all vertices, each about its own mean, taken as one curve. Ends for any
+    quality, with no other cap on rounds: a centre is never chosen twice and distances below LEAST_ANGLE count as none.
     """
     points = shared_table(axes(t, form), "axes")
-    eps = max((1 - math.cos(quality)) / 2, LEAST_ANGLE)
-    done = None
+    done = points.select("series", "vertex", F.lit(0).alias("label"), F.lit(0.0).alias("best")).limit(0)
     for r in points.groupBy("series").count().collect():  # series are few
         own = points.where(F.col("series") == r["series"])
         seed = _pooled_axis(t.where(F.col("series") == r["series"]), form)
-        state, _ = farthest_rounds(own, F.array(*(F.lit(float(x)) for x in seed)), r["count"], eps, metric)
-        part = state.select("series", "vertex", "label")
-        done = part if done is None else done.unionByName(part)
-    return covering(done if done is not None else points.select("series", "vertex", F.lit(0).alias("label")))
+        state, _ = farthest_rounds(own, F.array(*(F.lit(float(x)) for x in seed)), r["count"], bound_of(quality), metric)
+        done = done.unionByName(state.select("series", "vertex", "label", "best"))
+    return done
+
+
+def bound_of(quality: float) -> float:
+    """The largest distance to a centre that a cover by axes leaves."""
+    return max((1 - math.cos(quality)) / 2, LEAST_ANGLE)
+
+
+def near_values(t: DataFrame, quality: float, form: str, metric=line_angle) -> DataFrame:
+    """The covering of near_states(): every vertex is within an angle of about quality / 2 of its centre."""
+    return covering(near_states(t, quality, form, metric).select("series", "vertex", "label"))
 
 
 def _pooled_axis(t: DataFrame, form: str) -> list[float]:
-    """The axis of all samples of all vertices, from sums of products (one small matrix comes to the driver)."""
+    """The axis of all vertices' samples, each about its vertex's mean, from sums of products (one small matrix comes to the driver)."""
     from .embed import quaternion, rotation_of
 
     d = t.agg(F.max("coord") + 1).first()[0]
     point = t.groupBy("sample", "vertex").pivot("coord", list(range(d))).agg(F.first("value"))
-    cols = [F.col(f"`{k}`") for k in range(d)]
-    sums = point.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols))).first()
-    s = np.array([sums[f"s{i}"] for i in range(d)])
-    p = np.array([[sums[f"p{i}_{j}"] for j in range(d)] for i in range(d)])
-    values, vectors = np.linalg.eigh(p - np.outer(s, s) / sums["n"])
-    vt = vectors[:, ::-1].T
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    own = point.groupBy("vertex").agg(F.count("*").alias("n"), *(F.covar_pop(f"`{i}`", f"`{j}`").alias(f"c{i}_{j}") for i, j in pairs))
+    sums = own.agg(*(F.sum(F.col("n") * F.col(f"c{i}_{j}")).alias(f"p{i}_{j}") for i, j in pairs)).first()
+    p = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    vt = np.linalg.eigh(p)[1][:, ::-1].T
     if form == "quaternion":
         return quaternion(rotation_of(vt)).tolist()
     return (vt[0] if form == "first" else vt[-1]).tolist()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bit_width, intify_bytes, quantised, stored_quality, stream_bytes
+from .rank import before
 
 
 def quantise(t: DataFrame, quality: float) -> DataFrame:
@@ -20,8 +21,8 @@ def quantise(t: DataFrame, quality: float) -> DataFrame:
 
 def delta(t: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """quantise()'s rows with delta: the difference to the one before in the stream, the first as it is."""
-    before = F.lag("quantised").over(Window.partitionBy(*by).orderBy(*order))
-    return t.withColumn("delta", F.col("quantised") - F.coalesce(before, F.lit(0)))
+    last = F.lag("quantised").over(Window.partitionBy(*by).orderBy(*order))
+    return t.withColumn("delta", F.col("quantised") - F.coalesce(last, F.lit(0)))
 
 
 def undelta(t: DataFrame, by: list[str], order: list[str], quality: float) -> DataFrame:
@@ -46,8 +47,14 @@ def stream_sizes(t: DataFrame, by: list[str], order: list[str], quality: float,
 
 
 def coordinates_size(t: DataFrame, quality: float, by: list[str] = ("series",), item_bytes: int = 8) -> DataFrame:  # type: ignore[assignment]
-    """Bytes of each group's coordinate streams (sample by sample, in vertex order): by, coord, n, width, stream_bytes."""
-    return stream_sizes(t, [*by, "coord"], ["sample", "vertex"], quality, item_bytes).select(*by, "coord", "n", "width", "codec", "stream_bytes")
+    """Bytes of each group's coordinate streams (sample by sample, in vertex order): by, coord, n, width, stream_bytes.
+
+    A group may be the whole table: its streams are spread over tasks by range.
+    """
+    keys = [*by, "coord"]
+    steps = before(quantise(t, quality).select(*keys, "sample", "vertex", "quantised"), keys, ["sample", "vertex"], "quantised", "last")
+    deltas = steps.withColumn("delta", F.col("quantised") - F.coalesce("last", F.lit(0)))
+    return sizes(headers(deltas, keys), item_bytes).select(*keys, "n", "width", "codec", "stream_bytes")
 
 
 def zero_jagged(m: DataFrame, count: Column) -> DataFrame:

@@ -4,6 +4,9 @@ A method turns a dense array (samples, vertices, coordinates) into a header and
 places after what it has read, so clusters can follow one another in files. Each cluster is one
 group of a grouped map, so a covering bounds what a task holds. What a method really loses is measured after decoding;
 only methods within the bound can be chosen, and raw always is.
+
+Arrays have floats of 2, 4 or 8 bytes. Headers tell which; streams that are not quantised take as many bytes a value, and
+decoding gives that type again. All arithmetic between is in double precision.
 """
 
 from __future__ import annotations
@@ -16,7 +19,18 @@ from pyspark.sql import functions as F
 from ..functions.bytes import decode_coordinates, decode_sparse, encode_coordinates, encode_sparse, pack_ints, pack_varint, unpack_ints, unpack_varint, zero_jagged
 from .tensor import sliced
 
-DOUBLE = np.dtype("<f8")
+#: Bytes of the floats that arrays may have.
+FLOATS = (2, 4, 8)
+
+
+def _kind(x: np.ndarray) -> bytes:
+    return bytes([x.dtype.itemsize])
+
+
+def _kind_of(header: bytes, h: int) -> np.dtype:
+    if header[h] not in FLOATS:
+        raise ValueError(f"no floats have {header[h]} bytes")
+    return np.dtype(f"<f{header[h]}")
 
 
 # rotations, from the published formulas
@@ -117,8 +131,8 @@ def _unconfig(m: np.ndarray, v: int, d: int) -> np.ndarray:
 
 def _stored_centre(x: np.ndarray, quality: float) -> tuple[np.ndarray, bytes]:
     """The mean as it will be decoded, and its bytes."""
-    b = encode_coordinates(x.mean(axis=0), quality)
-    return decode_coordinates(b, 0, x.shape[1:], DOUBLE)[0], b
+    b = encode_coordinates(x.mean(axis=0, dtype=np.float64).astype(x.dtype), quality)
+    return decode_coordinates(b, 0, x.shape[1:], x.dtype)[0].astype(np.float64), b
 
 
 class Raw:
@@ -130,7 +144,7 @@ class Raw:
 
     @staticmethod
     def encode(x, quality):
-        return b"".join(map(pack_varint, x.shape)) + b"\x08", encode_coordinates(x, quality)
+        return b"".join(map(pack_varint, x.shape)) + _kind(x), encode_coordinates(x, quality)
 
     @staticmethod
     def decode(header, payload, h=0, p=0):
@@ -138,7 +152,7 @@ class Raw:
         for _ in range(3):
             n, h = unpack_varint(header, h)
             shape.append(n)
-        x, p = decode_coordinates(payload, p, tuple(shape), DOUBLE)
+        x, p = decode_coordinates(payload, p, tuple(shape), _kind_of(header, h))
         return x, h + 1, p
 
 
@@ -151,15 +165,15 @@ class Static:
 
     @staticmethod
     def encode(x, quality):
-        middle = 0.5 * (x.min(axis=0) + x.max(axis=0))
-        return b"".join(map(pack_varint, x.shape)) + b"\x08" + encode_coordinates(middle, quality), b""
+        middle = 0.5 * (x.min(axis=0).astype(np.float64) + x.max(axis=0))
+        return b"".join(map(pack_varint, x.shape)) + _kind(x) + encode_coordinates(middle.astype(x.dtype), quality), b""
 
     @staticmethod
     def decode(header, payload, h=0, p=0):
         t, h = unpack_varint(header, h)
         v, h = unpack_varint(header, h)
         d, h = unpack_varint(header, h)
-        middle, h = decode_coordinates(header, h + 1, (v, d), DOUBLE)
+        middle, h = decode_coordinates(header, h + 1, (v, d), _kind_of(header, h))
         return np.broadcast_to(middle, (t, v, d)), h, p
 
 
@@ -176,18 +190,21 @@ class Pca:
         centre, centre_bytes = _stored_centre(x, quality)
         a, b, na, nb, eps = linear_parts(_config(x - centre), quality)
         eps = 1.0 if eps is None else eps
-        return pack_varint(t) + pack_varint(v * d) + b"\x08" + encode_sparse(b, nb, eps) + pack_varint(d) + centre_bytes, encode_sparse(a, na, eps)
+        a, b = a.astype(x.dtype), b.astype(x.dtype)
+        return pack_varint(t) + pack_varint(v * d) + _kind(x) + encode_sparse(b, nb, eps) + pack_varint(d) + centre_bytes, encode_sparse(a, na, eps)
 
     @staticmethod
     def decode(header, payload, h=0, p=0):
         t, h = unpack_varint(header, h)
         m, h = unpack_varint(header, h)
-        b, _, h = decode_sparse(header, h + 1, m, DOUBLE)
+        kind = _kind_of(header, h)
+        b, _, h = decode_sparse(header, h + 1, m, kind)
         d, h = unpack_varint(header, h)
-        centre, h = decode_coordinates(header, h, (m // d, d), DOUBLE)
-        a, _, p = decode_sparse(payload, p, t, DOUBLE)
+        centre, h = decode_coordinates(header, h, (m // d, d), kind)
+        a, _, p = decode_sparse(payload, p, t, kind)
         k = min(a.shape[1], b.shape[1])
-        return _unconfig(a[:, :k] @ b[:, :k].T, m // d, d) + centre, h, p
+        product = a[:, :k].astype(np.float64) @ b[:, :k].astype(np.float64).T
+        return (_unconfig(product, m // d, d) + centre).astype(kind), h, p
 
 
 class Rotation:
@@ -204,28 +221,29 @@ class Rotation:
         moved = (x - centre).transpose(1, 0, 2)
         vt = np.linalg.svd(moved, full_matrices=False)[2]
         vectors = np.array([rotation_vector(rotation_of(r)) for r in vt])
-        vector_bytes = encode_coordinates(vectors, quality / 40)
-        r = rotations(decode_coordinates(vector_bytes, 0, (v, 3), DOUBLE)[0])
+        vector_bytes = encode_coordinates(vectors.astype(x.dtype), quality / 40)
+        r = rotations(decode_coordinates(vector_bytes, 0, (v, 3), x.dtype)[0].astype(np.float64))
         u = moved @ r.transpose(0, 2, 1)
         eps, need = quality / 2, np.full(v, 3)
         for k in (2, 1, 0):
             off = np.abs(u[:, :, :k] @ r[:, :k] - moved).max(axis=(1, 2))
             need[off <= eps] = k
-        columns = [encode_coordinates(u[need > k][:, :, k], eps) for k in range(3)]
-        return pack_varint(v) + b"\x08" + centre_bytes + vector_bytes, pack_varint(t) + pack_ints(need, 2) + b"".join(columns)
+        columns = [encode_coordinates(u[need > k][:, :, k].astype(x.dtype), eps) for k in range(3)]
+        return pack_varint(v) + _kind(x) + centre_bytes + vector_bytes, pack_varint(t) + pack_ints(need, 2) + b"".join(columns)
 
     @staticmethod
     def decode(header, payload, h=0, p=0):
         v, h = unpack_varint(header, h)
-        centre, h = decode_coordinates(header, h + 1, (v, 3), DOUBLE)
-        vectors, h = decode_coordinates(header, h, (v, 3), DOUBLE)
+        kind = _kind_of(header, h)
+        centre, h = decode_coordinates(header, h + 1, (v, 3), kind)
+        vectors, h = decode_coordinates(header, h, (v, 3), kind)
         t, p = unpack_varint(payload, p)
         need, p = unpack_ints(payload, v, 2, p)
         u = np.zeros((v, t, 3))
         for k in range(3):
             pick = np.flatnonzero(need > k)
-            u[pick, :, k], p = decode_coordinates(payload, p, (len(pick), t), DOUBLE)
-        return (u @ rotations(vectors)).transpose(1, 0, 2) + centre, h, p
+            u[pick, :, k], p = decode_coordinates(payload, p, (len(pick), t), kind)
+        return ((u @ rotations(vectors.astype(np.float64))).transpose(1, 0, 2) + centre).astype(kind), h, p
 
 
 #: Methods by name, with their numbers in files; register_method() adds to them.
@@ -253,21 +271,33 @@ def dense(sample: np.ndarray, vertex: np.ndarray, coord: np.ndarray, value: np.n
     return out
 
 
-def embed(t: DataFrame, covering: DataFrame, quality: float, candidates: tuple[str, ...] = ("raw", "static", "pca", "rotation")) -> DataFrame:
-    """A row per cluster and candidate that is valid there: series, cluster, method, number, header, payload binary, nbytes long, linf double."""
+def embed(t: DataFrame, covering: DataFrame, quality: float, candidates: tuple[str, ...] = ("raw", "static", "pca", "rotation"), item_bytes: int = 8) -> DataFrame:
+    """A row per cluster and candidate that is valid there: series, cluster, method, number, header, payload binary, nbytes long, linf double.
+
+    Values are floats of item_bytes; the loss is measured against them as that type holds them. An error names its series.
+    """
     if not quality > 0:
         raise ValueError("the quality is positive")
+    if item_bytes not in FLOATS:
+        raise ValueError("floats have 2, 4 or 8 bytes")
     methods = {name: METHODS[name] for name in candidates}
     schema = pa.schema([("series", pa.string()), ("cluster", pa.int32()), ("method", pa.string()), ("number", pa.int32()), ("header", pa.binary()), ("payload", pa.binary()), ("nbytes", pa.int64()), ("linf", pa.float64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        x = dense(*(table.column(c).to_numpy() for c in ("sample", "rank_in_cluster", "coord", "value")))
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        series, cluster = (k.as_py() for k in key)
         rows = []
-        for name, (number, method) in methods.items():
-            if method.valid(x, quality):
-                header, payload = method.encode(x, quality)
-                lost = float(np.abs(method.decode(header, payload)[0] - x).max())
-                rows.append({"series": table.column("series")[0].as_py(), "cluster": table.column("cluster")[0].as_py(), "method": name, "number": number, "header": header, "payload": payload, "nbytes": len(header) + len(payload), "linf": lost})
+        try:
+            with np.errstate(over="ignore"):
+                x = dense(*(table.column(c).to_numpy() for c in ("sample", "rank_in_cluster", "coord", "value"))).astype(f"<f{item_bytes}")
+            if not np.isfinite(x).all():
+                raise ValueError(f"a value does not fit floats of {item_bytes} bytes")
+            for name, (number, method) in methods.items():
+                if method.valid(x, quality):
+                    header, payload = method.encode(x, quality)
+                    lost = float(np.abs(method.decode(header, payload)[0].astype(np.float64) - x).max())
+                    rows.append({"series": series, "cluster": cluster, "method": name, "number": number, "header": header, "payload": payload, "nbytes": len(header) + len(payload), "linf": lost})
+        except Exception as e:
+            raise ValueError(f"series {series!r}, cluster {cluster}: {e}") from e
         return pa.Table.from_pylist(rows, schema)
 
     parts = sliced(t, covering).select("series", "cluster", "sample", "rank_in_cluster", "coord", "value")

@@ -11,42 +11,62 @@ KEY = ("series", "sample", "vertex", "coord")
 
 
 def from_arrays(df: DataFrame, id_col: str, array_col: str, ndim: int, series: str) -> DataFrame:
-    """An array per vertex, cut into samples of ndim components; what is left over at the end goes."""
+    """An array per vertex, cut into samples of ndim components; fewer that are left over at the end are a sample of a series of their own, `series`_rest."""
     flat = df.select(F.col(id_col).alias("vertex"), F.posexplode(array_col).alias("i", "value"), F.size(array_col).alias("n"))
-    whole = flat.where(F.col("i") < F.col("n") - F.col("n") % ndim)
-    return whole.select(F.lit(series).alias("series"), F.floor(F.col("i") / ndim).cast("int").alias("sample"), "vertex", (F.col("i") % ndim).cast("int").alias("coord"), F.col("value").cast("double").alias("value"))
+    rest = F.col("i") >= F.col("n") - F.col("n") % ndim
+    name = F.when(rest, f"{series}_rest").otherwise(series)
+    sample = F.when(rest, 0).otherwise(F.floor(F.col("i") / ndim)).cast("int")
+    return flat.select(name.alias("series"), sample.alias("sample"), "vertex", (F.col("i") % ndim).cast("int").alias("coord"), F.col("value").cast("double").alias("value"))
 
 
-def from_rows(df: DataFrame, vertex: str, order: list[str], coords: list[str], series: str, whole: bool = False) -> DataFrame:
-    """Rows of each vertex in an order as its samples, cut to the number that the shortest vertex has.
-
-    whole: all rows, for operators on streams of any length; such a tensor is not dense.
-    """
+def from_rows(df: DataFrame, vertex: str, order: list[str], coords: list[str], series: str) -> DataFrame:
+    """All rows of each vertex in an order as its samples. Vertices may have any number of them; by_length() makes dense series of such a tensor."""
     ranked = df.withColumn("sample", F.row_number().over(Window.partitionBy(vertex).orderBy(*order)) - 1)
-    shortest = df.groupBy(vertex).count().agg(F.min("count").alias("n"))
-    kept = ranked if whole else ranked.join(F.broadcast(shortest), F.col("sample") < F.col("n"))  # a single row
     values = F.posexplode(F.array(*(F.col(c).cast("double") for c in coords))).alias("coord", "value")
-    return kept.select(F.lit(series).alias("series"), F.col("sample").cast("int").alias("sample"), F.col(vertex).cast("long").alias("vertex"), values)
+    return ranked.select(F.lit(series).alias("series"), F.col("sample").cast("int").alias("sample"), F.col(vertex).cast("long").alias("vertex"), values)
+
+
+def by_length(t: DataFrame) -> DataFrame:
+    """t with its series split by their vertices' number of samples, as `series`_n: each is dense, and no value goes."""
+    n = t.groupBy("series", "vertex").agg((F.max("sample") + 1).alias("n"))
+    return t.join(n, ["series", "vertex"]).select(F.concat_ws("_", "series", "n").alias("series"), *KEY[1:], "value")
+
+
+def embeddings(spark, sf_dir: str, ndim: int) -> DataFrame:
+    return from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding", ndim, f"emb{ndim}")
 
 
 def embeddings3(spark, sf_dir: str) -> DataFrame:
-    return from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding", 3, "emb3")
+    return embeddings(spark, sf_dir, 3)
 
 
 def embeddings4(spark, sf_dir: str) -> DataFrame:
-    return from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding", 4, "emb4")
+    return embeddings(spark, sf_dir, 4)
+
+
+def event_values(spark, sf_dir: str) -> DataFrame:
+    return from_rows(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], ["value"], "evt")
 
 
-def event_values(spark, sf_dir: str, whole: bool = False) -> DataFrame:
-    return from_rows(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], ["value"], "evt", whole)
+def as_floats(t: DataFrame, item_bytes: int) -> DataFrame:
+    """t with values as floats of 2, 4 or 8 bytes hold them, natively: of 2 bytes, 11 significant bits down to multiples of 2**-24; larger values than they hold are infinite."""
+    if item_bytes == 8:
+        return t
+    if item_bytes == 4:
+        return t.withColumn("value", F.col("value").cast("float").cast("double"))
+    if item_bytes != 2:
+        raise ValueError("floats have 2, 4 or 8 bytes")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs("value"))), F.lit(-14)) - 10)
+    near = F.when(F.col("value") == 0, F.col("value")).otherwise(F.rint(F.col("value") / step) * step)
+    return t.withColumn("value", F.when(F.abs(near) > 65504, F.signum("value") * float("inf")).otherwise(near))
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
-def lineitems(spark, sf_dir: str, whole: bool = False) -> DataFrame:
+def lineitems(spark, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", *LINEITEM_ORDER, "l_discount")
-    return from_rows(df, "l_suppkey", LINEITEM_ORDER, ["l_quantity", "l_extendedprice", "l_discount"], "li", whole)
+    return from_rows(df, "l_suppkey", LINEITEM_ORDER, ["l_quantity", "l_extendedprice", "l_discount"], "li")
 
 
 def shape(t: DataFrame) -> DataFrame:

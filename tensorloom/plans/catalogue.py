@@ -9,9 +9,10 @@ from ..functions import expressions as X
 from ..operators import cluster, codec, embed, metric, tensor
 from ..sources import manifest
 from ..streaming import deltas
+from ..tables import shared_table
 from . import pipeline, sql
 
-Q_EVT, Q_EMB, Q_LI, Q_STATIC = 1e-2, 1e-2, 7e-3, 0.2
+Q_EVT, Q_EMB, Q_LI, Q_STATIC, Q_TYPED = 1e-2, 1e-2, 7e-3, 0.2, 1e-6
 EVT_BY, EVT_ORDER = ["series", "vertex", "coord"], ["sample"]
 
 QUERIES: dict = {}
@@ -88,18 +89,31 @@ def codec_bytes_length(spark, sf_dir):
     return encoded.select("vertex", "n", F.length("payload").cast("long").alias("bytes"))
 
 
-@query(f"with {sql.EMB3}, q as (select *, {sql.quantised('value', Q_EMB)} as r from emb3), d as (select coord, r - coalesce(lag(r) over (partition by coord order by sample, vertex), 0) as delta from q), h as (select coord, count(*) as n, {sql.width('max(delta) - min(delta)')} as width from d group by coord) select coord, n, width, {sql.stream('n', 'width', 8)} as stream_bytes from h")
+@query(f"with {sql.EMB4}, q as (select *, {sql.quantised('value', Q_EMB)} as r from emb4), d as (select coord, r - coalesce(lag(r) over (partition by coord order by sample, vertex), 0) as delta from q), h as (select coord, count(*) as n, {sql.width('max(delta) - min(delta)')} as width from d group by coord) select coord, n, width, {sql.stream('n', 'width', 8)} as stream_bytes from h")
 def coordinate_streams_size(spark, sf_dir):
-    return codec.coordinates_size(tensor.embeddings3(spark, sf_dir), Q_EMB).select("coord", "n", "width", "stream_bytes")
+    return codec.coordinates_size(tensor.embeddings4(spark, sf_dir), Q_EMB).select("coord", "n", "width", "stream_bytes")
 
 
 @query(f"with e as (select user_id as vertex, row_number() over (partition by user_id order by ts, event_id) as sample, {sql.quantised('value', Q_EVT)} as quantised from events), d as (select *, quantised - coalesce(lag(quantised) over (partition by vertex order by sample), 0) as delta from e), {sql.HEAD} select vertex, n, n * 8 as raw_bytes, {sql.intify('n', 'width')} as intify_bytes, {sql.stream('n', 'width', 8)} as stream_bytes from h")
 def event_stream_sizes(spark, sf_dir):
-    """All events of every user; the queries on event_values() cut users to the shortest."""
-    t = tensor.event_values(spark, sf_dir, whole=True)
+    t = tensor.event_values(spark, sf_dir)
     return codec.stream_sizes(t, ["vertex"], EVT_ORDER, Q_EVT).select("vertex", "n", "raw_bytes", "intify_bytes", "stream_bytes")
 
 
+_TYPED = {2: "round_even(value, 0)", 4: "value::float::double", 8: "value"}  # whole numbers that 16 bits hold; single and double precision
+_TYPED_SQL = " union all ".join(f"select vertex, {b} as item_bytes, n, {sql.intify('n', 'width')} as intify_bytes, case when n * {b} <= {sql.intify('n', 'width')} then 'raw' else 'intify' end as codec, {sql.stream('n', 'width', b)} as stream_bytes from h{b}" for b in _TYPED)
+
+
+@query(f"with {sql.EVT}, " + ", ".join(f"q{b} as (select vertex, sample, {sql.quantised(v, Q_TYPED)} as q from evt), d{b} as (select vertex, q - coalesce(lag(q) over (partition by vertex order by sample), 0) as delta from q{b}), h{b} as (select vertex, count(*) as n, {sql.width('max(delta) - min(delta)')} as width from d{b} group by vertex)" for b, v in _TYPED.items()) + f" {_TYPED_SQL}")
+def typed_stream_sizes(spark, sf_dir):
+    """Streams of floats of 2, 4 and 8 bytes: raw values take as many."""
+    t, done = tensor.event_values(spark, sf_dir), None
+    for b, typed in ((2, F.rint("value")), (4, F.col("value").cast("float").cast("double")), (8, F.col("value"))):
+        s = codec.stream_sizes(t.withColumn("value", typed), ["vertex"], EVT_ORDER, Q_TYPED, b).select("vertex", F.lit(b).alias("item_bytes"), "n", "intify_bytes", "codec", "stream_bytes")
+        done = s if done is None else done.unionByName(s)
+    return done
+
+
 @query(f"select o_orderkey, {sql.varint('o_orderkey')} as bytes from orders")
 def varint_length(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", X.varint_length(F.col("o_orderkey")).alias("bytes"))
@@ -126,39 +140,39 @@ def tiny_int_wordsize(spark, sf_dir):
     return spark.range(1, 65).select(F.col("id").alias("width"), X.word_bits(w).cast("int").alias("word_bits"), F.floor(X.word_bits(w) / w).cast("int").alias("per_word"))
 
 
-@query(f"with {sql.EMB3} select vertex as row, sample * 3 + coord as k, value from emb3 where sample * 3 + coord < vertex % 7")
+@query(f"with {sql.EMB4} select vertex as row, sample * 4 + coord as k, value from emb4 where sample * 4 + coord < vertex % 7")
 def jagged_zero(spark, sf_dir):
     return codec.zero_jagged(_matrix(spark, sf_dir), F.col("row") % 7).select("row", "k", "value")
 
 
-@query(f"with {sql.EMB3} select sample * 3 + coord as k, count(*) as rows from emb3 where sample * 3 + coord < vertex % 7 group by 1")
+@query(f"with {sql.EMB4} select sample * 4 + coord as k, count(*) as rows from emb4 where sample * 4 + coord < vertex % 7 group by 1")
 def jagged_counts(spark, sf_dir):
     return codec.jagged_counts(_matrix(spark, sf_dir), F.col("row") % 7)
 
 
 def _matrix(spark, sf_dir):
-    return tensor.embeddings3(spark, sf_dir).select(F.col("vertex").alias("row"), (F.col("sample") * 3 + F.col("coord")).alias("k"), "value")
+    return tensor.embeddings4(spark, sf_dir).select(F.col("vertex").alias("row"), (F.col("sample") * 4 + F.col("coord")).alias("k"), "value")
 
 
 # values
 
 
-@query(f"with {sql.EMB3} select vertex, coord, round(avg(value), 6) as centroid from emb3 group by vertex, coord")
+@query(f"with {sql.EMB4} select vertex, coord, round(avg(value), 6) as centroid from emb4 group by vertex, coord")
 def centroid(spark, sf_dir):
-    return metric.centroid(tensor.embeddings3(spark, sf_dir)).select("vertex", "coord", F.round("centroid", 6).alias("centroid"))
+    return metric.centroid(tensor.embeddings4(spark, sf_dir)).select("vertex", "coord", F.round("centroid", 6).alias("centroid"))
 
 
-_CENTRES = f"c as (select vertex, coord, {sql.quantised('avg(value)', Q_EMB)} as r from emb3 group by vertex, coord)"
+_CENTRES = f"c as (select vertex, coord, {sql.quantised('avg(value)', Q_EMB)} as r from emb4 group by vertex, coord)"
 
 
-@query(f"with {sql.EMB3}, {_CENTRES} select vertex, coord, round(r * {sql.stored(Q_EMB)}, 6) as centroid from c")
+@query(f"with {sql.EMB4}, {_CENTRES} select vertex, coord, round(r * {sql.stored(Q_EMB)}, 6) as centroid from c")
 def centroid_rounded(spark, sf_dir):
-    return metric.rounded_centroid(tensor.embeddings3(spark, sf_dir), Q_EMB).select("vertex", "coord", F.round("centroid", 6).alias("centroid"))
+    return metric.rounded_centroid(tensor.embeddings4(spark, sf_dir), Q_EMB).select("vertex", "coord", F.round("centroid", 6).alias("centroid"))
 
 
-@query(f"with {sql.EMB3}, {_CENTRES} select sample, vertex, coord, round(value - r * {sql.stored(Q_EMB)}, 6) as value from emb3 join c using (vertex, coord)")
+@query(f"with {sql.EMB4}, {_CENTRES} select sample, vertex, coord, round(value - r * {sql.stored(Q_EMB)}, 6) as value from emb4 join c using (vertex, coord)")
 def centered(spark, sf_dir):
-    return metric.centred(tensor.embeddings3(spark, sf_dir), Q_EMB).select("sample", "vertex", "coord", F.round("value", 6).alias("value"))
+    return metric.centred(tensor.embeddings4(spark, sf_dir), Q_EMB).select("sample", "vertex", "coord", F.round("value", 6).alias("value"))
 
 
 @query(f"with {sql.LI} select vertex, coord, min(value) as low, max(value) as high, round(0.5 * (min(value) + max(value)), 6) as midpoint from li group by vertex, coord")
@@ -193,41 +207,41 @@ def static_first_cover(spark, sf_dir):
 # coverings
 
 
-@query(f"with {sql.EMB3} select vertex, 0 as cluster, (row_number() over (order by vertex) - 1)::int as rank_in_cluster from (select distinct vertex from emb3)")
+@query(f"with {sql.EMB4} select vertex, 0 as cluster, (row_number() over (order by vertex) - 1)::int as rank_in_cluster from (select distinct vertex from emb4)")
 def cluster_monolithic(spark, sf_dir):
-    return cluster.monolithic(tensor.embeddings3(spark, sf_dir)).select("vertex", "cluster", "rank_in_cluster")
+    return cluster.monolithic(tensor.embeddings4(spark, sf_dir)).select("vertex", "cluster", "rank_in_cluster")
 
 
-_BY_INDEX = "n as (select 1 + (count(distinct vertex) - 1) // 11 as k from emb3), c as (select vertex, ntile((select k from n)) over (order by vertex) - 1 as cluster from (select distinct vertex from emb3))"
+_BY_INDEX = "n as (select 1 + (count(distinct vertex) - 1) // 11 as k from emb4), c as (select vertex, ntile((select k from n)) over (order by vertex) - 1 as cluster from (select distinct vertex from emb4))"
 
 
-@query(f"with {sql.EMB3}, {_BY_INDEX} select vertex, cluster::int as cluster, (row_number() over (partition by cluster order by vertex) - 1)::int as rank_in_cluster from c")
+@query(f"with {sql.EMB4}, {_BY_INDEX} select vertex, cluster::int as cluster, (row_number() over (partition by cluster order by vertex) - 1)::int as rank_in_cluster from c")
 def cluster_by_index(spark, sf_dir):
-    return cluster.by_index(tensor.embeddings3(spark, sf_dir), Q_EMB, 11).select("vertex", "cluster", "rank_in_cluster")
+    return cluster.by_index(tensor.embeddings4(spark, sf_dir), Q_EMB, 11).select("vertex", "cluster", "rank_in_cluster")
 
 
-@query(f"with {sql.EMB3}, {_BY_INDEX} select cluster::int as cluster, count(*) as size from c group by cluster")
+@query(f"with {sql.EMB4}, {_BY_INDEX} select cluster::int as cluster, count(*) as size from c group by cluster")
 def cover_counts(spark, sf_dir):
-    return cluster.counts(cluster.by_index(tensor.embeddings3(spark, sf_dir), Q_EMB, 11)).select("cluster", "size")
+    return cluster.counts(cluster.by_index(tensor.embeddings4(spark, sf_dir), Q_EMB, 11)).select("cluster", "size")
 
 
-@query(f"with {sql.EMB3}, {_BY_INDEX}, s as (select cluster, count(*) as size from c group by cluster), o as (select cluster, sum(size) over (order by cluster rows between unbounded preceding and 1 preceding)::bigint as \"offset\" from s) select cluster::int as cluster, \"offset\" from o where \"offset\" is not null")
+@query(f"with {sql.EMB4}, {_BY_INDEX}, s as (select cluster, count(*) as size from c group by cluster), o as (select cluster, sum(size) over (order by cluster rows between unbounded preceding and 1 preceding)::bigint as \"offset\" from s) select cluster::int as cluster, \"offset\" from o where \"offset\" is not null")
 def cover_offsets(spark, sf_dir):
-    return cluster.offsets(cluster.by_index(tensor.embeddings3(spark, sf_dir), Q_EMB, 11)).select("cluster", "offset")
+    return cluster.offsets(cluster.by_index(tensor.embeddings4(spark, sf_dir), Q_EMB, 11)).select("cluster", "offset")
 
 
-@query(f"with {sql.EMB3}, l as (select vertex, vertex % 3 as cluster from (select distinct vertex from emb3)) select count(*) = count(distinct vertex) and min(vertex) = 0 and max(vertex) = count(*) - 1 as exact, bool_and(vertex = p) as identity from (select vertex, row_number() over (order by cluster, vertex) - 1 as p from l)")
+@query(f"with {sql.EMB4}, l as (select vertex, vertex % 3 as cluster from (select distinct vertex from emb4)) select count(*) = count(distinct vertex) and min(vertex) = 0 and max(vertex) = count(*) - 1 as exact, bool_and(vertex = p) as identity from (select vertex, row_number() over (order by cluster, vertex) - 1 as p from l)")
 def cover_verify(spark, sf_dir):
     return cluster.verify(_thirds(spark, sf_dir)).select("exact", "identity")
 
 
 def _thirds(spark, sf_dir):
-    return cluster.covering(cluster.vertices(tensor.embeddings3(spark, sf_dir)).withColumn("label", F.col("vertex") % 3))
+    return cluster.covering(cluster.vertices(tensor.embeddings4(spark, sf_dir)).withColumn("label", F.col("vertex") % 3))
 
 
-@query(f"with {sql.EMB3}, {_BY_INDEX} select bool_and(vertex = p) as identity from (select vertex, row_number() over (order by cluster, vertex) - 1 as p from c)")
+@query(f"with {sql.EMB4}, {_BY_INDEX} select bool_and(vertex = p) as identity from (select vertex, row_number() over (order by cluster, vertex) - 1 as p from c)")
 def is_identity(spark, sf_dir):
-    return cluster.identity(cluster.by_index(tensor.embeddings3(spark, sf_dir), Q_EMB, 11)).select("identity")
+    return cluster.identity(cluster.by_index(tensor.embeddings4(spark, sf_dir), Q_EMB, 11)).select("identity")
 
 
 @query("select o_custkey, bool_and(o_totalprice >= coalesce(b, o_totalprice)) as sorted from (select o_custkey, o_totalprice, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as b from orders) group by o_custkey")
@@ -239,7 +253,7 @@ def _width(lo: str, hi: str) -> str:
     return f"case {_RANGES.format(lo=lo, hi=hi)} when 1 then 1 when 2 then 2 else 4 end"
 
 
-@query(f"""with {sql.EMB3}, l as (select vertex, vertex % 3 as cluster, row_number() over (order by vertex % 3, vertex) - 1 as p from (select distinct vertex from emb3)),
+@query(f"""with {sql.EMB4}, l as (select vertex, vertex % 3 as cluster, row_number() over (order by vertex % 3, vertex) - 1 as p from (select distinct vertex from emb4)),
 o as (select *, vertex - coalesce(lag(vertex) over (order by p), 0) as step from l), i as (select count(*) as n, least({_width('min(vertex)', 'max(vertex)')}, {_width('min(step)', 'max(step)')}) as w from o),
 s as (select cluster, count(*) as size from l group by cluster), z as (select *, size - coalesce(lag(size) over (order by cluster), 0) as change from s), c as (select count(*) as m, least({_width('min(size)', 'max(size)')}, {_width('min(change)', 'max(change)')}) as w from z where cluster < 2)
 select (5 + n * i.w + 4 + m * c.w)::bigint as covering_bytes from i, c""")
@@ -247,38 +261,43 @@ def cover_bytes_size(spark, sf_dir):
     return cluster.bytes_size(_thirds(spark, sf_dir)).select("covering_bytes")
 
 
-@query(f"with {sql.EMB3} select sample, vertex, coord, value from emb3")
+@query(f"with {sql.EMB4} select sample, vertex, coord, value from emb4")
 def slice_unslice(spark, sf_dir):
-    t, cover = tensor.embeddings3(spark, sf_dir), _thirds(spark, sf_dir)
+    t, cover = tensor.embeddings4(spark, sf_dir), _thirds(spark, sf_dir)
     return tensor.unsliced(tensor.sliced(t, cover).drop("vertex"), cover).select("sample", "vertex", "coord", "value")
 
 
-@query(f"with {sql.EMB3} select sample, coord, value from emb3 where vertex = 7")
+@query(f"with {sql.EMB4} select sample, coord, value from emb4 where vertex = 7")
 def vertex_curve(spark, sf_dir):
-    return tensor.curve(tensor.embeddings3(spark, sf_dir), 7).select("sample", "coord", "value")
+    return tensor.curve(tensor.embeddings4(spark, sf_dir), 7).select("sample", "coord", "value")
 
 
-_RANKED = "v as (select vertex, row_number() over (order by vertex) - 1 as rank, count(*) over () as n from (select distinct vertex from emb3))"
+_RANKED = "v as (select vertex, row_number() over (order by vertex) - 1 as rank, count(*) over () as n from (select distinct vertex from emb4))"
 
 
-@query(f"with {sql.EMB3}, {_RANKED} select sample as row, (coord * n + rank)::bigint as col, value from emb3 join v using (vertex)")
+@query(f"with {sql.EMB4}, {_RANKED} select sample as row, (coord * n + rank)::bigint as col, value from emb4 join v using (vertex)")
 def flatten_config(spark, sf_dir):
-    return tensor.flatten_config(tensor.embeddings3(spark, sf_dir)).select("row", "col", "value")
+    return tensor.flatten_config(tensor.embeddings4(spark, sf_dir)).select("row", "col", "value")
 
 
-@query(f"with {sql.EMB3}, {_RANKED} select sample, rank, coord, value from emb3 join v using (vertex)")
+@query(f"with {sql.EMB4}, {_RANKED} select sample, rank, coord, value from emb4 join v using (vertex)")
 def unflatten_config(spark, sf_dir):
-    return tensor.unflatten_config(tensor.flatten_config(tensor.embeddings3(spark, sf_dir)), 3).select("sample", "rank", "coord", "value")
+    return tensor.unflatten_config(tensor.flatten_config(tensor.embeddings4(spark, sf_dir)), 4).select("sample", "rank", "coord", "value")
 
 
-@query(f"with {sql.EMB3} select vertex, (sample * 3 + coord)::bigint as col, value from emb3")
+@query(f"with {sql.EMB4} select vertex, (sample * 4 + coord)::bigint as col, value from emb4")
 def flatten_vertex(spark, sf_dir):
-    return tensor.flatten_vertex(tensor.embeddings3(spark, sf_dir)).select("vertex", "col", "value")
+    return tensor.flatten_vertex(tensor.embeddings4(spark, sf_dir)).select("vertex", "col", "value")
+
 
+_SERIES = "select 'evt' as series, sample, vertex, 0 as coord, value from evt union all select 'li', sample, vertex, coord, value from li union all select 'emb4', sample, vertex, coord, value from emb4"
 
-@query(f"with {sql.EVT}, {sql.LI}, {sql.EMB4}, t as (select 'evt' as series, sample, vertex, 0 as coord, value from evt union all select 'li', sample, vertex, coord, value from li union all select 'emb4', sample, vertex, coord, value from emb4) select series, (max(sample) + 1)::int as nsamples, count(distinct vertex) as nverts, (max(coord) + 1)::int as ndim, count(*) as nvalues, count(*) = (max(sample) + 1) * count(distinct vertex) * (max(coord) + 1) as valid from t group by series")
+
+@query(f"with {sql.EVT}, {sql.LI}, {sql.EMB4}, w as ({_SERIES} union all select 'evt_' || n, sample, vertex, 0, value from evt join (select vertex, count(*) as n from evt group by vertex) using (vertex)) select series, (max(sample) + 1)::int as nsamples, count(distinct vertex) as nverts, (max(coord) + 1)::int as ndim, count(*) as nvalues, count(*) = (max(sample) + 1) * count(distinct vertex) * (max(coord) + 1) as valid from w group by series")
 def tensor_shape(spark, sf_dir):
-    t = tensor.event_values(spark, sf_dir).unionByName(tensor.lineitems(spark, sf_dir)).unionByName(tensor.embeddings4(spark, sf_dir))
+    """Users and suppliers have streams of different lengths, which are not dense together; by length they are."""
+    events = tensor.event_values(spark, sf_dir)
+    t = events.unionByName(tensor.by_length(events)).unionByName(tensor.lineitems(spark, sf_dir)).unionByName(tensor.embeddings4(spark, sf_dir))
     return tensor.shape(t)
 
 
@@ -308,22 +327,32 @@ def hausdorff(spark, sf_dir):
     return metric.hausdorff(*_li_pair(spark, sf_dir)).select(F.round("hausdorff", 9).alias("hausdorff"))
 
 
-_REPORT = "(count(*) * 8)::bigint as original_size, count(*) as original_numvalues, round(max(abs(a - b)), 9) as linf, count(*) filter (a <> b) as numerrors, count(*) filter (b + (a - b) <> a) as numuncorrectable"
+_REPORT = "(count(*) * 8)::bigint as original_size, count(*) as original_numvalues, round(max(abs(a - b)), 9) as linf, count(*) filter (a <> b) as numerrors, max(abs(b + (a - b) - a)) as corrected_linf, count(*) filter (b + (a - b) <> a) as numuncorrectable"
+
+
+def _farthest(points: str) -> str:
+    return f"(select round(sqrt(max(d)), 9) from (select sum((a - b) * (a - b)) as d from {points} group by sample, vertex)) as hausdorff"
+
+
+def _reported(r: DataFrame) -> DataFrame:
+    return r.select("series", "original_size", "original_numvalues", F.round("hausdorff", 9).alias("hausdorff"), F.round("linf", 9).alias("linf"), "numerrors", "corrected_linf", "numuncorrectable")
 
 
-@query(f"with {sql.LI}, {_PAIR} select 'li' as series, {_REPORT} from p")
+
+
+@query(f"with {sql.LI}, {_PAIR} select 'li' as series, {_REPORT}, {_farthest('p')} from p")
 def report(spark, sf_dir):
     before, after = _li_pair(spark, sf_dir)
     size = before.select("series").distinct().withColumn("compressed_size", F.lit(0).cast("long"))
-    return metric.report(before, after, size).select("series", "original_size", "original_numvalues", F.round("linf", 9).alias("linf"), "numerrors", "numuncorrectable")
+    return _reported(metric.report(before, after, size))
 
 
-@query(f"with {sql.LI}, {_PAIR}, {sql.EMB3}, e as (select value as a, {sql.quantised('value', Q_LI)} * {sql.stored(Q_LI)} as b from emb3), r as (select 'li' as series, {_REPORT} from p union all select 'emb3', {_REPORT} from e) select series, original_size, original_numvalues, linf, numerrors, numuncorrectable from r union all select null, sum(original_size)::bigint, sum(original_numvalues)::bigint, max(linf), sum(numerrors)::bigint, sum(numuncorrectable)::bigint from r")
+@query(f"with {sql.LI}, {_PAIR}, {sql.EMB4}, e as (select sample, vertex, value as a, {sql.quantised('value', Q_LI)} * {sql.stored(Q_LI)} as b from emb4), r as (select 'li' as series, {_REPORT}, {_farthest('p')} from p union all select 'emb4', {_REPORT}, {_farthest('e')} from e) select series, original_size, original_numvalues, hausdorff, linf, numerrors, corrected_linf, numuncorrectable from r union all select null, sum(original_size)::bigint, sum(original_numvalues)::bigint, max(hausdorff), max(linf), sum(numerrors)::bigint, max(corrected_linf), sum(numuncorrectable)::bigint from r")
 def report_combined(spark, sf_dir):
-    t = tensor.lineitems(spark, sf_dir).unionByName(tensor.embeddings3(spark, sf_dir))
+    t = tensor.lineitems(spark, sf_dir).unionByName(tensor.embeddings4(spark, sf_dir))
     after = codec.quantise(t, Q_LI).select(*tensor.KEY, (F.col("quantised") * F.lit(X.stored_quality(Q_LI))).alias("value"))
     size = t.select("series").distinct().withColumn("compressed_size", F.lit(0).cast("long"))
-    return metric.combined(metric.report(t, after, size)).select("series", "original_size", "original_numvalues", F.round("linf", 9).alias("linf"), "numerrors", "numuncorrectable")
+    return _reported(metric.combined(metric.report(t, after, size)))
 
 
 @query(f"with {sql.EVT_DELTA(Q_EVT)}, {sql.HEAD}, s as (select sum({sql.stream('n', 'width', 8)})::bigint as compressed_size from h) select 'evt' as series, (count(*) * 8)::bigint as original_size, (select compressed_size from s) as compressed_size, count(*) as original_numvalues, round(max(abs(value - quantised * {sql.stored(Q_EVT)})), 9) as linf, round(1 - (select compressed_size from s) / (count(*) * 8), 6) as ratio from d")
@@ -388,44 +417,58 @@ def farthest_point_step(spark, sf_dir):
 # reductions
 
 
-@query(f"with {sql.EMB3}, a as (select coord as k, max(abs(value)) as m from emb3 group by coord), b as (select coord as k, max(abs(m)) as m from (select vertex, coord, avg(value) as m from emb3 group by vertex, coord) group by coord) select a.k, round(0.5 * (sqrt(4 * {Q_EMB!r}::double / 3 + (a.m + b.m) ** 2) - (a.m + b.m)), 9) as epsilon from a join b on a.k = b.k")
+@query(f"with {sql.EMB4}, a as (select coord as k, max(abs(value)) as m from emb4 group by coord), b as (select coord as k, max(abs(m)) as m from (select vertex, coord, avg(value) as m from emb4 group by vertex, coord) group by coord) select a.k, round(0.5 * (sqrt(4 * {Q_EMB!r}::double / 4 + (a.m + b.m) ** 2) - (a.m + b.m)), 9) as epsilon from a join b on a.k = b.k")
 def epsilon_components(spark, sf_dir):
-    t = tensor.embeddings3(spark, sf_dir)
+    t = tensor.embeddings4(spark, sf_dir)
     a = t.groupBy(F.col("coord").alias("k")).agg(F.max(F.abs("value")).alias("a"))
     b = metric.centroid(t).groupBy(F.col("coord").alias("k")).agg(F.max(F.abs("centroid")).alias("b"))
-    return a.join(b, "k").select("k", F.round(X.component_epsilon(Q_EMB, 3, F.col("a") + F.col("b")), 9).alias("epsilon"))
+    return a.join(b, "k").select("k", F.round(X.component_epsilon(Q_EMB, 4, F.col("a") + F.col("b")), 9).alias("epsilon"))
 
 
-_TRUNC = """a as (select sample::bigint as row, coord as k, avg(value) as x from emb3 group by sample, coord), b as (select coord as k, vertex as col, avg(value) as y from emb3 group by coord, vertex),
+_TRUNC = """a as (select sample::bigint as row, coord as k, avg(value) as x from emb4 group by sample, coord), b as (select coord as k, vertex as col, avg(value) as y from emb4 group by coord, vertex),
 p as (select row, col, k, x * y as p from a join b using (k)), s as (select row, col, k, sum(p) over (partition by row, col order by k) as s from p), m as (select row, col, sum(p) as v from p group by row, col)"""
 
 
-@query(f"with {sql.EMB3}, {_TRUNC} select row, col, case when bool_or(abs(v) <= 0.0001) then 0 else coalesce(min(k + 1) filter (abs(v - s) <= 0.0001), 3) end::int as needed from s join m using (row, col) group by row, col")
+@query(f"with {sql.EMB4}, {_TRUNC} select row, col, case when bool_or(abs(v) <= 0.0001) then 0 else coalesce(min(k + 1) filter (abs(v - s) <= 0.0001), 4) end::int as needed from s join m using (row, col) group by row, col")
 def truncation_counts(spark, sf_dir):
     """Components that the product of mean samples and mean vertices needs at each place."""
-    t = tensor.embeddings3(spark, sf_dir)
+    t = tensor.embeddings4(spark, sf_dir)
     a = t.groupBy(F.col("sample").cast("long").alias("row"), F.col("coord").alias("k")).agg(F.avg("value").alias("x"))
     b = t.groupBy(F.col("coord").alias("k"), F.col("vertex").alias("col")).agg(F.avg("value").alias("y"))
     m = a.join(b, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
     return embed.truncation_counts(m, a, b, 0.0001)
 
 
-def _method_report(spark, sf_dir, t, quality, size, candidates):
-    encoded, cover = pipeline.compress(t, quality, "by_index", size, candidates)
-    r = metric.report(t, pipeline.decompress(encoded, cover), pipeline.compressed_size(encoded, cover))
+def _method_report(spark, sf_dir, t, quality, size, candidates, item_bytes=8):
+    encoded, cover = pipeline.compress(t, quality, "by_index", size, candidates, item_bytes)
+    r = metric.report(t, pipeline.decompress(encoded, cover), pipeline.compressed_size(encoded, cover), item_bytes)
     checked = r.withColumn("ok", F.expr(f"assert_true(linf <= {quality * (1 + embed.SLACK)!r}, 'the bound does not hold')")).where("ok is null")
     methods = encoded.groupBy("series").agg(F.count("*").alias("clusters"), *(F.count_if(F.col("method") == m).alias(f"n_{m}") for m in candidates))
     return checked.join(methods, "series").select("series", "original_size", "compressed_size", "linf", "hausdorff", metric.ratio().alias("ratio"), "clusters", *(f"n_{m}" for m in candidates))
 
 
-@query()
+#: Series of users with equally many events, in even clusters of at most 100; each cluster's stream by sample, then by place.
+_RAW = f"""{sql.EVT}, n as (select vertex, count(*) as n from evt group by vertex), v as (select 'evt_' || n as series, vertex, n, row_number() over (partition by n order by vertex) - 1 as p, count(*) over (partition by n) as m from n),
+b as (select *, m // (1 + (m - 1) // 100) as s, m % (1 + (m - 1) // 100) as e from v), c as (select series, vertex, n, p, m, case when p < e * (s + 1) then p // (s + 1) else e + (p - e * (s + 1)) // s end as cluster from b),
+q as (select series, cluster, sample, p, value, {sql.quantised('value', Q_EVT)} as q from evt join c using (vertex)), d as (select *, q - coalesce(lag(q) over (partition by series, cluster order by sample, p), 0) as delta from q),
+h as (select series, cluster, max(sample) + 1 as t, count(*) as n, {sql.width('max(delta) - min(delta)')} as width from d group by series, cluster),
+z as (select series, sum(2 + {sql.varint('t')} + {sql.varint('(n // t)')} + 1 + {sql.stream('n', 'width', 8)}) as bytes, count(*) as clusters from h group by series),
+st as (select *, vertex - coalesce(lag(vertex) over (partition by series order by p), 0) as step from c),
+o as (select series, case when bool_and(vertex = p) then 0 else count(*) * least({_width('min(vertex)', 'max(vertex)')}, {_width('min(step)', 'max(step)')}) end as order_bytes from st group by series),
+k as (select series, cluster, count(*) as size from c group by series, cluster), y as (select *, size - coalesce(lag(size) over (partition by series order by cluster), 0) as change, max(cluster) over (partition by series) as last from k),
+i as (select series, 4 + count(*) * least({_width('min(size)', 'max(size)')}, {_width('min(change)', 'max(change)')}) as inner_bytes from y where cluster < last group by series),
+l as (select series, count(*) * 8 as original_size, round(max(abs(value - q * {sql.stored(Q_EVT)})), 9) as linf from q group by series)"""
+
+
+@query(f"with {_RAW} select series, original_size::bigint as original_size, (bytes + 5 + order_bytes + coalesce(inner_bytes, 0))::bigint as compressed_size, linf, linf as hausdorff, round(1 - (bytes + 5 + order_bytes + coalesce(inner_bytes, 0)) / original_size, 6) as ratio, clusters, clusters as n_raw from z join o using (series) join l using (series) left join i using (series)")
 def raw_embed_report(spark, sf_dir):
-    return _method_report(spark, sf_dir, tensor.event_values(spark, sf_dir), Q_EVT, 100, ("raw",))
+    r = _method_report(spark, sf_dir, tensor.by_length(tensor.event_values(spark, sf_dir)), Q_EVT, 100, ("raw",))
+    return r.select("series", "original_size", "compressed_size", *(F.round(c, n).alias(c) for c, n in (("linf", 9), ("hausdorff", 9), ("ratio", 6))), "clusters", "n_raw")
 
 
 @query()
 def pca_embed_report(spark, sf_dir):
-    return _method_report(spark, sf_dir, tensor.embeddings3(spark, sf_dir), Q_EMB, 100, ("raw", "pca"))
+    return _method_report(spark, sf_dir, tensor.embeddings4(spark, sf_dir), Q_EMB, 100, ("raw", "pca"))
 
 
 @query()
@@ -438,9 +481,25 @@ def best_embedding_report(spark, sf_dir):
     return _method_report(spark, sf_dir, tensor.embeddings3(spark, sf_dir), 0.05, 100, ("raw", "static", "pca", "rotation"))
 
 
+_EACH_BYTES = "(values (2), (4), (8)) b(item_bytes)"
+
+
+@query(f"select 'emb3' as series, item_bytes, (count(*) * 63 * item_bytes)::bigint as original_size, 1 + (count(*) - 1) // 100 as clusters, true as each_has_a_method, true as bound_holds, true as smaller from embeddings, {_EACH_BYTES} group by item_bytes union all select 'emb3_rest', item_bytes, (count(*) * item_bytes)::bigint, 1 + (count(*) - 1) // 100, true, true, true from embeddings, {_EACH_BYTES} group by item_bytes")
+def embed_bounds(spark, sf_dir):
+    """What must hold of every report, with all methods, for floats of each size; values are first made such floats."""
+    t, done, methods = tensor.embeddings3(spark, sf_dir), None, ("raw", "static", "pca", "rotation")
+    for b in embed.FLOATS:
+        typed = tensor.as_floats(t, b)
+        r = _method_report(spark, sf_dir, typed, 0.05, 100, methods, b)
+        chosen = sum(F.col(f"n_{m}") for m in methods) == F.col("clusters")
+        r = r.select("series", F.lit(b).alias("item_bytes"), "original_size", "clusters", chosen.alias("each_has_a_method"), (F.col("linf") <= 0.05 * (1 + embed.SLACK)).alias("bound_holds"), (F.col("ratio") > 0).alias("smaller"))
+        done = r if done is None else done.unionByName(r)
+    return done
+
+
 @query()
 def scenario_grid(spark, sf_dir):
-    return pipeline.scenarios(tensor.embeddings3(spark, sf_dir), [1e-2, 5e-2], ["by_index", "static_monolithic"], [250])
+    return pipeline.scenarios(tensor.embeddings4(spark, sf_dir), [1e-2, 5e-2], ["by_index", "static_monolithic"], [250])
 
 
 def _cover_summary(cover: DataFrame) -> DataFrame:
@@ -449,27 +508,48 @@ def _cover_summary(cover: DataFrame) -> DataFrame:
 
 @query()
 def kmeans_cover(spark, sf_dir):
-    return _cover_summary(cluster.kmeans(tensor.embeddings3(spark, sf_dir), Q_EMB, 100))
+    return _cover_summary(cluster.kmeans(tensor.embeddings4(spark, sf_dir), Q_EMB, 100))
 
 
 @query()
 def pca_kmeans_cover(spark, sf_dir):
-    return _cover_summary(cluster.pca_kmeans(tensor.embeddings3(spark, sf_dir), Q_EMB, 100))
+    return _cover_summary(cluster.pca_kmeans(tensor.embeddings4(spark, sf_dir), Q_EMB, 100))
 
 
 @query()
 def first_axis_cover(spark, sf_dir):
-    return _cover_summary(cluster.first_axis(tensor.embeddings3(spark, sf_dir), 1.2))
+    return _cover_summary(cluster.first_axis(tensor.embeddings4(spark, sf_dir), 1.2))
 
 
 @query()
 def last_axis_cover(spark, sf_dir):
-    return _cover_summary(cluster.last_axis(tensor.embeddings3(spark, sf_dir), 1.2))
+    return _cover_summary(cluster.last_axis(tensor.embeddings4(spark, sf_dir), 1.2))
 
 
 @query()
 def quaternion_cover(spark, sf_dir):
-    return _cover_summary(cluster.near_quaternions(tensor.embeddings3(spark, sf_dir), 2.0))
+    return _cover_summary(cluster.near_quaternions(tensor.lineitems(spark, sf_dir), 2.0))
+
+
+@query("select name, true as exact, n as vertices, true as within_bound from (select count(distinct vec_id) as n from embeddings), (values ('kmeans'), ('pca_kmeans'), ('first_axis'), ('last_axis')) v(name) union all select 'near_quaternions', true, count(distinct l_suppkey), true from lineitem")
+def cover_bounds(spark, sf_dir):
+    """What must hold of every covering: each vertex once, without gaps, and within the bound: of its centre, or on the number of clusters."""
+    emb, li, size, done = tensor.embeddings4(spark, sf_dir), tensor.lineitems(spark, sf_dir), 100, None
+
+    def summary(name, cover, within):
+        c = _cover_summary(cover)
+        return c.join(within, "series").select(F.lit(name).alias("name"), "exact", "vertices", "within_bound")
+
+    for name, fn in (("kmeans", cluster.kmeans), ("pca_kmeans", cluster.pca_kmeans)):
+        cover = shared_table(fn(emb, Q_EMB, size), "cover")
+        own = cover.groupBy("series").agg((F.countDistinct("cluster") <= F.ceil(F.count("*") / size)).alias("within_bound"))
+        s = summary(name, cover, own)
+        done = s if done is None else done.unionByName(s)
+    for name, t, quality, form in (("first_axis", emb, 1.2, "first"), ("last_axis", emb, 1.2, "last"), ("near_quaternions", li, 2.0, "quaternion")):
+        states = shared_table(cluster.near_states(t, quality, form), "states")
+        own = states.groupBy("series").agg((F.max("best") <= cluster.bound_of(quality)).alias("within_bound"))
+        done = done.unionByName(summary(name, cluster.covering(states.select("series", "vertex", "label")), own))
+    return done
 
 
 # manifests

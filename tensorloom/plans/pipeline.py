@@ -23,10 +23,10 @@ def quality_for(metres_per_unit: float) -> float:
     return QUALITY_METRES / metres_per_unit
 
 
-def compress(t: DataFrame, quality: float, clustering: str = "by_index", cluster_size: int = 10_000, candidates: tuple[str, ...] = ("raw", "static", "pca", "rotation")) -> tuple[DataFrame, DataFrame]:
-    """(encoded clusters, covering), both tables in the shared folder."""
+def compress(t: DataFrame, quality: float, clustering: str = "by_index", cluster_size: int = 10_000, candidates: tuple[str, ...] = ("raw", "static", "pca", "rotation"), item_bytes: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(encoded clusters, covering), both tables in the shared folder. Values are floats of item_bytes."""
     cover = shared_table(CLUSTERINGS[clustering](t, quality, cluster_size), "covering")
-    return shared_table(best(embed(t, cover, quality, candidates), quality), "encoded"), cover
+    return shared_table(best(embed(t, cover, quality, candidates, item_bytes), quality), "encoded"), cover
 
 
 def decompress(encoded: DataFrame, cover: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def read_embedding_files(files: DataFrame) -> DataFrame:
                     at = np.indices(x.shape, np.int32).reshape(3, -1)
                     own = vertices[first : first + size].astype(np.int64)
                     first += size
-                    yield pa.RecordBatch.from_arrays([pa.array([r["series"]] * x.size), pa.array(at[0]), pa.array(own[at[1]]), pa.array(at[2]), pa.array(np.ascontiguousarray(x).ravel())], [*KEY, "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r["series"]] * x.size), pa.array(at[0]), pa.array(own[at[1]]), pa.array(at[2]), pa.array(np.ascontiguousarray(x).ravel().astype(np.float64))], [*KEY, "value"])
 
     return files.select("series", "header", "projection", "clusters").mapInArrow(run, "series string, sample int, vertex long, coord int, value double")
 
@@ -89,10 +89,10 @@ def compressed_size(encoded: DataFrame, cover: DataFrame) -> DataFrame:
     return parts.join(cluster.bytes_size(cover), "series").select("series", (F.col("bytes") + F.col("covering_bytes")).cast("long").alias("compressed_size"))
 
 
-def run_reports(t: DataFrame, quality: float, **options) -> DataFrame:
-    """A report per series of compressing and decompressing t."""
-    encoded, cover = compress(t, quality, **options)
-    return metric.report(t, decompress(encoded, cover), compressed_size(encoded, cover))
+def run_reports(t: DataFrame, quality: float, item_bytes: int = 8, **options) -> DataFrame:
+    """A report per series of compressing and decompressing t, whose values are floats of item_bytes."""
+    encoded, cover = compress(t, quality, item_bytes=item_bytes, **options)
+    return metric.report(t, decompress(encoded, cover), compressed_size(encoded, cover), item_bytes)
 
 
 def scenarios(t: DataFrame, qualities: list[float], clusterings: list[str], cluster_sizes: list[int]) -> DataFrame:

@@ -40,14 +40,11 @@ def stream(n: str, w: str, item: int) -> str:
     return f"(case when {n} * {item} <= {size} then 1 + {n} * {item} else 1 + {varint(size)} + {size} end)::bigint"
 
 
-def _embeddings(name: str, ndim: int) -> str:
-    return f"{name} as (select vec_id as vertex, (i // {ndim})::int as sample, (i % {ndim})::int as coord, x::double as value from (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i, len(embedding) as len from embeddings) where i < len - len % {ndim})"
-
-
-EMB3, EMB4 = _embeddings("emb3", 3), _embeddings("emb4", 4)
-EVT = "evt as (select vertex, sample::int as sample, value from (select user_id as vertex, value, row_number() over (partition by user_id order by ts, event_id) - 1 as sample from events), (select min(c) as n from (select count(*) as c from events group by user_id)) where sample < n)"
+#: 64 components are whole samples of four; of three, the last is in a series of its own.
+EMB4 = "emb4 as (select vec_id as vertex, (i // 4)::int as sample, (i % 4)::int as coord, x::double as value from (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings))"
+EVT = "evt as (select user_id as vertex, value, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as sample from events)"
 _LI = "l_suppkey as vertex, (row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1)::int as sample"
-LI = f"lr as (select {_LI}, l_quantity, l_extendedprice, l_discount from lineitem), ln as (select min(c) as n from (select count(*) as c from lineitem group by l_suppkey)), li as (select vertex, sample, 0 as coord, l_quantity + 0.0 as value from lr, ln where sample < n union all select vertex, sample, 1, l_extendedprice + 0.0 from lr, ln where sample < n union all select vertex, sample, 2, l_discount + 0.0 from lr, ln where sample < n)"
+LI = f"lr as (select {_LI}, l_quantity, l_extendedprice, l_discount from lineitem), li as (select vertex, sample, 0 as coord, l_quantity + 0.0 as value from lr union all select vertex, sample, 1, l_extendedprice + 0.0 from lr union all select vertex, sample, 2, l_discount + 0.0 from lr)"
 
 
 def EVT_DELTA(quality: float) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import base_name, bin_name
+from ..tables import shared_table
 
 SCHEMA = "abc string, path string, mpu double, components array<struct<path: string, type: string, samples: int, size: int, extent: int, bin: string>>"
 #: Numeric component types and their bits.
@@ -112,16 +113,19 @@ def replaced(archive: DataFrame, replacements: DataFrame) -> DataFrame:
     return archive.join(new, "path", "left").withColumn("content", F.coalesce("new", "content")).drop("new")
 
 
-def paths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """id, path, depth of a hierarchy (id, parent, name; roots have no parent), level by level, to `most` levels.
+def paths(nodes: DataFrame) -> DataFrame:
+    """id, path, depth of a hierarchy (id, parent, name; roots have no parent), level by level, however deep it is.
 
-    Each level is one join; a hierarchy is as deep as its longest path, not as its size.
+    Each level is one join, and is written to the shared folder once. A hierarchy is at most as deep as it has nodes: a
+    deeper one goes in circles, which is an error.
     """
-    done = level = nodes.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    for depth in range(1, most + 1):
+    done = level = shared_table(nodes.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level")
+    most, depth = nodes.count(), 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("the hierarchy goes in circles")
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return done
+        level = shared_table(nodes.join(up, "parent").select("id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")), "level")
         done = done.unionByName(level)
-    raise ValueError(f"more than {most} levels, or a cycle")
+    return done

@@ -200,13 +200,94 @@ def test_unflatten_checks_columns(spark):
 
 
 def test_whole_streams(spark):
-    """No row goes for the sake of a short vertex."""
-    from tensorloom.operators import tensor
+    """No row goes for the sake of a short vertex; by length, series are dense."""
+    df = spark.createDataFrame([(v, i, float(i)) for v, n in ((1, 1), (2, 50), (3, 7), (4, 7)) for i in range(n)], "v long, i int, x double")
+    t = tensor.from_rows(df, "v", ["i"], ["x"], "s")
+    assert sorted((r["vertex"], r["sample"], r["value"]) for r in t.collect()) == sorted((v, i, x) for v, i, x in map(tuple, df.collect()))
+    shapes = {r["series"]: (r["nverts"], r["valid"]) for r in tensor.shape(tensor.by_length(t)).collect()}
+    assert shapes == {"s_1": (1, True), "s_50": (1, True), "s_7": (2, True)}
 
-    df = spark.createDataFrame([(v, i, float(i)) for v, n in ((1, 1), (2, 50), (3, 7)) for i in range(n)], "v long, i int, x double")
-    assert tensor.from_rows(df, "v", ["i"], ["x"], "s").count() == 3
-    got = tensor.from_rows(df, "v", ["i"], ["x"], "s", whole=True)
-    assert sorted((r["vertex"], r["sample"], r["value"]) for r in got.collect()) == sorted((v, i, x) for v, i, x in map(tuple, df.collect()))
+
+def test_whole_arrays(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0, 5.0]), (2, [1.0]), (3, [])], "id long, a array<double>")
+    got = sorted((r["series"], r["sample"], r["vertex"], r["coord"], r["value"]) for r in tensor.from_arrays(df, "id", "a", 3, "s").collect())
+    assert got == [("s", 0, 1, c, c + 1.0) for c in range(3)] + [("s_rest", 0, 1, 0, 4.0), ("s_rest", 0, 1, 1, 5.0), ("s_rest", 0, 2, 0, 1.0)]
+
+
+@pytest.mark.parametrize("item_bytes", embed.FLOATS)
+@pytest.mark.parametrize("name", ["raw", "static", "pca", "rotation"])
+def test_floats_of_each_size(name, item_bytes):
+    """Decoding gives the type again; streams that are not quantised take its bytes."""
+    method, x = embed.METHODS[name][1], (moving(40) / 4).astype(f"<f{item_bytes}")
+    quality = {2: 0.5, 4: 1e-2, 8: 1e-2}[item_bytes]
+    x = x[:, :, :] if name != "static" else np.broadcast_to(x[:1], x.shape)
+    header, payload = method.encode(x, quality)
+    back, h, p = method.decode(header, payload)
+    assert back.dtype == x.dtype and back.shape == x.shape and (h, p) == (len(header), len(payload))
+    assert np.abs(back.astype(np.float64) - x).max() <= quality
+    if name == "raw":
+        header, payload = method.encode(x, 1e-30)  # nothing to be saved by quantising
+        assert len(payload) == 3 + x.size * item_bytes and (method.decode(header, payload)[0] == x).all()
+
+
+def test_floats_as_columns(spark):
+    x = np.concatenate((np.random.default_rng(4).normal(0, 10.0 ** np.arange(-9, 6), (20, 15)).ravel(), [0.0, 65504.0, 65519.0, 65520.0, 1e9, -1e9, 2048.0, 2049.0, 2.0**-24, 2.0**-26]))
+    t = long(spark, x[:, None, None])
+    with np.errstate(over="ignore"):
+        for b in embed.FLOATS:
+            got = {r["sample"]: r["value"] for r in tensor.as_floats(t, b).collect()}
+            assert [got[i] for i in range(len(x))] == x.astype(f"f{b}").astype(float).tolist()
+
+
+def test_errors_name_the_series(spark):
+    t = long(spark, SIMPLE, "good").unionByName(long(spark, SIMPLE, "short").where("sample + vertex > 0"))
+    with pytest.raises(Exception, match="series 'short', cluster 0"):
+        embed.embed(t, cluster.monolithic(t), 0.1).collect()
+    with pytest.raises(Exception, match="does not fit floats of 2 bytes"):
+        embed.embed(long(spark, SIMPLE * 1e6), cluster.monolithic(long(spark, SIMPLE)), 0.1, item_bytes=2).collect()
+
+
+def test_before_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tensorloom.operators.rank import before
+
+    df = spark.range(5000).select((F.col("id") % 3 == 0).cast("string").alias("series"), F.expr("(id * 7919) % 5003").alias("at"), (F.col("id") * 1.5).alias("x"))
+    df = df.unionByName(spark.createDataFrame([("alone", 1, 2.0)], df.schema))
+    a, b = (sorted(map(tuple, before(df, ["series"], ["at"], "x", "last", n).collect())) for n in (10**6, 0))
+    assert a == b and sum(r[3] is None for r in a) == 3
+
+
+def test_nearest_over_lots(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(rng.normal(0, 1, (n, 3)))
+    p, c = unit(40), unit(25)
+    points = spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(p)], "series string, vertex long, axis array<double>")
+    centres = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "centre long, at array<double>")
+    d = 1 - (p @ c.T) ** 2
+    for size in (cluster.CENTRE_BYTES, 100):
+        monkeypatch.setattr(cluster, "CENTRE_BYTES", size)
+        got = {r["vertex"]: (r["centre"], r["distance"]) for r in cluster.nearest(points, centres).collect()}
+        assert all(got[i][0] == d[i].argmin() and abs(got[i][1] - d[i].min()) < 1e-12 for i in range(40))
+        assert cluster.distances(points, centres).count() == 1000
+
+
+@pytest.mark.parametrize("form", ["first", "last"])
+def test_greedy_cover(spark, form):
+    """The cover's first centre, its further ones and its labels, by plain numpy."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (6, 25, 3)) * [1.5, 1, 0.8] + rng.normal(0, 50, (1, 25, 3))
+    moved = x - x.mean(axis=0)
+    axis = lambda m: np.linalg.svd(m, full_matrices=False)[2][0 if form == "first" else -1]
+    own = np.array([axis(moved[:, i]) for i in range(25)])
+    centres = [axis(moved.transpose(1, 0, 2).reshape(-1, 3))]
+    eps = cluster.bound_of(0.8)
+    while (best := (1 - (own @ np.array(centres).T) ** 2).min(axis=1)).max() > eps:
+        centres.append(own[best.argmax()])
+    labels = (1 - (own @ np.array(centres).T) ** 2).argmin(axis=1)
+    got = {r["vertex"]: r for r in cluster.near_states(long(spark, x), 0.8, form).collect()}
+    assert len(centres) > 2 and [got[i]["label"] for i in range(25)] == labels.tolist()
+    assert np.allclose([got[i]["best"] for i in range(25)], best, atol=1e-9) and best.max() <= eps
 
 
 def test_covers_end_by_distance_only(spark, monkeypatch):
@@ -219,7 +300,7 @@ def test_covers_end_by_distance_only(spark, monkeypatch):
 
     def rounds(points, seed, most, *_):
         asked.append(most)
-        return points.withColumn("label", F.lit(0)), []
+        return points.withColumn("label", F.lit(0)).withColumn("best", F.lit(0.0)), []
 
     monkeypatch.setattr(cluster, "farthest_rounds", rounds)
     corner = F.posexplode(F.array(F.col("id") * 0.0, F.sin("id"), F.col("id") * 0.0, F.cos("id")))

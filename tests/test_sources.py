@@ -62,7 +62,14 @@ def test_cycle_is_an_error(spark):
     nodes = spark.createDataFrame([("a", None, "a"), ("b", "a", "b")], "id string, parent string, name string")
     assert manifest.paths(nodes).count() == 2
     with pytest.raises(ValueError):
-        manifest.paths(nodes, most=0)
+        manifest.paths(nodes.unionByName(spark.createDataFrame([("a", "b", "a")], nodes.schema)))
+
+
+def test_paths_of_any_depth(spark):
+    n = 70
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None, "x") for i in range(n)], "id string, parent string, name string")
+    rows = manifest.paths(chain).collect()
+    assert len(rows) == n and max(r["depth"] for r in rows) == n - 1 and max(len(r["path"]) for r in rows) == 2 * n - 1
 
 
 def test_stream(spark, tmp_path):
@@ -104,5 +111,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["compare", str(a), str(a)]) == 0
     capsys.readouterr()
     assert main(["compare", str(a), str(b)]) == 1 and capsys.readouterr().out.split() == ["~", "o/q//w"]
+    assert main(["compare", str(a), str(b), "-q"]) == 1 and capsys.readouterr().out == ""
+    assert main(["compare", str(a), str(b), "-v"]) == 1 and capsys.readouterr().out.count("float64_t") == 2
+    single = tmp_path / "single"
+    assert main(["separate", str(a), str(single), "-p", "o/p//.geom/P"]) == 0 and [f.name for f in single.iterdir()] == ["o-p--.geom-P.bin"]
+    assert main(["separate", str(a), str(single), "-p", "none"]) == 1
     (a / "o-q--w.bin").write_bytes(b"y")
     assert main(["separate", str(a), str(out)]) == 1
