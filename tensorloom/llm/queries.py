@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .oracles import SQL
 
 
 def tokenizer_path() -> str:
@@ -77,5 +80,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_embedding_dedup, op3_packing, op4_ball_search, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe)}
-SQL: dict[str, str] = {}
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's columns that SQL can express: all but the model's score."""
+    r = op1_lm_score(spark, sf_dir)
+    return r.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's columns that SQL can express: all but the spans that guess costs add."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+_OWN = (op1_lm_score, op2_embedding_dedup, op3_packing, op4_ball_search, op5_suffix_dedup, op6_language_id, op7_near_dup, op8_secrets, op9_substring_dedup, op10_bpe, lm_base_scores, secret_base_spans)
+QUERIES = {f.__name__: f for f in _OWN}
+__all__ = ["QUERIES", "SQL", "tokenizer_path"]
