@@ -32,20 +32,30 @@ def unpack(b: bytes, dtype: type = np.int64) -> np.ndarray:
     return wide.view(np.uint64).ravel().astype(dtype) + base
 
 
-def dealt(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> tuple[list[int], list[list[bytes]]]:
-    """The buckets that got records, and for each column its packed values bucket by bucket."""
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending unsigned integers as the first and the steps from each to the next."""
+    return x[:1].tobytes() + pack(np.diff(x)) if len(x) else b""
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    first = np.frombuffer(b, np.uint64, 1) if b else np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate((first, unpack(b[8:], np.uint64)))) if b else first
+
+
+def dealt(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], packers: list | None = None) -> tuple[list[int], list[list[bytes]]]:
+    """The buckets that got records, and for each column its values bucket by bucket, in their order, packed."""
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(edges)).tolist()
     columns = [c[order] for c in columns]
-    return used, [[pack(c[edges[b] : edges[b + 1]]) for b in used] for c in columns]
+    return used, [[f(c[edges[b] : edges[b + 1]]) for b in used] for c, f in zip(columns, packers or [pack] * len(columns), strict=True)]
 
 
 def column(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def joined(table: pa.Table, name: str, dtype: type = np.int64) -> np.ndarray:
-    """All records of a column of blobs."""
-    parts = [unpack(b, dtype) for b in table.column(name).to_pylist() if b]
+def joined(table: pa.Table, name: str, dtype: type = np.int64, ascending: bool = False) -> np.ndarray:
+    """All records of a column of blobs; ascending: of pack_sorted()."""
+    parts = [unpack_sorted(b) if ascending else unpack(b, dtype) for b in table.column(name).to_pylist() if b]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)

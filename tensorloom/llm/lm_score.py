@@ -5,11 +5,10 @@ up. A count c becomes the level 1 + floor(log(c) / log(BASE)), and the bucket's
 for each level up to it; a reader probes level 1, 2, ... until one is missing and takes the mean count of the last one
 found. Segments are sized for RATE false positives a probe.
 
-Scoring. The filter's segments and the exact word counts of the same share of buckets are broadcast, BROADCAST_BYTES at a
-time, and the texts are read once for each such share; every token's base part belongs to the share of its word, its
-model part to the share of its pair, so the shares' sums add up. All shares need the levels of all words: up to
-WORD_FILTER_BYTES the filter of words is broadcast with each; a larger one is broadcast in shares of that size first, a
-pass each that adds the levels of its words to a column beside the texts.
+Scoring. Texts are read once, whatever the size of the model. Up to BROADCAST_BYTES the filter and the exact word counts
+are broadcast. A larger model stays where it was built, as no worker could hold it: texts are dealt out in slices, each
+slice sends its distinct words and pairs once to their buckets, the buckets probe their segments and send levels (and
+the words' exact counts) back. Both ways make the same probes, so the scores are the same.
 
 Model: p(w | v) = m * min(1, c(vw) / c(v)) + (1 - m) * p1(w) with m = MIX where v was seen, else 0;
 p1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). All three counts come from the filter. The word before the first is the end.
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .store import written
-from .words import SEQ_BASE, Words, mix, raw, slices
+from .words import SEQ_BASE, Words, mix, slices
 from .worker import held
 
 BASE, MIX, RATE = 1.5, 0.5, 1 / 64
@@ -35,8 +34,9 @@ BASE, MIX, RATE = 1.5, 0.5, 1 / 64
 LEVELS = 2 + int(math.log(2**63) / math.log(BASE))
 PROBES = round(math.log2(1 / RATE))
 BITS = math.log(1 / RATE) / math.log(2) ** 2
-BROADCAST_BYTES = 64 << 20
-WORD_FILTER_BYTES = 64 << 20
+BROADCAST_BYTES = 10 << 20
+#: Text of a slice, about; of a task's share of slices.
+SLICE_TEXT, TASK_TEXT = 8 << 20, 32 << 20
 #: Tokens that a task counts together; text that a bucket stands for, about.
 FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 8 << 20, 64
 #: The hash of the end of a text, a token like any word.
@@ -57,6 +57,11 @@ def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(SEQ_BASE) ^ (hashes + _PAIR))
 
 
+def in_bucket(pairs: np.ndarray) -> np.ndarray:
+    """What tells the pairs of a bucket apart: 32 bits, whose collisions are far rarer than the filter's own errors. Ascending for ascending pairs."""
+    return pairs >> np.uint64(32)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-12).astype(np.int64)
 
@@ -78,10 +83,12 @@ def _places(keys: np.ndarray, lev: int, size: int) -> list[np.ndarray]:
     return [(((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32) for i in range(PROBES)]
 
 
-def fill(keys: np.ndarray, counts: np.ndarray, most_bytes: int = 1 << 28) -> np.ndarray:
-    """The segment (bytes) that holds the levels of the counts."""
+def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The segment (bytes) that holds the levels of the counts, as large as RATE asks for."""
     levels = level(counts)
-    size = min(8 * most_bytes, max(64, math.ceil(BITS * int(levels.sum()))) + 7 & ~7)
+    size = max(64, math.ceil(BITS * int(levels.sum()))) + 7 & ~7
+    if size >= 1 << 32:
+        raise ValueError("a bucket's segment has at most 2**32 bits: make more buckets")
     bits = np.zeros(size, bool)
     for k in range(1, int(levels.max(initial=0)) + 1):
         for place in _places(keys[levels >= k], k, size):
@@ -139,8 +146,8 @@ class Model:
 
     def __init__(self, table: DataFrame, buckets: int):
         self.table, self.buckets = table, buckets
-        r = table.agg(F.sum("n"), F.sum("distinct"), F.sum(F.octet_length("pair_bits") + 12 * F.col("distinct")), F.sum(F.octet_length("word_bits"))).first()
-        self.tokens, self.distinct, self.size, self.word_size = (int(x or 0) for x in r)
+        r = table.agg(F.sum("n"), F.sum("distinct"), F.sum(F.octet_length("pair_bits") + F.octet_length("word_bits") + 12 * F.col("distinct"))).first()
+        self.tokens, self.distinct, self.size = (int(x or 0) for x in r)
 
 
 def fit(rows: DataFrame, text_col: str = "text") -> Model:
@@ -158,8 +165,7 @@ def fit(rows: DataFrame, text_col: str = "text") -> Model:
             for kind, keys in ((0, words), (1, pair_keys(before, words))):
                 keys, counts = np.unique(keys, return_counts=True)
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                # 40 bits and the bucket tell pairs apart; the filter's own errors are far more frequent than theirs
-                used, (k, c) = blobs.dealt(bucket, buckets, [keys if kind == 0 else keys >> np.uint64(24), counts])
+                used, (k, c) = blobs.dealt(bucket, buckets, [in_bucket(keys) if kind else keys, counts], [blobs.pack_sorted, blobs.pack])
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([kind] * len(used), pa.int32()), blobs.column(k), blobs.column(c)], ["bucket", "kind", "keys", "counts"])
 
         for part in slices(batches, "text"):
@@ -178,7 +184,7 @@ def fit(rows: DataFrame, text_col: str = "text") -> Model:
         sums = []
         for kind in (0, 1):
             own = table.filter(pa.array(kinds == kind))
-            keys, of = np.unique(blobs.joined(own, "keys", np.uint64), return_inverse=True)
+            keys, of = np.unique(blobs.joined(own, "keys", np.uint64, ascending=True), return_inverse=True)
             counts = np.zeros(len(keys), np.int64)
             np.add.at(counts, of, blobs.joined(own, "counts"))
             sums.append((keys, counts))
@@ -200,110 +206,134 @@ def _segments(parts: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(b for _, b in parts), np.uint8), first, size
 
 
-def _with_levels(rows: DataFrame, model: Model) -> DataFrame:
-    """id, text and seen, a byte a token: the level of its word; a pass for each WORD_FILTER_BYTES of the filter of words."""
-    shares, buckets = -(-model.word_size // WORD_FILTER_BYTES), model.buckets
+SUMS = ("n_tokens", "n_known", "base_score", "score")
+_NUMBERS = "n_tokens long, n_known long, base_score double, score double"
 
-    def adder(share: int):
-        own = model.table.where(F.col("bucket") % shares == share).select("bucket", "word_bits").collect()  # WORD_FILTER_BYTES, about
-        sent = rows.sparkSession.sparkContext.broadcast(_segments([tuple(r) for r in own], buckets))
 
-        def run(batches):
-            bits, first, size = sent.value
-            for part in slices(batches, "text"):
-                hashes, _, at = tokens(part.column(1))
-                different, of = np.unique(hashes, return_inverse=True)
-                bucket = (different % np.uint64(buckets)).astype(np.int64)
-                found = levels_of(different, bits, first[bucket], size[bucket]).astype(np.int8)[of]  # 0 for words of other shares
-                if share:
-                    found = found + raw(part.column(2))[0].view(np.int8)
-                seen = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), seen], ["id", "text", "seen"])
+class Tokens:
+    """Tokens of a slice of texts: their distinct words and pairs, ascending, and which each token has; at: the n+1 offsets of the texts."""
 
-        return run, sent
+    def __init__(self, columns: list[pa.Array]):
+        parts = [tokens(c) for c in columns]
+        hashes, before = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        lengths = np.concatenate([np.diff(p[2]) for p in parts])
+        self.at = np.concatenate(([0], np.cumsum(lengths)))
+        self.words, self.of = np.unique(hashes, return_inverse=True)
+        self.pairs, self.one, self.of_pair = np.unique(pair_keys(before, hashes), return_index=True, return_inverse=True)
 
-    for share in range(shares):
-        run, sent = adder(share)
-        rows = written(rows.mapInArrow(run, "id long, text string, seen binary"), "levels")
-        sent.destroy()
-    return rows
+    def sums(self, counts: np.ndarray, levels: np.ndarray, pair_levels: np.ndarray, n: int, v: int) -> list[pa.Array]:
+        """SUMS of each text, from the words' exact counts and levels and the pairs' levels."""
+        below, seen, of = n + 0.5 * (v + 1), MEAN_COUNTS[levels], self.of
+        p1 = (seen + 0.5) / below
+        history = seen[of[self.one - 1]]  # the token before; before the first comes an end, which is also the last
+        own = p1[of[self.one]]
+        mixed = np.where(history > 0, MIX * np.minimum(1.0, MEAN_COUNTS[pair_levels] / np.maximum(history, 1e-300)) + (1 - MIX) * own, own)
+        add = lambda x: np.add.reduceat(x, self.at[:-1])  # every text has its end
+        return [pa.array(np.diff(self.at)), pa.array(add((counts > 0).astype(np.int64)[of])), pa.array(add(np.log10((counts + 0.5) / below)[of])), pa.array(add(np.log10(mixed)[self.of_pair]))]
 
 
-SUMS = ("n_tokens", "n_known", "base_score", "score")
+def _probe(keys: np.ndarray, names: np.ndarray, buckets: int, segments: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Levels of keys, which have other names in their segments."""
+    bits, first, size = segments
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    return levels_of(names, bits, first[bucket], size[bucket])
+
+
+def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+    buckets, n, v = model.buckets, model.tokens, model.distinct
+    own = model.table.select("bucket", "words", "counts", "word_bits", "pair_bits").collect()  # BROADCAST_BYTES at most
+    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in own] or [np.zeros(0, np.uint64)])
+    counts = np.concatenate([blobs.unpack(r["counts"]) for r in own] or [np.zeros(0, np.int64)])
+    order = np.argsort(words)
+    sent = rows.sparkSession.sparkContext.broadcast((words[order], counts[order], *(_segments([(r["bucket"], r[c]) for r in own], buckets) for c in ("word_bits", "pair_bits"))))
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        words, counts, word_filter, pair_filter = sent.value
+        known_words = held(("words", name), Known)
+        for part in slices(batches, "text", keep=True):
+            t = Tokens([part.column(1)])
+            count = np.zeros(len(t.words), np.int64)
+            if len(words):
+                i = np.minimum(np.searchsorted(words, t.words), len(words) - 1)
+                count = np.where(words[i] == t.words, counts[i], 0)
+            levels = known_words.levels(t.words, lambda new: _probe(new, new, buckets, word_filter))
+            yield pa.RecordBatch.from_arrays([part.column(0), *t.sums(count, levels, _probe(t.pairs, in_bucket(t.pairs), buckets, pair_filter), n, v)], ["id", *SUMS])
+
+    return rows.mapInArrow(run, f"id long, {_NUMBERS}")
+
+
+def _by_buckets(rows: DataFrame, model: Model) -> DataFrame:
+    buckets, n, v = model.buckets, model.tokens, model.distinct
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.withColumn("slice", F.expr(f"cast(pmod(xxhash64(id, text), {max(1, -(-total // SLICE_TEXT))}) as int)"))
+    dealt = dealt.repartition(max(1, -(-total // TASK_TEXT)), "slice")  # one shuffle of texts, read by both sides below
+
+    def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        return bucket, np.argsort(bucket, kind="stable")
+
+    def texts(table: pa.Table) -> Tokens:
+        return Tokens([b.column(b.schema.get_field_index("text")) for b in slices(iter(table.to_batches()), "text", keep=True)])
+
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t, out = texts(table), {}
+        for name, keys in (("words", t.words), ("pairs", t.pairs)):
+            used, (packed,) = blobs.dealt(in_order(keys)[0], buckets, [in_bucket(keys) if name == "pairs" else keys], [blobs.pack_sorted])
+            for bucket, b in zip(used, packed, strict=True):
+                out.setdefault(bucket, {"slice": key[0].as_py(), "bucket": bucket})[name] = b
+        return pa.Table.from_pylist(list(out.values()), sent_schema)
+
+    def probe(key: tuple[pa.Scalar, ...], asked: pa.Table, segment: pa.Table) -> pa.Table:
+        own = segment.to_pylist()
+        out = {"slice": asked.column("slice"), "bucket": asked.column("bucket")}
+        for name in ("words", "pairs"):
+            parts = [blobs.unpack_sorted(b or b"") for b in asked.column(name).to_pylist()]
+            keys, of = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_inverse=True)
+            at = np.cumsum([0, *map(len, parts)])
+            bits = np.frombuffer(own[0]["word_bits" if name == "words" else "pair_bits"], np.uint8) if own else np.zeros(0, np.uint8)
+            one = np.zeros(len(keys), np.int64)
+            levels = levels_of(keys, bits, one, one + 8 * len(bits))[of]
+            found = {"levels" if name == "words" else "pair_levels": levels}
+            if name == "words":
+                exact = np.zeros(len(keys), np.int64)
+                if own:
+                    known, counts = np.frombuffer(own[0]["words"], np.uint64), blobs.unpack(own[0]["counts"])
+                    i = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                    exact = np.where(known[i] == keys, counts[i], 0) if len(known) else exact
+                found["counts"] = exact[of]
+            out |= {c: blobs.column([blobs.pack(x[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]) for c, x in found.items()}
+        return pa.table(out).select(back_schema.names).cast(back_schema)
+
+    def total_up(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_pylist([], done_schema)
+        t, answers, found = texts(table), answers.sort_by("bucket"), []
+        for name, keys in (("counts", t.words), ("levels", t.words), ("pair_levels", t.pairs)):
+            x = np.empty(len(keys), np.int64)
+            x[in_order(keys)[1]] = blobs.joined(answers, name)  # an answer of another length is an error
+            found.append(x)
+        ids = [b.column(b.schema.get_field_index("id")) for b in table.to_batches()]
+        return pa.Table.from_arrays([pa.chunked_array(ids, pa.int64()).combine_chunks(), *t.sums(*found, n, v)], schema=done_schema)
+
+    sent_schema = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
+    back_schema = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary()), ("pair_levels", pa.binary())])
+    done_schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    asked = dealt.groupBy("slice").applyInArrow(send, "slice int, bucket int, words binary, pairs binary")
+    segments = model.table.select("bucket", "words", "counts", "word_bits", "pair_bits")
+    answers = asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(probe, "slice int, bucket int, counts binary, levels binary, pair_levels binary")
+    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(total_up, f"id long, {_NUMBERS}")
 
 
 def score(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per row of rows: id, n_tokens, n_known, train_tokens long, base_score, score double.
 
-    Null and empty texts are the end alone. Repeated rows and null ids are kept; other columns are not read.
+    Null and empty texts are the end alone. Repeated rows and null ids are kept; other columns are not read. Beyond
+    `broadcast_bytes` of model, probes are made where its segments are; the scores are the same.
     """
-    spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shares = max(1, -(-model.size // broadcast_bytes))
-    buckets, n, v = model.buckets, model.tokens, model.distinct
-    below = n + 0.5 * (v + 1)
-    apart = model.word_size > WORD_FILTER_BYTES
-    if apart:
-        rows = _with_levels(rows, model)
-    word_filter = _segments([] if apart else [tuple(r) for r in model.table.select("bucket", "word_bits").collect()], buckets)
-
-    name = uuid.uuid4().hex
-
-    def scorer(share: int):
-        own = model.table.where(F.col("bucket") % shares == share).select("bucket", "words", "counts", "pair_bits").collect()  # broadcast_bytes, about
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in own] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([blobs.unpack(r["counts"]) for r in own] or [np.zeros(0, np.int64)])
-        order = np.argsort(words)
-        counts = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
-        sent = spark.sparkContext.broadcast((words[order], counts[order], _segments([(r["bucket"], r["pair_bits"]) for r in own], buckets), word_filter))
-
-        def run(batches):
-            words, counts, (bits, first, size), (word_bits, word_first, word_size) = sent.value
-            known_words = held(("words", name), Known)
-            for part in slices(batches, "text", keep=True):
-                rest = [c for c in part.schema.names if c == "key"]
-                hashes, before, at = tokens(part.column(1))
-                different, where, of = np.unique(hashes, return_index=True, return_inverse=True)
-                bucket = (different % np.uint64(buckets)).astype(np.int64)
-                if apart:
-                    seen = MEAN_COUNTS[raw(part.column("seen"))[0].view(np.int8)[where]]
-                else:
-                    seen = MEAN_COUNTS[known_words.levels(different, lambda new: levels_of(new, word_bits, *(x[(new % np.uint64(buckets)).astype(np.int64)] for x in (word_first, word_size))))]
-                p1 = (seen + 0.5) / below
-                here = bucket % shares == share
-                count = np.zeros(len(different), np.int64)
-                if len(words):
-                    i = np.minimum(np.searchsorted(words, different), len(words) - 1)
-                    count = np.where(words[i] == different, counts[i], 0).astype(np.int64)
-                base = np.where(here, np.log10((count + 0.5) / below), 0.0)[of]
-                known = ((count > 0) & here)[of]
-                keys, one, of_pair = np.unique(pair_keys(before, hashes), return_index=True, return_inverse=True)
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                mine = bucket % shares == share
-                pair = np.zeros(len(keys))
-                pair[mine] = MEAN_COUNTS[levels_of(keys[mine] >> np.uint64(24), bits, first[bucket[mine]], size[bucket[mine]])]
-                history = seen[of[one - 1]]  # the token before; before the first comes an end, which is also the last
-                mixed = np.where(history > 0, MIX * np.minimum(1.0, pair / np.maximum(history, 1e-300)) + (1 - MIX) * p1[of[one]], p1[of[one]])
-                model_part = np.where(mine, np.log10(mixed), 0.0)[of_pair]
-                sums = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[at]) for x in (known, base, model_part)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *(part.column(c) for c in rest)], ["id", *SUMS, *rest])
-
-        return run, sent
-
-    numbers = "n_tokens long, n_known long, base_score double, score double"
-    if shares == 1:
-        out = rows.mapInArrow(scorer(0)[0], f"id long, {numbers}")
-    else:  # a row's sums over all shares; equal rows have equal sums
-        keyed, passes = rows.withColumn("key", F.xxhash64("text")), None
-        for share in range(shares):
-            run, sent = scorer(share)
-            done = written(keyed.mapInArrow(run, f"id long, {numbers}, key long"), "scores").withColumn("share", F.lit(share))
-            sent.destroy()
-            passes = done if passes is None else passes.unionByName(done)
-        some = passes.groupBy("id", "key", "share").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in SUMS))
-        whole = some.groupBy("id", "key").agg(F.first("copies").alias("copies"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in SUMS[1:]))
-        out = whole.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("id", *SUMS)
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = (_by_broadcast if model.size <= broadcast_bytes else _by_buckets)(rows, model)
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_scores(docs: DataFrame, fold: int = 5, held: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -53,7 +53,7 @@ crc as (select * from crc0 union all select b, k + 1, case when c % 2 = 1 then x
 h as (select doc_id, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)), lambda a, x: xor(a // 256, t[((xor(a, x) % 256) + 1)::bigint])), 4294967295::ubigint) % 5 = 1 as held_out from documents, t),
 d as (select doc_id, unnest(list_append(regexp_extract_all(coalesce({_LOWER}, ''), {_WORD}), ' ')) as w from documents),
 c as materialized (select w, count(*) as c from d join h using (doc_id) where not held_out group by w), m as materialized (select sum(c) as n, count(*) as v from c)
-select d.doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c.c) as n_known, any_value(m.n)::bigint as train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (m.n + 0.5 * (m.v + 1)))), 6) as base_score
+select d.doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c.c) as n_known, any_value(m.n)::bigint as train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (m.n + 0.5 * (m.v + 1)))), 4) as base_score
 from d join h using (doc_id) left join c using (w), m group by d.doc_id"""
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

@@ -83,7 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1's columns that SQL can express: all but the model's score."""
     r = op1_lm_score(spark, sf_dir)
-    return r.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+    return r.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tensorloom.llm import language, lm_score, packing, secret_scan
+from tensorloom.llm import blobs, language, lm_score, packing, secret_scan
 from tensorloom.llm.queries import tokenizer_path
 
 
@@ -51,13 +51,42 @@ def test_filter_never_misses():
     assert (means / np.arange(1, 2000) < 1.5).all() and (means / np.arange(1, 2000) > 0.66).all()
 
 
-@pytest.mark.parametrize("limit", [lm_score.BROADCAST_BYTES, 20_000])
-def test_lm_many_words(docs, texts, monkeypatch, limit):
-    """A filter of words beyond its broadcast bound goes in shares and gives the same scores."""
-    want = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts)).collect()), key=lambda r: (str(r[0]), r[2:]))
-    monkeypatch.setattr(lm_score, "WORD_FILTER_BYTES", 2000)
-    got = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts), broadcast_bytes=limit).collect()), key=lambda r: (str(r[0]), r[2:]))
-    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+def test_lm_probes_where_segments_are(docs, texts, monkeypatch):
+    """A model that is not broadcast gives the same scores, over many slices too."""
+    key = lambda r: (str(r[0]), r[2:])
+    want = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts)).collect()), key=key)
+    for size in (lm_score.SLICE_TEXT, 2000):
+        monkeypatch.setattr(lm_score, "SLICE_TEXT", size)
+        monkeypatch.setattr(lm_score, "TASK_TEXT", 4 * size)
+        got = sorted((tuple(r) for r in lm_score.held_out_scores(docs(texts), broadcast_bytes=0).collect()), key=key)
+        assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-12)
+    assert lm_score.held_out_scores(docs([]), broadcast_bytes=-1).count() == 0
+    only = [tuple(r) for r in lm_score.held_out_scores(docs([(1, None), (1, None), (2, "")]), broadcast_bytes=0).collect()]
+    assert sorted(r[0] for r in only) == [1, 1, 2] and all(r[2] == 1 for r in only)
+
+
+def test_lm_scores_near_exact_counts(docs, texts):
+    """The filter's scores are near those of the same model with exact counts."""
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_score.held_out_scores(docs(texts)).collect()}
+    words = lambda t: [*(t or "").encode().lower().split(), None]
+    train = [words(t) for d, t in texts if d is not None and not held(d, 5, 1)]
+    c = Counter(w for t in train for w in t)
+    pairs = Counter((v, w) for t in train for v, w in zip([None, *t], t, strict=False))
+    below = sum(c.values()) + 0.5 * (len(c) + 1)
+    off = []
+    for d, t in texts:
+        w, total = words(t), 0.0
+        for v, x in zip([None, *w], w, strict=False):
+            p1 = (c[x] + 0.5) / below
+            total += math.log10(lm_score.MIX * min(1, pairs[v, x] / c[v]) + (1 - lm_score.MIX) * p1 if c[v] else p1)
+        off.append(abs(got[d, len(w)] - total) / len(w))
+    assert np.mean(off) < 0.06 and max(off) < 0.5
+
+
+def test_blobs_of_sorted_keys():
+    for x in ([], [7], [0, 1, 2**64 - 1], np.unique(np.random.default_rng(1).integers(0, 2**32, 999))):
+        x = np.array(x, np.uint64)
+        assert (blobs.unpack_sorted(blobs.pack_sorted(x)) == x).all() and len(blobs.unpack_sorted(blobs.pack_sorted(x))) == len(x)
 
 
 def test_lm_empty(docs):
