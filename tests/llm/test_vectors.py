@@ -114,3 +114,60 @@ def test_balls_hold_their_rows():
     for (start, end, left, right), r, c in zip(t["span"], t["radius"], t["centre"], strict=True):
         assert (np.linalg.norm(x[order[start:end]] - c, axis=1) <= r).all()
         assert left < 0 or (t["span"][left][0], t["span"][left][1], t["span"][right][1]) == (start, t["span"][right][0], end)
+
+
+def clustered(n: int, dim: int = 64, seed: int = 5) -> np.ndarray:
+    """Vectors around centres, some of them near copies of each other."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (n // 100, dim))
+    x = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.35, (n, dim))
+    near = rng.permutation(n)[: n // 5]
+    x[near[1::2]] = x[near[::2]] + rng.normal(0, 0.25, (len(near) // 2, dim))  # cosines around the threshold
+    return x
+
+
+def test_links_of_64_dimensions(spark, monkeypatch):
+    x = clustered(3000)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 500)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = np.triu(unit @ unit.T >= 0.95, 1)
+    got = {r["vec_id"]: r for r in embedding_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    true = (link | link.T).sum(axis=1)
+    assert link.sum() > 100 and all(got[i]["n_links"] <= true[i] for i in range(3000))
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * true.sum()
+
+
+def test_share_of_pairs_verified():
+    """Windows leave out most pairs; those that link are all among the rest."""
+    x = clustered(3000)
+    orders = embedding_dedup.Orders(x)
+    lo, hi = orders.stretches(embedding_dedup.projected(x), embedding_dedup.window(0.95))
+    verified = sum(int((orders.collisions(lo[i], hi[i]) >= embedding_dedup.LEAST).sum()) - 1 for i in range(len(x)))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = int((unit @ unit.T >= 0.95).sum()) - len(x)
+    found = sum(len(i) for i, _ in embedding_dedup.linked_pairs(x, x, 0.95, True))
+    assert found == links // 2
+    print(f"verified {verified / (len(x) * (len(x) - 1)):.5f} of all pairs, {links // 2} links")
+    assert verified < 0.05 * len(x) * (len(x) - 1)
+
+
+def test_search_prunes(spark, monkeypatch):
+    """On clustered vectors most products are never taken, and the results are exact."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ball_search, "SHARD", 500)
+    monkeypatch.setattr(ball_search, "QUERIES", 64)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(4000, seed=6))]
+    t = frame(spark, rows)
+    asked = t.where("vec_id % 20 = 0")
+    scored, pairs = ball_search.searched(t, asked).agg(F.sum("scored"), F.sum("pairs")).first()
+    print(f"scored {scored / pairs:.3f} of all pairs")
+    assert pairs == 4000 * 200 and scored < 0.5 * pairs
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    got: dict = {}
+    for r in top_k(t, asked).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:20]
+        assert sorted(got[q]) == [(k, i, s[i]) for k, i in enumerate(best, 1)]
