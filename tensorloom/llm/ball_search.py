@@ -22,7 +22,13 @@ from .store import written
 from .vectors import blob, by_length, matrix_of, packed, unpacked
 
 K, SCALE = 20, 64
-SHARD, LEAF, QUERIES, TILE = 16_384, 64, 2048, 256
+SHARD, LEAF, QUERIES, TILE = 16_384, 32, 2048, 512
+#: Rows, in multiples of k, that each query meets before bounds are looked at.
+SEEN = 3
+#: Candidates a query, on average, at which k-th scores are taken anew.
+MERGED = 4
+#: A node's smaller child has one row in so many at least, else both have half.
+LEAST_SHARE = 16
 #: Rows in which a task looks for equal vectors at a time.
 ALIKE_ROWS = 65_536
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -54,8 +60,10 @@ def build_tree(vectors: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         if end - start > LEAF and away.max() > 0:
             a = own[away.argmax()]
             b = own[np.linalg.norm(own - a, axis=1).argmax()]
-            half = (end - start) // 2
-            order[start:end] = order[start:end][np.argpartition(own @ (b - a), half)]
+            place = own @ (b - a)
+            near = int((place <= (a + b) @ (b - a) / 2).sum())  # as many as are nearer to a: groups stay whole
+            half = near if min(near, end - start - near) * LEAST_SHARE >= end - start else (end - start) // 2
+            order[start:end] = order[start:end][np.argpartition(place, half)]
             todo += [(start + half, end, me), (start, start + half, me)]
         else:
             outer = np.argsort(-away, kind="stable")
@@ -112,36 +120,64 @@ def search(q: np.ndarray, own: np.ndarray, floor: np.ndarray, x: np.ndarray, ids
 
 def _search(q, own, floor, x, ids, tree, k):
     kth, scored = floor.copy(), 0
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
         size = np.linalg.norm(q, axis=1)
+        middle = q @ tree["centre"].T
     bound = upper(q, size, tree["centre"], tree["radius"], tree["longest"])
-    found = (np.zeros(0, np.int64),) * 3
-    stack = [0]
-    while stack:
-        node = stack.pop()
-        active = np.flatnonzero(bound[:, node] >= kth)
-        if not active.size:
-            continue
-        start, end, left, right = tree["span"][node]
-        if left >= 0:
-            stack += sorted((left, right), key=lambda c: (bound[active, c]).sum())  # the better one is taken first
-            continue
+    plain = q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**52  # doubles hold every sum
+    span, found, done = tree["span"], (np.zeros(0, np.int64),) * 3, np.zeros(bound.shape, bool)
+
+    def score(node: int, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal scored
+        start, end = span[node][:2]
+        done[active, node] = True
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            away = (kth[active] - 1e-6 - q[active] @ tree["centre"][node]) / size[active]  # nearer to the centre, rows score less
+            away = (kth[active] - 1e-6 - middle[active, node]) / size[active]  # nearer to the centre, rows score less
             far = np.where(size[active] > 0, away - np.abs(away) * 1e-9, -np.inf)
         rows = np.searchsorted(-tree["away"][start:end], -far, side="right")  # of each query; NaN sorts last: all rows
         rows[~np.isfinite(tree["away"][start:end]).all() | np.isnan(far)] = end - start
-        use = rows > 0
-        active, rows = active[use], rows[use]
+        active = active[rows > 0]
         if not active.size:
-            continue
+            return (np.zeros(0, np.int64),) * 3
         most = int(rows.max())
         scored += len(active) * most
-        score = _exact(q[active], x[start : start + most])
-        i, j = np.nonzero((score >= kth[active, None]) & (ids[start : start + most][None, :] != own[active, None]))
-        if len(i):
-            found = best(*(np.concatenate(c) for c in zip(found, (active[i], ids[start : start + most][j], score[i, j]), strict=True)), k)
+        own_x = x[start : start + most]
+        products = (q[active] @ own_x.T).astype(np.int64) if plain else _exact(q[active], own_x)
+        i, j = np.nonzero((products >= kth[active, None]) & (ids[start : start + most][None, :] != own[active, None]))
+        return active[i], ids[start : start + most][j], products[i, j]
+
+    def take(parts) -> None:
+        nonlocal found, kth
+        parts = [p for p in parts if len(p[0])]
+        if parts:
+            found = best(*(np.concatenate(c) for c in zip(found, *parts, strict=True)), k)
             kth = np.maximum(kth, kth_scores(found[0], found[2], len(q), k))
+
+    # the leaves whose centres score best come first, for each query its own, until they hold SEEN times k rows
+    leaves = np.flatnonzero(span[:, 2] < 0)
+    rows = span[leaves, 1] - span[leaves, 0]
+    with np.errstate(invalid="ignore"):
+        first = np.argsort(-np.nan_to_num(middle[:, leaves], nan=np.inf), axis=1, kind="stable")[:, : max(1, -(-SEEN * k // max(1, int(np.median(rows)))))]
+    chosen = np.zeros((len(q), len(leaves)), bool)
+    np.put_along_axis(chosen, first, True, axis=1)
+    chosen &= bound[:, leaves] >= kth[:, None]
+    take([score(int(leaves[c]), np.flatnonzero(chosen[:, c])) for c in np.flatnonzero(chosen.any(axis=0))])
+    stack, later, waiting = [0], [], 0
+    while stack:
+        node = stack.pop()
+        if waiting > MERGED * len(q):
+            take(later)
+            later, waiting = [], 0
+        active = np.flatnonzero((bound[:, node] >= kth) & ~done[:, node])
+        if not active.size:
+            continue
+        left, right = span[node][2:]
+        if left >= 0:
+            stack += sorted((left, right), key=lambda c: (bound[active, c]).sum())  # the better one is taken first
+        else:
+            later.append(score(node, active))
+            waiting += len(later[-1][0])
+    take(later)
     return *found, scored
 
 

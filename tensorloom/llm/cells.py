@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .vectors import unpacked
 
 SAMPLE, MOST_CELLS = 16_384, 1024
+#: A cut's smaller side has one row of the sample in so many at least, else both have half.
+LEAST_SHARE = 8
 
 
 class Cells:
@@ -33,8 +35,12 @@ class Cells:
                 far = x[np.linalg.norm(x - x.mean(axis=0), axis=1).argmax()]
                 self.axis[node] = far - x[np.linalg.norm(x - far, axis=1).argmax()]
                 place = x @ self.axis[node]
-                self.cut[node] = np.median(place)
-                right = place > self.cut[node]
+                middle = (place.min() + place.max()) / 2  # between the two outermost: groups stay whole
+                right = place > middle
+                if min(right.sum(), len(x) - right.sum()) * LEAST_SHARE < len(x):
+                    middle = np.median(place)
+                    right = place > middle
+                self.cut[node] = middle
             else:
                 right = np.zeros(len(x), bool)
             own += [x[~right], x[right]]
