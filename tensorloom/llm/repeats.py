@@ -64,36 +64,38 @@ def hashed_group(ids: np.ndarray, groups: int) -> np.ndarray:
 
 
 #: Spread ids that have a step in common.
-PRIME, FACTOR = 1_000_003, 314_159
+PRIME, FACTOR = 2_147_483_647, 1_103_515_245
 
 Candidates = Callable[[DataFrame, int], DataFrame]
 
 
-def candidate_rows(ids: np.ndarray, places: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Candidate places dealt out by document."""
-    used, (i, p) = blobs.dealt(hashed_group(ids, groups), groups, [ids, places])
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), blobs.column(i), blobs.column(p)], ["bucket", "ids", "places"])
+def candidate_rows(ids: np.ndarray, places: np.ndarray, groups: int, rights: np.ndarray | None = None) -> pa.RecordBatch:
+    """Candidate places dealt out by document. rights: how many words from there on may be shared, where that is known."""
+    used, cols = blobs.dealt(hashed_group(ids, groups), groups, [ids, places] if rights is None else [ids, places, rights])
+    cols = cols if rights is not None else [*cols, [b""] * len(used)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(blobs.column, cols)], ["bucket", "ids", "places", "rights"])
 
 
-CANDIDATES = "bucket int, ids binary, places binary"
+CANDIDATES = "bucket int, ids binary, places binary, rights binary"
 
 
-def windows_of(words: Words, ids: np.ndarray, copies: np.ndarray, cand_ids: np.ndarray, cand_places: np.ndarray, reach: int, n: int) -> tuple[np.ndarray, ...]:
+def windows_of(words: Words, ids: np.ndarray, copies: np.ndarray, cand_ids: np.ndarray, cand_places: np.ndarray, cand_rights: np.ndarray, reach: int, n: int) -> tuple[np.ndarray, ...]:
     """Starts (word index in the slice) of the windows that contain a candidate, and their documents' rows.
 
-    cand_*: candidates of these documents sorted by id and place; a window may start up to `reach` words before one.
+    cand_*: candidates of these documents sorted by id and place; a window may start up to `reach` words before one, and
+    ends within the words that may be shared from there on.
     """
     first_at, last_at = [], []
     for row, (doc, copy) in enumerate(zip(ids.tolist(), copies.tolist(), strict=True)):
         a, b = np.searchsorted(cand_ids, [doc, doc + 1])
         if a == b:
             continue
-        places = cand_places[a:b]
-        places = places[places >> COPY_BITS == copy] & ((1 << COPY_BITS) - 1)
+        own = cand_places[a:b] >> COPY_BITS == copy
+        places, rights = cand_places[a:b][own] & ((1 << COPY_BITS) - 1), cand_rights[a:b][own]
         least, most = words.at[row], words.at[row + 1] - n
         if len(places) and most >= least:
             first_at.append(np.clip(places - reach, 0, None) + least)
-            last_at.append(np.minimum(places + least, most))
+            last_at.append(np.minimum(places + least - np.maximum(n - rights, 0), most))
     if not first_at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, last = np.concatenate(first_at), np.concatenate(last_at)
@@ -113,9 +115,10 @@ def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach:
     """
 
     def extend(key, docs: pa.Table, cands: pa.Table) -> pa.Table:
-        ids, places = blobs.joined(cands, "ids"), blobs.joined(cands, "places")
+        ids, places, rights = (blobs.joined(cands, c) for c in ("ids", "places", "rights"))
+        rights = rights if len(rights) else np.full(len(ids), n)
         order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
+        ids, places, rights = ids[order], places[order], rights[order]
         held: list[tuple] = []
         out: list[pa.RecordBatch] = []
 
@@ -143,7 +146,7 @@ def repeated_windows(rows: DataFrame, candidates: DataFrame, groups: int, reach:
                 continue
             part, doc, copy = part.take(pa.array(keep)), doc[keep], copy[keep]
             words = Words(part.column("text"))
-            at, row = windows_of(words, doc, copy, ids, places, reach, n)
+            at, row = windows_of(words, doc, copy, ids, places, rights, reach, n)
             if at.size:
                 h1, h2 = sequences(words.hash, n)[at], sequences(words.hash, n, SEQ_BASE_2)[at]
                 held.append((h1, h2, doc[row], (copy[row] << COPY_BITS) + at - words.at[row]))

@@ -65,6 +65,7 @@ def cover_candidates(words: int = WORDS):
         def meet(table: pa.Table) -> pa.Table:
             kind = table.column("kind").to_numpy()
             known, sent = table.filter(pa.array(kind == 1)).select(["bucket", "ids", "places"]), table.filter(pa.array(kind == 0))
+            known = known.append_column("rights", pa.nulls(known.num_rows, pa.binary()))
             prints, doc, place = blobs.joined(sent, "prints", np.uint64), blobs.joined(sent, "ids"), blobs.joined(sent, "places")
             if not len(prints):
                 return known

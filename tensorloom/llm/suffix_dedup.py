@@ -2,8 +2,10 @@
 
 Of every 35 word grams in a row (a window of 50 words has 35 grams of 16 words) the one of least hash is retained: a
 position that the content selects, so equal windows select it alike. The suffixes from retained positions are sorted by
-their next three grams; a suffix whose neighbour in the order shares the first gram is a match, which is extended to the
-left and to the right over every window that contains it.
+their grams, one after another (grams are named by hashes, so suffixes with a common prefix are together, as in the order
+of texts). Each is compared with its two neighbours: their longest common prefix, in grams, is the longest with any
+suffix. One without a common gram is no match; another is extended to the left over all windows that contain it and to
+the right as far as that prefix may go on.
 """
 
 from __future__ import annotations
@@ -41,6 +43,22 @@ def minimisers(h: np.ndarray, at: np.ndarray, gram: int, words: int) -> np.ndarr
     return np.unique(order[least[ranges(at[:-1], counts)]])
 
 
+#: Grams by which suffixes are sorted: all that a window may hold from its retained position on.
+GRAMS = 3
+
+
+def common_grams(k1: np.ndarray, k2: np.ndarray, k3: np.ndarray) -> np.ndarray:
+    """How many grams each suffix but the first has in common with the one before; 0 stands for a gram beyond the text."""
+    same = [k[1:] == k[:-1] for k in (k1, k2, k3)]
+    second = same[0] & same[1] & (k2[1:] != 0)
+    return same[0].astype(np.int64) + second + (second & same[2] & (k3[1:] != 0))
+
+
+def words_shared(grams: np.ndarray, gram: int) -> np.ndarray:
+    """The most words that suffixes with so many common grams share; beyond GRAMS there is no bound."""
+    return np.where(grams < GRAMS, (grams + 1) * gram - 1, np.int64(1) << 30)
+
+
 def suffix_candidates(words: int = WORDS, gram: int = GRAM):
     def candidates(rows: DataFrame, groups: int) -> DataFrame:
         def suffixes(batches):
@@ -52,7 +70,7 @@ def suffix_candidates(words: int = WORDS, gram: int = GRAM):
                 row = np.searchsorted(found.at, pick, side="right") - 1
                 g = sequences(found.hash, gram).view(np.int64)
                 keys = []
-                for k in range(3):
+                for k in range(GRAMS):
                     at = pick + k * gram
                     inside = at + gram <= found.at[row + 1]
                     keys.append(pa.array(np.where(inside, g[np.minimum(at, len(g) - 1)], 0)))
@@ -60,29 +78,22 @@ def suffix_candidates(words: int = WORDS, gram: int = GRAM):
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(doc[row]), pa.array((copy[row] << COPY_BITS) + pick - found.at[row])], ["k1", "k2", "k3", "id", "place"])
 
         def neighbours(batches):
-            last, held = None, []  # the run of suffixes with the first gram `last`; only two are kept back
-            first_run = True
+            held, before = None, None  # the last suffix, whose next neighbour is not here yet; what it shares with the one before
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                k1, doc, place = (batch.column(c).to_numpy() for c in ("k1", "id", "place"))
-                if held:
-                    k1, doc, place = np.concatenate(([last], k1)), np.concatenate((held[0], doc)), np.concatenate((held[1], place))
-                same = k1[1:] == k1[:-1]
-                match = np.zeros(len(k1), bool)
-                match[1:] |= same
-                match[:-1] |= same
-                if held:
-                    match[0] |= held[2]
-                if first_run:  # the run at a partition's edge may go on in the partition before
-                    match[k1 == k1[0]] = True
-                    first_run = bool((k1 == k1[0]).all())
-                out = match.copy()
-                out[-1] = False
-                yield candidate_rows(doc[out], place[out], groups)
-                last, held = k1[-1], (doc[-1:], place[-1:], bool(match[-1]))
-            if held:
-                yield candidate_rows(held[0], held[1], groups)  # nor is it known how the last run goes on
+                cols = [batch.column(c).to_numpy() for c in ("k1", "k2", "k3", "id", "place")]
+                if held is not None:
+                    cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+                shared = common_grams(*cols[:3])
+                # the first suffix of a partition may have a neighbour in the one before
+                ahead = np.concatenate(([GRAMS if before is None else before], shared))
+                most = np.maximum(ahead, np.append(shared, 0))[:-1]
+                match = np.flatnonzero(most > 0)
+                yield candidate_rows(cols[3][match], cols[4][match], groups, words_shared(most[match], gram))
+                held, before = [c[-1:] for c in cols], int(ahead[-1])
+            if held is not None:  # and so may the last in the next
+                yield candidate_rows(held[3], held[4], groups, words_shared(np.array([GRAMS]), gram))
 
         made = rows.where("id is not null").mapInArrow(suffixes, "k1 long, k2 long, k3 long, id long, place long")
         order = ["k1", "k2", "k3", "id", "place"]

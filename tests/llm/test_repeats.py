@@ -74,3 +74,22 @@ def test_small_groups(docs, texts, monkeypatch):
     monkeypatch.setattr(s, "FLUSH", 200)
     monkeypatch.setattr(repeats, "SPANS_BROADCAST_BYTES", 0)
     test_substring_dedup(docs, texts)
+
+
+def test_common_prefixes_of_neighbours():
+    """The longest common prefix of a suffix with any other is that with a neighbour in the order, and bounds the windows exactly."""
+    import numpy as np
+
+    from tensorloom.llm.suffix_dedup import GRAMS, common_grams, words_shared
+
+    rng = np.random.default_rng(3)
+    k = rng.integers(0, 3, (400, 3))  # 0: beyond the text
+    k[k[:, 1] == 0, 2] = 0
+    k[:, 0] += 1
+    k = k[np.lexsort(k.T[::-1])]
+    shared = common_grams(*k.T)
+    both = np.maximum(np.concatenate(([0], shared)), np.concatenate((shared, [0])))
+    for i in range(0, 400, 7):
+        best = max(next((c for c in range(3) if a[c] != b[c] or a[c] == 0), 3) for j, b in enumerate(k) if j != i for a in [k[i]])
+        assert both[i] == best
+    assert words_shared(np.arange(GRAMS + 1), 16).tolist() == [15, 31, 47, 1 << 30]
