@@ -58,6 +58,17 @@ def test_difference(spark):
     assert manifest.difference(a, a).count() == 0
 
 
+def test_tables_are_dropped(spark):
+    from tensorloom import tables
+
+    first = tables.made()
+    a, b = tables.shared_table(spark.range(3), "a"), tables.shared_table(spark.range(4), "b")
+    tables.drop_between(spark, first, tables.made() - 1)
+    assert b.count() == 4
+    with pytest.raises(Exception):
+        a.collect()
+
+
 def test_cycle_is_an_error(spark):
     nodes = spark.createDataFrame([("a", None, "a"), ("b", "a", "b")], "id string, parent string, name string")
     assert manifest.paths(nodes).count() == 2
