@@ -18,6 +18,7 @@ from tensorloom.llm.repeats import find_repeats, numbered, without_repeats
 from tensorloom.llm.secret_scan import redacted
 from tensorloom.llm.store import written
 from tensorloom.llm.substring_dedup import cover_candidates
+from tensorloom.tables import drop_between, made
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,5 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        first = made()
+        out = written(stage(spark, docs, sf_dir), name)
+        drop_between(spark, max(0, first - (name != STAGES[0][0])), made() - 1)  # what the stage made on the way, and its input where that was the last stage's
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

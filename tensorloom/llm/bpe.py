@@ -14,6 +14,7 @@ import json
 import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 import regex
@@ -29,6 +30,8 @@ _LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_
 KEEP_BYTES, KEEP_PIECES = 64, 350_000
 #: Bytes after which the transducer looks for stable tokens.
 CHUNK = 512
+#: Characters of a text above which pieces are found and encoded one after another, so many ids or pieces at a time.
+LONG_TEXT, BLOCK = 1 << 16, 1 << 14
 
 
 def byte_chars() -> dict[str, int]:
@@ -54,7 +57,7 @@ class Bpe:
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = map(text, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.lookahead = max(map(len, self.ids))
+        self.lookahead = 0  # bytes; from _prepare()
         self._ends: dict[bytes, int] = {}  # length of the longest token with such last two bytes
         self._beside: dict[int, bool] = {}
         self.peak = 0  # most positions that the transducer has held
@@ -70,8 +73,10 @@ class Bpe:
         return ids
 
     def _prepare(self) -> None:
-        """Leaves the tokens that their own bytes become, and finds how long a token with a given end can be."""
+        """Runs the merge list on each token's bytes: only tokens that their own bytes become are ever emitted, and the longest
+        of them is all the lookahead that is needed. Also finds how long such a token with a given end can be."""
         self.own = {b: i for b, i in self.ids.items() if self.merged(b) == [i]}
+        self.lookahead = max(map(len, self.own), default=1)
         for b in self.own:
             self._ends[b[-2:]] = max(self._ends.get(b[-2:], 1), len(b))
 
@@ -166,7 +171,8 @@ class Encoder:
             self._model = Tokenizer.from_file(path).model
             self._shown = str.maketrans({b: c for c, b in byte_chars().items()})
         self.kept = _Kept(self._by_transducer if engine == "transducer" else self._by_library)
-        self._find, self._find_latin, self._find_ascii = regex.compile(_PATTERN, regex.V0).findall, re.compile(_LATIN).findall, re.compile(_ASCII).findall
+        self._find, self._find_latin, self._find_ascii = regex.compile(_PATTERN, regex.V0), re.compile(_LATIN), re.compile(_ASCII)
+        self._engine = engine
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")") if self.bpe.special else None
         self._markers = tuple(self.bpe.special)
 
@@ -178,23 +184,56 @@ class Encoder:
         return _little_endian([t.id for t in self._model.tokenize(shown)])
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.kept.__getitem__, self._pieces(text)))
+        return b"".join(map(self.kept.__getitem__, self._pattern(text).findall(text)))
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pattern(self, text: str):
+        """The pattern that finds the pieces: the simplest that does for the text's characters."""
         if text.isascii():
-            return self._find_ascii(text)
+            return self._find_ascii
         try:
-            text.encode("latin-1")
+            for i in range(0, len(text), LONG_TEXT):
+                text[i : i + LONG_TEXT].encode("latin-1")
         except UnicodeEncodeError:
-            return self._find(text)
-        return self._find_latin(text)
+            return self._find
+        return self._find_latin
+
+    def _long(self, text: str, first: int, last: int):
+        """Ids of text[first:last], a block at a time; of a piece longer than a block, as the transducer emits them."""
+        block: list[bytes] = []
+        for m in self._pattern(text).finditer(text, first, last):
+            piece = m.group()
+            if len(piece) > BLOCK and self._engine == "transducer":
+                yield b"".join(block)
+                block.clear()
+                ids = self.bpe.transduce(piece.encode())
+                while some := list(islice(ids, BLOCK)):
+                    yield _little_endian(some)
+            else:
+                block.append(self.kept[piece])
+            if len(block) >= BLOCK:
+                yield b"".join(block)
+                block.clear()
+        yield b"".join(block)
+
+    def blocks(self, text: str):
+        """The ids of a text as little-endian unsigned 32-bit integers, in blocks. Special tokens' strings become their ids.
+
+        What is held besides the text are a block and the transducer's buffer, however long the text is.
+        """
+        some = self._special and any(m in text for m in self._markers)
+        if len(text) <= LONG_TEXT and not some:
+            yield self._plain(text)
+            return
+        at = 0
+        for m in self._special.finditer(text) if some else ():
+            yield from self._long(text, at, m.start())
+            yield self.bpe.special[m.group()].to_bytes(4, "little")
+            at = m.end()
+        yield from self._long(text, at, len(text))
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers. Special tokens' strings become their ids."""
-        if self._special and any(m in text for m in self._markers):
-            own = self.bpe.special
-            return b"".join(own[x].to_bytes(4, "little") if x in own else self._plain(x) for x in self._special.split(text) if x)
-        return self._plain(text)
+        """All of blocks()."""
+        return b"".join(self.blocks(text))
 
 
 class Decoder:
@@ -204,12 +243,16 @@ class Decoder:
         self.bpe = bpe
 
     def decode(self, ids: np.ndarray, step: int = 1 << 16):
-        """Pieces of the text; a character cut by a step's end waits for its other bytes. Broken bytes become U+FFFD."""
+        """Pieces of the text of ids."""
+        return self.blocks(ids[i : i + step].astype("<u4").tobytes() for i in range(0, len(ids), step))
+
+    def blocks(self, blocks):
+        """Pieces of the text of blocks of little-endian ids; a character cut by a block's end waits for its other bytes. Broken bytes become U+FFFD."""
         import codecs
 
         machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.bpe.table
-        for i in range(0, len(ids), step):
-            if out := machine.decode(b"".join(map(table.__getitem__, ids[i : i + step].tolist()))):
+        for block in blocks:
+            if out := machine.decode(b"".join(map(table.__getitem__, np.frombuffer(block, "<u4").tolist()))):
                 yield out
         if out := machine.decode(b"", True):
             yield out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from .words import slices
 from .worker import held
 
+
 def encoder(path: str, engine: str = "transducer"):
     """One encoder a Python worker, so that pieces already seen stay known from task to task."""
     from .bpe import Encoder
@@ -17,11 +17,19 @@ def encoder(path: str, engine: str = "transducer"):
     return held((path, engine), lambda: Encoder(path, engine))
 
 
+def noted(blocks, into: bytearray):
+    """blocks again, one at a time, added up on the way."""
+    for b in blocks:
+        into += b
+        yield b
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: its id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded string.
 
     tokenizer: the path of a tokenizers file, on every worker. Null texts count as empty: no ids, decoded "". Repeated
-    rows and null ids are kept as they are; other columns are not read. Texts of any length are held one at a time.
+    rows and null ids are kept as they are; other columns are not read. Texts of any length are encoded and decoded in one
+    go, block by block; only a row's results are whole.
     """
 
     def run(batches):
@@ -30,8 +38,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         enc = encoder(tokenizer)
         dec = Decoder(enc.bpe)
         for part in slices(batches, "text", keep=True):
-            ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
-            texts = ["".join(dec.decode(np.frombuffer(i, "<u4"))) for i in ids]
+            ids, texts = [], []
+            for t in part.column(1).to_pylist():
+                own = bytearray()
+                texts.append("".join(dec.blocks(noted(enc.blocks(t or ""), own))))
+                ids.append(bytes(own))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -87,6 +89,22 @@ def test_buffer_is_bounded(library):
         assert bpe.peak < 2000
 
 
+@pytest.mark.parametrize("k", [0, 1])
+def test_long_texts_in_blocks(library, encoders, k, monkeypatch):
+    """Blocks of ids of texts of any length are the library's; what is held does not grow with the text."""
+    from tensorloom.llm import bpe
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(HARD) for _ in range(60)), "x" * 40_000, " ".join(HARD) * 9, "<|endoftext|>" * 5 + "tail " * 300, "a  " * 999]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(bpe, "LONG_TEXT", 50)
+    monkeypatch.setattr(bpe, "BLOCK", 16)
+    for t, w in zip(texts, want, strict=True):
+        blocks = list(encoders[k].blocks(t))
+        assert b"".join(blocks) == w and (k or max(map(len, blocks)) <= 4 * 16 * bpe.KEEP_BYTES)
+        assert "".join(bpe.Decoder(encoders[k].bpe).blocks(blocks)) == library.decode(list(np.frombuffer(w, "<u4")), skip_special_tokens=False)
+
+
 def test_broken_bytes(library, encoders):
     ids = np.array([encoders[0].bpe.ids[b"\xf0"], encoders[0].bpe.ids[b"\x9f"], encoders[0].bpe.ids[b"a"], encoders[0].bpe.ids[b"\xff"]], "<u4")
     assert "".join(Decoder(encoders[0].bpe).decode(ids)) == library.decode(ids.tolist(), skip_special_tokens=False)
