@@ -1,132 +1,174 @@
 """Language by prediction by partial matching: a variable-order byte context tree for each language.
 
-Contexts are the bytes before a byte in its word (a space before and after it), at most ORDER of them. A byte not seen in
-a context escapes to the next shorter one with probability distinct / (total + distinct) (method C), bytes already
-excluded, down to equal chances of all bytes. Statistics are frozen after training, so a word's code length in each
-language is a fixed number: it is computed once for each different word that a worker meets, from byte grams that are
-coded once. A text's code length is the sum over its words; the least one names the language.
+A text is its UTF-8 bytes, A-Z in lower case, white space among them; the context of a byte is the ORDER bytes before it,
+over word edges, fewer at the text's start. A byte not seen in a context escapes to the next shorter one with probability
+distinct / (total + distinct) (method C), bytes already excluded, down to equal chances of the bytes left. Statistics are
+frozen after training, so a byte in its context has a fixed code length in each language, and a text's is the sum over all
+its bytes. Lengths are integers of 2**-FINE bits: sums are exact, whatever the slices. The least one names the language.
+
+A context's bytes are among those of its suffix, so what an escape excludes is what the longer context has seen: its count
+and number are kept with the context, and lengths of many bytes are found together by binary search.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, ranges, slices
+from .words import _LOWER, raw, slices
 from .worker import held
 
-ORDER = 4
+ORDER, FINE = 4, 24
 #: The training sample: about so many rows a language, of each text a span of so many characters, so many languages.
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 500
-KEEP_WORDS, KEEP_GRAMS = 300_000, 200_000
-
-
-def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bytes of words with their contexts (ORDER bytes before, 0 where the word has none), and how many each word has."""
-    size = end - start
-    at = np.concatenate(([0], np.cumsum(size + 2)))
-    text = np.full(int(at[-1]), 32, np.uint64)
-    text[ranges(at[:-1] + 1, size)] = data[ranges(start, size)]
-    first = np.repeat(at[:-1], size + 2)
-    here = np.arange(len(text))
-    keys = text.copy()
-    for k in range(1, ORDER + 1):
-        ok = here - k >= first
-        keys[ok] |= text[here[ok] - k] << np.uint64(8 * k)
-    coded = here > first  # the space before the word is context only
-    return keys[coded], size + 1
-
-
-def train(texts: dict[str, list[str]]) -> dict[str, dict[int, dict[int, int]]]:
-    """For each language, for each context (its length << 40 | its bytes), the count of each byte that follows."""
+#: Bytes of a worker's table of code lengths, and of those of a block of text.
+TABLE_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
+_DEPTH = np.uint64(8 * (ORDER + 1))
+
+
+def _low(order: int) -> np.uint64:
+    """A mask of so many bytes."""
+    return np.uint64((1 << 8 * order) - 1)
+
+
+def grams(data: np.ndarray, at: np.ndarray, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, a key a byte) of blocks of the texts: how many bytes of context there are, they, and the byte."""
+    for a in range(0, len(data), block):
+        b = min(a + block, len(data))
+        text = np.zeros(ORDER + b - a, np.uint64)
+        before = min(a, ORDER)
+        text[ORDER - before :] = _LOWER[data[a - before : b]]
+        keys = text[ORDER:].copy()
+        for k in range(1, ORDER + 1):
+            keys |= text[ORDER - k : len(text) - k] << np.uint64(8 * k)
+        depth = np.full(b - a, ORDER, np.uint64)
+        starts = at[np.searchsorted(at, a - ORDER) : np.searchsorted(at, b)]
+        for j in range(ORDER - 1, -1, -1):  # the nearest start counts
+            near = starts + (j - a)
+            near = near[(near >= 0) & (near < b - a)]
+            depth[near] = j
+            keys[near] &= _low(j + 1)
+        yield a, keys | depth << _DEPTH
+
+
+class Order(NamedTuple):
+    """Contexts of one length, sorted: counts and numbers of the bytes after them, and of those after their suffix but not after them; grams with counts."""
+
+    contexts: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    left_total: np.ndarray
+    left_distinct: np.ndarray
+    grams: np.ndarray
+    counts: np.ndarray
+
+
+def _tree(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
+    """The orders from 0 on, of different keys with their counts."""
+    tree: list[Order] = []
+    for k in range(ORDER + 1):
+        deep = keys >> _DEPTH >= k
+        own, of = np.unique(keys[deep] & _low(k + 1), return_inverse=True)
+        count = np.bincount(of, counts[deep], len(own))
+        contexts, of = np.unique(own >> np.uint64(8), return_inverse=True)
+        total, distinct = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(float)
+        left = [np.zeros(len(contexts))] * 2
+        if k:
+            up = tree[-1]
+            suffix = np.searchsorted(up.contexts, contexts & _low(k - 1))
+            seen = np.bincount(of, up.counts[np.searchsorted(up.grams, own & _low(k))], len(contexts))
+            left = [up.total[suffix] - seen, up.distinct[suffix] - distinct]
+        tree.append(Order(contexts, total, distinct, *left, own, count))
+    return tree
+
+
+def train(texts: dict[str, list[str]]) -> dict[str, list[Order]]:
+    """The context tree of each language's texts."""
     model = {}
     for lang, rows in texts.items():
-        words = Words(pa.array(rows, pa.large_string()), lower=True)
-        _, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
-        keys, per = _grams(_lowered(words), words.start[first], words.end[first])
-        weight = np.repeat(counts, per)
-        tree: dict[int, dict[int, int]] = {}
-        for k in range(ORDER + 1):
-            have = keys >> np.uint64(8 * k) > 0 if k else np.ones(len(keys), bool)
-            grams, of = np.unique(keys[have] & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            for g, c in zip(grams.tolist(), np.bincount(of, weight[have], len(grams)).tolist(), strict=True):
-                tree.setdefault(k << 40 | g >> 8, {})[g & 255] = int(c)
-        model[lang] = tree
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+        for _, more in grams(*raw(pa.array(rows, pa.large_string())), 1 << 22):
+            keys, of = np.unique(np.concatenate((keys, more)), return_inverse=True)
+            counts = np.bincount(of, np.concatenate((counts, np.ones(len(more)))), len(keys))
+        model[lang] = _tree(keys, counts)
     return model
 
 
-def _lowered(words: Words) -> np.ndarray:
-    from .words import _LOWER
-
-    return _LOWER[words.data]
-
-
-def code_length(tree: dict[int, dict[int, int]], key: int) -> float:
-    """Bits of a byte after its context under the frozen counts."""
-    symbol, context = key & 255, key >> 8
-    have = (context.bit_length() + 7) // 8
-    bits, excluded = 0.0, set()
-    for k in range(have, -1, -1):
-        node = tree.get(k << 40 | context & ((1 << 8 * k) - 1))
-        if not node:
-            continue
-        left = {s: c for s, c in node.items() if s not in excluded} if excluded else node
-        if not left:
-            continue
-        total, distinct = sum(left.values()), len(left)
-        if symbol in left:
-            return bits - math.log2(left[symbol] / (total + distinct))
-        bits -= math.log2(distinct / (total + distinct))
-        excluded.update(left)
-    return bits + math.log2(max(1, 256 - len(excluded)))
+def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether each is there."""
+    if not len(among):
+        return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(among, what), len(among) - 1)
+    return at, among[at] == what
+
+
+def code_lengths(tree: list[Order], keys: np.ndarray) -> np.ndarray:
+    """Bits of each byte after its context."""
+    bits = np.zeros(len(keys))
+    open_, above = np.arange(len(keys)), np.full(len(keys), -1)  # bytes not yet coded; their context one longer, if it was met
+    for k in range(ORDER, -1, -1):
+        have = keys[open_] >> _DEPTH >= k
+        gram = keys[open_] & _low(k + 1)
+        node, known = _find(tree[k].contexts, gram >> np.uint64(8))
+        known &= have
+        total, distinct = tree[k].total[node], tree[k].distinct[node]
+        if (fell := above >= 0).any():
+            total[fell], distinct[fell] = tree[k + 1].left_total[above[fell]], tree[k + 1].left_distinct[above[fell]]
+        at, found = _find(tree[k].grams, gram)
+        found &= known
+        out = known & ~found & (distinct > 0)
+        bits[open_[found]] -= np.log2(tree[k].counts[at[found]] / (total + distinct)[found])
+        bits[open_[out]] -= np.log2(distinct[out] / (total + distinct)[out])
+        open_, above = open_[~found], np.where(known, node, -1)[~found]
+    seen = int(tree[0].distinct.sum())
+    bits[open_] += math.log2(max(1, 256 - seen))
+    return bits
 
 
 class Coder:
-    """Code lengths of words in each language, kept for words and grams already met; both stores are bounded."""
+    """Code lengths of texts in each language; those of keys met lately are kept in a table of a fixed size, a place a key."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict[str, list[Order]], table_bytes: int = TABLE_BYTES, block_bytes: int = BLOCK_BYTES):
         self.langs = sorted(model)
         self.trees = [model[x] for x in self.langs]
-        self.grams: dict[int, tuple[float, ...]] = {}
-        self._empty()
-
-    def _empty(self) -> None:
-        self.row: dict[int, int] = {}
-        self.bits = np.zeros((1024, len(self.langs)))
-
-    def _new(self, words: Words, pick: np.ndarray) -> np.ndarray:
-        keys, per = _grams(_lowered(words), words.start[pick], words.end[pick])
-        different, of = np.unique(keys, return_inverse=True)
-        if len(self.grams) > KEEP_GRAMS:
-            self.grams.clear()
-        table = np.empty((len(different), len(self.langs)))
-        for i, key in enumerate(different.tolist()):
-            if (bits := self.grams.get(key)) is None:
-                bits = self.grams[key] = tuple(code_length(t, key) for t in self.trees)
-            table[i] = bits
-        return np.add.reduceat(table[of], np.concatenate(([0], np.cumsum(per)[:-1])), axis=0)
-
-    def texts(self, words: Words) -> np.ndarray:
-        """Bits of each text in each language."""
-        different, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.row) + len(different) > max(KEEP_WORDS, len(different)):
-            self._empty()
-        rows = np.fromiter((self.row.get(h, -1) for h in different.tolist()), np.int64, len(different))
-        if (new := np.flatnonzero(rows < 0)).size:
-            at = len(self.row)
-            while at + len(new) > len(self.bits):
-                self.bits = np.concatenate((self.bits, np.zeros_like(self.bits)))
-            self.bits[at : at + len(new)] = self._new(words, first[new])
-            rows[new] = np.arange(at, at + len(new))
-            self.row.update(zip(different[new].tolist(), range(at, at + len(new)), strict=True))
-        sums = np.zeros((len(words.hash) + 1, len(self.langs)))
-        np.cumsum(self.bits[rows[of]], axis=0, out=sums[1:])
-        return sums[words.at[1:]] - sums[words.at[:-1]]
+        wide = 8 * max(1, len(self.langs))
+        self.shift = np.uint64(64 - max(1, int(math.log2(max(2, table_bytes // wide)))))
+        places = 1 << 64 - int(self.shift)
+        self.keys = np.full(places, (1 << 64) - 1, np.uint64)
+        self.bits = np.zeros((places, len(self.langs)), np.int64)
+        self.block = max(16, block_bytes // wide)
+
+    def _lengths(self, keys: np.ndarray) -> np.ndarray:
+        place = keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+        bits = self.bits[place]
+        if (miss := np.flatnonzero(self.keys[place] != keys)).size:
+            new, of = np.unique(keys[miss], return_inverse=True)
+            own = np.stack([np.rint(np.ldexp(code_lengths(t, new), FINE)).astype(np.int64) for t in self.trees], axis=1)
+            bits[miss] = own[of]
+            place = new * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+            _, last = np.unique(place[::-1], return_index=True)  # one key a place
+            last = len(place) - 1 - last
+            self.keys[place[last]], self.bits[place[last]] = new[last], own[last]
+        return bits
+
+    def texts(self, column: pa.Array) -> np.ndarray:
+        """Code lengths of each text in each language, in 2**-FINE bits."""
+        data, at = raw(column)
+        total = np.zeros((len(at) - 1, len(self.langs)), np.int64)
+        for a, keys in grams(data, at, self.block):
+            sums = np.zeros((len(keys) + 1, len(self.langs)), np.int64)
+            np.cumsum(self._lengths(keys), axis=0, out=sums[1:])
+            first, end = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, a + len(keys))  # rows with bytes here
+            inside = np.clip(at[first : end + 1] - a, 0, len(keys))
+            total[first:end] += sums[inside[1:]] - sums[inside[:-1]]
+        return total
 
 
 def has_letter(text: str | None) -> bool:
@@ -159,7 +201,7 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id")
     return out
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, list[Order]], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of docs: its id, the columns in `carry`, lang_pred string, score double (the chance of that language among all, all alike before).
 
     Null texts, texts without a letter and an empty model give 'und' and 0. Equal code lengths go to the first language
@@ -171,14 +213,15 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches):
         coder = held(("language", name), lambda: Coder(sent.value))
         for part in slices(batches, "text", keep=True):
-            texts, words = part.column(1), Words(part.column(1), lower=True)
-            low = _lowered(words)
+            texts = part.column(1)
+            data, at = raw(texts)
+            low = _LOWER[data]
             ascii_letter = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122))))
-            letters = ascii_letter[words.doc_at[1:]] > ascii_letter[words.doc_at[:-1]]
+            letters = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
             for i in np.flatnonzero(~letters):
                 letters[i] = has_letter(texts[i].as_py())
             if coder.langs:
-                bits = coder.texts(words)
+                bits = np.ldexp(coder.texts(texts).astype(np.float64), -FINE)
                 best = bits.argmin(axis=1)
                 score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
                 lang = np.array(coder.langs, object)[best]

@@ -132,31 +132,49 @@ def test_long_labelled_texts_are_learned(docs):
     assert set(language.sample(docs([(i % 2, "some words", x) for x in ("aa", "bb") for i in range(3000)]), rows=1)) == {"aa", "bb"}
 
 
+def plain_code_length(rows, data, i):
+    """Bits of byte i of data after its context, by counts made anew from all training texts and sets of excluded bytes."""
+    bits, excluded = 0.0, set()
+    for k in range(min(language.ORDER, i), -1, -1):
+        context = data[i - k : i]
+        after = Counter(t[j] for t in rows for j in range(k, len(t)) if t[j - k : j] == context)
+        left = {s: c for s, c in after.items() if s not in excluded}
+        if not left:
+            continue
+        below = sum(left.values()) + len(left)
+        if data[i] in left:
+            return bits - math.log2(left[data[i]] / below)
+        bits -= math.log2(len(left) / below)
+        excluded |= set(after)
+    return bits + math.log2(max(1, 256 - len(excluded)))
+
+
+TRAINED = {"a": ["the cat sat on  the mat", "A cat\x00", "e", ""], "b": ["der hund und die katze\n", "über\x00\x00 und"]}
+
+
 def test_code_lengths_are_of_a_distribution():
-    model = language.train({"a": ["the cat sat on the mat", "a cat"], "b": ["der hund und die katze"]})
-    tree = model["a"]
-    for context in (b"", b" ", b" ca", b"xyzq", b" the"):
-        key = int.from_bytes(context[-language.ORDER :], "big") << 8
-        total = sum(2.0 ** -language.code_length(tree, key | s) for s in range(256))
-        assert total == pytest.approx(1, abs=1e-9)
+    model = language.train(TRAINED)
+    for context in (b"", b" ", b" ca", b"xyzq", b" the", b"\0", b"\0\0 u"):
+        own = context[-language.ORDER :]
+        key = len(own) << 40 | int.from_bytes(own, "big") << 8
+        for tree in model.values():
+            assert np.exp2(-language.code_lengths(tree, np.array([key | s for s in range(256)], np.uint64))).sum() == pytest.approx(1, abs=1e-9)
 
 
-def test_coder_sums_code_lengths():
+@pytest.mark.parametrize(("table", "block"), [(1 << 20, 1 << 20), (64, 1), (1 << 12, 400)])
+def test_coder_sums_code_lengths(table, block):
+    """Whole texts, white space and contexts over word edges with them, by brute force; tables and blocks of any size."""
     import pyarrow as pa
 
-    from tensorloom.llm.words import Words
-
-    model = language.train({"a": ["the cat sat on the mat"], "b": ["der hund"]})
-    coder = language.Coder(model)
-    text = "The hund  sat übel"
-    want = np.zeros(2)
-    for word in text.encode().lower().split():
-        s = b" " + word + b" "
-        for i in range(1, len(s)):
-            key = int.from_bytes(s[max(0, i - language.ORDER) : i + 1], "big")
-            want += [language.code_length(model[x], key) for x in "ab"]
+    coder = language.Coder(language.train(TRAINED), table, block)
+    texts = ["The hund  sat übel", "", None, "t", "th", "\x00the\x00 \n", "", "die katze und the cat sat on the mat 日本", "xyz" * 30, ""]
+    rows = {x: [t.lower().encode() for t in own] for x, own in TRAINED.items()}
+    low = ["".join(c.lower() if c < "\x80" else c for c in t or "").encode() for t in texts]
+    want = [[sum(plain_code_length(rows[x], t, i) for i in range(len(t))) for x in "ab"] for t in low]
     for _ in range(2):
-        assert np.allclose(coder.texts(Words(pa.array([text, ""]), lower=True)), [want, [0, 0]])
+        got = coder.texts(pa.array(texts))
+        assert np.allclose(np.ldexp(got.astype(float), -language.FINE), want, atol=1e-4)
+        assert (got == np.concatenate([coder.texts(pa.array([t], pa.string())) for t in texts])).all()
 
 
 # secrets
