@@ -6,9 +6,15 @@ sorted order; how many of these stretches hold a vector is its count of collisio
 pair along random directions are independent, so its count is binomial: a pair is verified by its cosine when its count
 is at least `needed`, which a pair just at the threshold reaches with probability RECALL, and a closer pair more often.
 
+Counts are taken for many queries at once, in bits: each order has bit maps of its first vectors, for every MAPS-th part of it, so
+a window is the difference of two of them, and the maps of a query's 32 windows are added bit by bit, 64 vectors a word.
+Queries that lie together in an order share a window that covers theirs, rounded outwards; a count is thus never less
+than that of the query's own windows (`Orders.collisions`), and a few more pairs are verified.
+
 Blocks are groups of a cell (cells.py). Two blocks meet only where the windows of one reach the other in `needed`
-projections or more; no pair that could be verified is lost by leaving others out. A block pair returns a row a vector
-(links found, and the least vector of its component there), never pairs. Copies are one vector with a count.
+projections or more; no pair that could be verified is lost by leaving others out. Blocks that follow one another are a
+part; a task compares the blocks of two parts, and each is sent there once. It returns a row a vector (links found, and
+the least vector of its component there), never pairs. Copies are one vector with a count.
 
 Cost: a window holds a fixed share of a block that it reaches, so where blocks are not apart (directions without any
 structure) work grows with the square of the number of distinct vectors, as it must with one-dimensional windows.
@@ -21,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cells import fit, grouped, placed
@@ -31,9 +38,17 @@ from .vectors import blob, by_length, matrix_of, packed, same_keys, unpacked
 COSINE = 0.95
 PROJECTIONS, REACH, RECALL = 32, 1.0, 0.9999
 #: Vectors of a block; queries whose candidates are verified together.
-BLOCK, QUERY_ROWS = 8192, 64
-#: Pairs of blocks that one task compares, where there are many.
-PAIRS_A_TASK = 8
+BLOCK, QUERY_ROWS = 8192, 256
+#: Parts of a table, where they are not larger than so many vectors (nor smaller than a block).
+PARTS, PART_ROWS = 10, 131_072
+#: Partitions of the comparison at most; a partition then has several tasks' blocks, one task after another.
+MOST_PARTITIONS = 4096
+#: Bit maps of an order, about; windows along a projection that the queries of a block share.
+MAPS, WINDOWS = 256, 256
+#: Components by which a pair is left out in single precision before its cosine is taken; room for rounding in that distance.
+HEAD, SLACK = 16, 1e-4
+#: Links, and pairs to verify, that are handled at a time.
+LINKS, PAIRS = 1 << 18, 1 << 16
 
 
 def needed(p: float, m: int = PROJECTIONS, recall: float = RECALL) -> int:
@@ -64,17 +79,37 @@ def projected(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1)[:, None]) @ directions(x.shape[1])
 
 
+class Vectors:
+    """Vectors with what comparisons need: norms, places along the directions, leading components at length one."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.norm, self.places = x, np.linalg.norm(x, axis=1), projected(x)
+        self.head = np.ascontiguousarray(x[:, :HEAD] / self.norm[:, None], np.float32)
+        self._shares: tuple | None = None
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Along each direction, places that cut the vectors into WINDOWS shares (a row a cut), and the share of each vector (a row a direction)."""
+        if self._shares is None:
+            n = min(WINDOWS, len(self.x))
+            along = np.ascontiguousarray(self.places.T)
+            edges = np.sort(along, axis=1)[:, [*(np.arange(n) * len(self.x) // n), len(self.x) - 1]].T
+            self._shares = edges, np.stack([np.searchsorted(edges[:-1, k], p, "right") - 1 for k, p in enumerate(along)])
+        return self._shares
+
+
 class Orders:
     """A block sorted along each projection."""
 
-    def __init__(self, x: np.ndarray):
-        p = projected(x)
+    def __init__(self, x: np.ndarray, places: np.ndarray | None = None):
+        p = projected(x) if places is None else places
         self.order = [np.argsort(p[:, k], kind="stable") for k in range(PROJECTIONS)]
         self.place = [p[o, k] for k, o in enumerate(self.order)]
         self.n = len(x)
+        self.words, self.step = -(-self.n // 64), max(1, self.n // MAPS)
+        self._first: list[np.ndarray] = []
 
     def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The count of each vector with a query whose window in order k is the stretch lo[k]:hi[k]."""
+        """The count of each vector with a query whose window in order k is the stretch lo[k]:hi[k]; the definition."""
         return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]), minlength=self.n)
 
     def stretches(self, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -82,34 +117,134 @@ class Orders:
         ends = [np.searchsorted(own, (p[:, k] - reach, p[:, k] + reach)) for k, own in enumerate(self.place)]
         return np.stack([e[0] for e in ends], 1), np.stack([e[1] for e in ends], 1)
 
+    def first(self) -> list[np.ndarray]:
+        """For each order the bit maps of its first 0, step, 2 step, ... vectors."""
+        if not self._first:
+            step = np.arange(self.n) // self.step + 1
+            for o in self.order:
+                own = np.zeros((step[-1] + 1, self.words * 64), np.uint8)
+                own[step, o] = 1
+                self._first.append(np.bitwise_or.accumulate(np.packbits(own, axis=1, bitorder="little").view(np.uint64), axis=0))
+        return self._first
+
+    def windows(self, edges: np.ndarray, reach: float) -> list[np.ndarray]:
+        """For each order the bit maps of the windows of queries from each of the places `edges` (a row each) to the next."""
+        lo, hi = self.stretches(edges[:-1], reach)[0] // self.step, -(-self.stretches(edges[1:], reach)[1] // self.step)
+        return [np.take(first, hi[:, k], axis=0) ^ np.take(first, lo[:, k], axis=0) for k, first in enumerate(self.first())]
+
+
+def at_least(maps, least: int, levels: int, spare: list[np.ndarray]) -> np.ndarray:
+    """The bit map of where `least` or more of the bit maps (at most 2**levels) have a one, added in binary digits 64 places at a time.
+
+    Maps are overwritten, and left in `spare` when they are no longer needed, from where others can be taken.
+    """
+    start = (1 << levels) - least  # so that the digit of 2**levels tells
+    digits: list = [None] * levels  # None: still that of `start`, the same everywhere
+    waiting: list = [None] * levels
+    top = None
+
+    def add(level: int, v: np.ndarray) -> None:
+        nonlocal top
+        while level < levels:
+            if waiting[level] is None:
+                waiting[level] = v
+                return
+            a, b, c = waiting[level], v, digits[level]
+            waiting[level], t = None, spare.pop() if spare else np.empty_like(a)
+            if c is None:
+                (np.bitwise_or if start >> level & 1 else np.bitwise_and)(a, b, out=t)
+                np.bitwise_xor(a, b, out=a)
+                digits[level], v = np.invert(a, out=a) if start >> level & 1 else a, t
+            else:
+                np.bitwise_xor(a, b, out=t)
+                np.bitwise_and(a, b, out=a)
+                np.bitwise_and(t, c, out=b)
+                np.bitwise_xor(t, c, out=c)
+                v = np.bitwise_or(a, b, out=a)
+                spare.append(t)
+            spare.append(b)
+            level += 1
+        if top is not None:
+            np.bitwise_or(top, v, out=v)
+            spare.append(top)
+        top = v
+
+    for m in maps:
+        add(0, m)
+    for level in range(levels):
+        if (v := waiting[level]) is not None:
+            waiting[level], c = None, digits[level]
+            if c is not None:
+                add(level + 1, np.bitwise_and(v, c, out=v))
+            elif start >> level & 1:
+                add(level + 1, v)
+    spare += [d for d in digits if d is not None]
+    return top
+
+
+def ones(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ones of bit maps, a row each; rows ascend."""
+    flat, width = bits.view(np.uint8).reshape(-1), bits.shape[1] * 64
+    some = np.flatnonzero(flat != 0)
+    at = np.flatnonzero(np.unpackbits(flat[some], bitorder="little").view(bool))
+    at = some[at >> 3] * 8 + (at & 7)
+    row = at // width
+    return row, at - row * width
+
+
+def linked(x: Vectors, y: Vectors, orders: Orders, cosine: float, same: bool):
+    """Row numbers (i, j) of x and y with cosine or more, in pieces; orders: of y; same: y is x, and i < j."""
+    reach = window(cosine)
+    low, high = (np.array([own[e] for own in orders.place]) for e in (0, -1))
+    some = np.flatnonzero(((x.places >= low - reach) & (x.places <= high + reach)).sum(axis=1) >= LEAST)  # other queries reach too few projections of this block
+    if not len(some):
+        return
+    edges, own = x.shares()
+    maps = orders.windows(edges, reach)
+    unit = np.ones(x.head.shape[1], np.float32)
+    spare: list[np.ndarray] = []
+
+    def taken(queries: np.ndarray):
+        for k, m in enumerate(maps):
+            into = spare.pop() if spare else np.empty((len(queries), orders.words), np.uint64)
+            yield np.take(m, own[k, queries], axis=0, out=into, mode="clip")
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
-    """Row numbers (i, j) of x and y with cosine or more, in pieces, equal i in a row; same: y is x, and i < j."""
-    orders, norm_x, norm_y = Orders(y), np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    lo, hi = orders.stretches(projected(x), window(cosine))
-    some = np.flatnonzero((hi > lo).sum(axis=1) >= LEAST)  # other queries reach too few projections of this block
     for s in range(0, len(some), QUERY_ROWS):
-        found = []
-        for i in some[s : s + QUERY_ROWS].tolist():
-            j = np.flatnonzero(orders.collisions(lo[i], hi[i]) >= LEAST)
-            j = j[j > i] if same else j
-            found.append((np.full(len(j), i), j))
-        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-        for c in range(0, len(i), 1 << 16):
-            u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-            hit = np.einsum("ij,ij->i", x[u], y[v]) / (norm_x[u] * norm_y[v]) >= cosine
+        queries = some[s : s + QUERY_ROWS]
+        if spare and len(spare[0]) != len(queries):
+            spare.clear()
+        top = at_least(taken(queries), LEAST, (PROJECTIONS - 1).bit_length(), spare)
+        row, col = ones(top)
+        row = queries[row]
+        spare.append(top)
+        if same:
+            row, col = row[col > row], col[col > row]
+        for c in range(0, len(row), PAIRS):
+            i, j = row[c : c + PAIRS], col[c : c + PAIRS]
+            apart = np.take(x.head, i, axis=0)
+            apart -= np.take(y.head, j, axis=0)
+            apart *= apart
+            near = apart @ unit <= 2 * (1 - cosine) + SLACK  # the whole distance is no less
+            i, j = i[near], j[near]
+            hit = np.einsum("ij,ij->i", x.x[i], y.x[j]) / (x.norm[i] * y.norm[j]) >= cosine
             if hit.any():
-                yield u[hit], v[hit]
+                yield i[hit], j[hit]
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
+    """Row numbers (i, j) of x and y with cosine or more, in pieces; same: y is x, and i < j."""
+    return linked(Vectors(x), Vectors(y), Orders(y), cosine, same)
 
 
 def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Takes the links (i, j), equal i in a row, into labels: each row's is the least row of its component. A row whose links are known costs one comparison."""
-    edges = np.flatnonzero(np.diff(i)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(i)], strict=True):
-        others, own = label[j[a:b]], label[i[a]]
-        if (others != own).any():
-            names = np.unique(np.append(others, own))
-            label[np.isin(label, names)] = names[0]
+    """Takes the links (i, j) into labels: each row's is the least row of its component."""
+    a, b = label[i], label[j]
+    while (open_ := a != b).any():
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label[:] = up
+        a, b = label[a], label[b]
 
 
 def scaled(matrix: np.ndarray) -> np.ndarray:
@@ -171,6 +306,82 @@ def block_pairs(made: DataFrame) -> DataFrame:
     return both.where(overlap >= LEAST).select("dim", "x", "y")
 
 
+def tasks(made: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks that each pair of parts needs (task long, first: whether of the pair's first part, second, and a block's columns), and how many pairs of parts there can be."""
+    before = W.orderBy("block", "dim").rowsBetween(W.unboundedPreceding, -1)  # a row a block, without its vectors
+    rows = made.agg(F.sum("n")).first()[0] or 0
+    size = min(PART_ROWS, max(BLOCK, -(-rows // PARTS)))
+    parts = written(made.select("dim", "block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size).alias("part")), "parts")
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    side = lambda s: parts.select("dim", F.col("block").alias(s), F.col("part").alias(f"part_{s}"))
+    pairs = written(block_pairs(made).join(side("x"), ["dim", "x"]).join(side("y"), ["dim", "y"]), "pairs")
+    low, high = F.least("part_x", "part_y"), F.greatest("part_x", "part_y")
+    task = F.expr("greatest(part_x, part_y) * (greatest(part_x, part_y) + 1) div 2 + least(part_x, part_y)").alias("task")
+    sides = [pairs.select("dim", F.col(s).alias("block"), task, (F.col(f"part_{s}") == low).alias("first"), (F.col(f"part_{s}") == high).alias("second")) for s in "xy"]
+    return sides[0].unionByName(sides[1]).distinct().join(made, ["dim", "block"]), n * (n + 1) // 2
+
+
+def by_task(batches):
+    """The rows of each task, as tables of blocks; batches are sorted by task."""
+    own: list[pa.RecordBatch] = []
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if own and a < b and own[0].column("task")[0].as_py() != task[a]:
+                yield pa.Table.from_batches(own)
+                own = []
+            own += [batch.slice(a, b - a)] if a < b else []
+    if own:
+        yield pa.Table.from_batches(own)
+
+
+def compared(task: pa.Table, cosine: float) -> pa.RecordBatch | None:
+    """A row a vector with links: id, links, and the least id of its component in this task."""
+    dims, numbers, first, second = (task.column(c).to_pylist() for c in ("dim", "block", "first", "second"))
+    lo, hi = (np.array(task.column(c).to_pylist()) for c in ("lo", "hi"))
+    at = np.cumsum([0, *task.column("n").to_pylist()])
+    ids, counts = (np.concatenate([np.frombuffer(b, np.int64) for b in task.column(c).to_pylist()]) for c in ("reps", "counts"))
+    order = np.argsort(ids, kind="stable")  # so that the least row is the least id
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    ids, counts, label, links = ids[order], counts[order], np.arange(len(order)), np.zeros(len(order), np.int64)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def flush() -> None:
+        if kept:
+            i, j = (np.concatenate(c) for c in zip(*kept, strict=True))
+            kept.clear()
+            np.add.at(links, i, counts[j])
+            np.add.at(links, j, counts[i])
+            merge(label, i, j)
+
+    vectors: dict[int, Vectors] = {}
+
+    def of(b: int) -> Vectors:
+        if b not in vectors:
+            vectors[b] = Vectors(matrix_of(task.column("matrix")[b].as_py(), int(at[b + 1] - at[b]), dims[b]))
+        return vectors[b]
+
+    for y in range(len(numbers)):
+        overlap = ((lo <= hi[y]) & (lo[y] <= hi)).sum(axis=1) >= LEAST
+        xs = [x for x in np.flatnonzero(overlap).tolist() if dims[x] == dims[y] and numbers[x] <= numbers[y] and (first[x] and second[y] or second[x] and first[y])]
+        orders = Orders(of(y).x, of(y).places) if xs else None
+        for x in xs:
+            for i, j in linked(of(x), of(y), orders, cosine, x == y):
+                kept.append((place[i + at[x]], place[j + at[y]]))
+                waiting += len(i)
+                if waiting >= LINKS:
+                    flush()
+                    waiting = 0
+    flush()
+    some = np.flatnonzero(links)
+    if not len(some):
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["id", "links", "least"])
+
+
 def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """A row per row of vectors: id, n_links long (other rows linked directly), component_id long, kept boolean (id = component_id).
 
@@ -183,32 +394,15 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str
     classes = written(usable.groupBy(*same_keys("vec")).agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
     reps = usable.select("id", "vec", *same_keys("vec")).join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("rep", "rows", "vec")
     made = blocks(reps, cosine)
-    pairs = written(block_pairs(made), "pairs")
-    n = pairs.count()
-    x, y = (made.select("dim", F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "counts", "matrix"))) for s in "xy")
-    both = pairs.join(x, ["dim", "x"]).join(y, ["dim", "y"]).repartition(max(1, min(n, max(256, n // PAIRS_A_TASK))), "dim", "x", "y")
+    sent, n = tasks(made)
 
     def compare(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                rx, ry, cx, cy = (np.frombuffer(r[c], np.int64) for c in ("reps_x", "reps_y", "counts_x", "counts_y"))
-                same = r["x"] == r["y"]
-                mx, my = matrix_of(r["matrix_x"], len(rx), r["dim"]), matrix_of(r["matrix_y"], len(ry), r["dim"])
-                off = 0 if same else len(rx)
-                ids, counts = (rx, cx) if same else (np.concatenate((rx, ry)), np.concatenate((cx, cy)))
-                order = np.argsort(ids, kind="stable")  # so that the least row is the least id
-                place = np.empty_like(order)
-                place[order] = np.arange(len(order))
-                ids, counts, label, links = ids[order], counts[order], np.arange(len(order)), np.zeros(len(order), np.int64)
-                for i, j in linked_pairs(mx, my, cosine, same):
-                    i, j = place[i], place[j + off]
-                    links += np.bincount(i, counts[j], len(ids)).astype(np.int64) + np.bincount(j, counts[i], len(ids)).astype(np.int64)
-                    merge(label, i, j)
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["id", "links", "least"])
-
-    partial = written(both.mapInArrow(compare, "id long, links long, least long"), "links")
+        for task in by_task(batches):
+            found = compared(task, cosine)
+            if found is not None:
+                yield found
+
+    partial = written(sent.repartitionById(max(1, min(n, MOST_PARTITIONS)), F.pmod("task", F.lit(MOST_PARTITIONS)).cast("int")).sortWithinPartitions("task").mapInArrow(compare, "id long, links long, least long"), "links")
     links = partial.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(partial, "id", "least")
     per_class = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")

@@ -171,3 +171,35 @@ def test_search_prunes(spark, monkeypatch):
         s = x @ x[q]
         best = [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:20]
         assert sorted(got[q]) == [(k, i, s[i]) for k, i in enumerate(best, 1)]
+
+
+def test_counts_in_bits():
+    """Bit maps of windows give every pair that the windows of its own query give, and sums in bits are sums."""
+    rng = np.random.default_rng(3)
+    bits = rng.random((32, 5, 192)) < 0.4
+    for least in (1, 12, 16, 32):
+        maps = [np.packbits(b, axis=1, bitorder="little").view(np.uint64) for b in bits]
+        row, col = embedding_dedup.ones(embedding_dedup.at_least(maps, least, 5, []))
+        assert list(zip(row, col, strict=True)) == list(zip(*np.nonzero(bits.sum(axis=0) >= least), strict=True))
+    x, y = embedding_dedup.Vectors(clustered(700)), clustered(1000, seed=6)
+    orders, reach = embedding_dedup.Orders(y), embedding_dedup.window(0.95)
+    edges, own = x.shares()
+    maps = orders.windows(edges, reach)
+    row, col = embedding_dedup.ones(embedding_dedup.at_least([np.take(m, c, axis=0) for m, c in zip(maps, own, strict=True)], embedding_dedup.LEAST, 5, []))
+    found, (lo, hi) = set(zip(row.tolist(), col.tolist(), strict=True)), orders.stretches(x.places, reach)
+    wanted = {(i, j) for i in range(700) for j in np.flatnonzero(orders.collisions(lo[i], hi[i]) >= embedding_dedup.LEAST).tolist()}
+    assert wanted and wanted <= found and len(found) < 2 * len(wanted)
+
+
+def test_blocks_are_sent_once_a_task(spark, monkeypatch):
+    """A block goes to each pair of parts once, however many blocks it meets there, and all pairs of blocks meet in one task."""
+    for name, value in (("BLOCK", 50), ("PARTS", 3)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(1200))]
+    reps = frame(spark, rows).selectExpr("vec_id as rep", "1L as rows", "embedding as vec")
+    made = embedding_dedup.blocks(reps, 0.95)
+    sent, n = embedding_dedup.tasks(made)
+    got = sent.select("task", "block").collect()
+    assert made.count() > 20 and len(set(got)) == len(got) <= 3 * made.count() + 3 and n <= 10
+    together = {(t, a, b) for t, a in got for u, b in got if t == u}
+    assert {(r["x"], r["y"]) for r in embedding_dedup.block_pairs(made).collect()} <= {(a, b) for _, a, b in together}
