@@ -60,7 +60,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document in a sequence of at most 1024 tokens."""
-    return pack(docs, tokenizer_path()).drop("ids")
+    return pack(docs, tokenizer_path(), with_ids=False)
 
 
 #: The last stage may return other columns than those of documents.

@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from .store import written
 from .tokens import encoder
 from .words import slices
+from .worker import free
 
 #: Largest table of rank offsets that is broadcast; beyond it, rows are joined by part.
 OFFSETS_BROADCAST_BYTES = 64 << 20
+#: Bytes of ids whose pieces are made at a time.
+SLICE_BYTES = 1 << 20
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -135,8 +138,8 @@ def tokenised(docs: DataFrame, tokenizer: str, separator: int, size: int, id_col
     return written(rows.mapInArrow(run, "id long, ids binary, n long, whole_nth long, part int, rest int, nth long, width int"), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: id, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary.
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """A row per piece: id, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, and with_ids: ids binary.
 
     Sequences hold at most `size` tokens, pieces without gaps from offset 0; all but one are full. Null and empty texts
     have the separator alone. Rows with equal or null ids are packed each for itself. An empty table gives no rows.
@@ -156,22 +159,27 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0,
     joined = table.join(F.broadcast(parts) if size_bound <= OFFSETS_BROADCAST_BYTES else parts, "part")
     sent = spark.sparkContext.broadcast((plan, planned))
 
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
     def run(batches):
         plan, planned = sent.value
-        for batch in batches:
+        free()  # the tokeniser's encoder: no task of this map needs it
+        for batch in slices(batches, "ids", SLICE_BYTES, keep=True):
             out: list[list] = [[] for _ in range(8)]
             for doc, ids, n, rest, nth, width, base, first in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                tokens = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4")
+                tokens = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
                 pieces = [(k * size, size, planned + first + k, 0) for k in range(n // size)]
                 if rest:
                     edges, cuts = plan[rest]
                     rank = base + nth
                     pieces += [(n - rest + s, m, seq + rank, off) for s, m, seq, off in cuts[bisect_right(edges, rank) - 1]]
                 for s, m, seq, off in pieces:
-                    b = tokens[s : s + m].tobytes()
-                    for column, v in zip(out, (doc, s, m, zlib.crc32(b), n, seq, off, b), strict=True):
+                    b = tokens[s : s + m].astype("<u4").tobytes()
+                    for column, v in zip(out, (doc, s, m, zlib.crc32(b), n, seq, off), strict=False):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+                    if with_ids:
+                        out[7].append(b)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), *([pa.array(out[7], pa.binary())] if with_ids else [])], [*names, *(["ids"] if with_ids else [])])
 
     rows = joined.select("id", "ids", "n", "rest", "nth", "width", F.coalesce(F.element_at("before", F.col("rest")), F.lit(0)).alias("base"), (F.col("first") + F.col("whole_nth")).alias("first"))
-    return rows.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else "")).withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def op4_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,3 +333,24 @@ def test_packing(docs, texts):
 def test_packing_by_join(docs, texts, monkeypatch):
     monkeypatch.setattr(packing, "OFFSETS_BROADCAST_BYTES", 0)
     test_packing(docs, texts)
+
+
+def test_packing_lets_the_encoder_go(spark, docs, texts):
+    """Pieces are made without the encoder in the workers' memory, and without ids where they are not asked for."""
+    few = docs(texts)
+    with_ids = packing.pack(few, tokenizer_path()).drop("ids")
+    out = packing.pack(few, tokenizer_path(), with_ids=False)
+    assert out.schema == with_ids.schema and out.agg({"length": "sum"}).first() == with_ids.agg({"length": "sum"}).first()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, with_ids.collect()))
+
+    def kept(batches):
+        import pyarrow as pa
+        from tensorloom.llm import worker
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(worker._slot)] * b.num_rows)], ["n"])
+
+    n = packing.pack(few, tokenizer_path(), with_ids=False).select("length").repartition(1).mapInArrow(kept, "n long")
+    assert {r["n"] for r in n.collect()} == {0}
+    n = packing.pack(few, tokenizer_path(), with_ids=False).coalesce(1)
+    assert n.count() and {r["n"] for r in spark.range(0, 64, 1, 1).mapInArrow(kept, "n long").collect()} == {0}
